@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from emrecon.llm import bpe, exact_dedup, sharding
+from emrecon.llm import bpe, exact_dedup, packing, sharding
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_bpe": bpe.op7_bpe,
     "op9_sharding": sharding.op9_sharding,
 }
