@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from emrecon.llm import bpe, exact_dedup, packing, sharding
+from emrecon.llm import bpe, exact_dedup, packing, quality_fm, quality_rules, sharding, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_bpe": bpe.op7_bpe,
+    "op8_quality_classifier": quality_fm.op8_quality_classifier,
     "op9_sharding": sharding.op9_sharding,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLES = {
