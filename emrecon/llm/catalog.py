@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from emrecon.llm import bpe, exact_dedup, packing, quality_fm, quality_rules, sharding, toxicity
+from emrecon.llm import bpe, exact_dedup, jaccard_join, packing, quality_fm, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_bpe": bpe.op7_bpe,
