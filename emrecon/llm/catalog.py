@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from emrecon.llm import bpe, exact_dedup, jaccard_join, packing, quality_fm, quality_rules, sharding, toxicity
+from emrecon.llm import bpe, chat_format, exact_dedup, jaccard_join, packing, quality_fm, quality_rules, sharding, token_files, toxicity
 
 QUERIES = {
+    "op1_chat_formatting": chat_format.op1_chat_formatting,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_token_counts": token_files.op3_token_counts,
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
@@ -16,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_chat_formatting": chat_format.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }
