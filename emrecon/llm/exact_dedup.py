@@ -63,6 +63,16 @@ def dedup_batch(spark: SparkSession, docs: DataFrame, index_path: str, buckets:
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
+def keep_first(spark: SparkSession, docs: DataFrame, index_path: str) -> DataFrame:
+    """The rows of ``docs``, with their columns, that stay. Rows that share doc_id and text
+    are one row here."""
+    kept = cut(dedup_batch(spark, docs, index_path).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")), "kept")
+    own = digest(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (own == kept["kept_sha"])
+    rows = docs.join(kept, same, "inner")
+    return rows.dropDuplicates(["kept_id", "kept_sha"]).drop("kept_id", "kept_sha")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one batch over a new index in the shared folder."""
     return dedup_batch(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), new_path(spark, "digest-index"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emrecon.llm.common import documents
-from emrecon.llm.training import labelled_sample, platt, remainder, sigmoid
+from emrecon.llm.training import free_name, labelled_sample, platt, remainder, sigmoid, with_scores
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 8_000
@@ -196,5 +196,24 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     return verdicts(docs, fit(docs, labels, remainder(4) != 2, bound))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with their columns, that pass all rules."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, remainder(4) != 2, bound))
+
+    def scores(texts: list[str]) -> np.ndarray:
+        """Probability of a good text, 0 where a base rule fails."""
+        m, tokens, out = shared.value, _tokens(), []
+        for text in texts:
+            raw = text.encode()
+            words = raw.split()
+            n, _, _, _, repeats = base(raw, words)
+            good = n >= LEAST_WORDS and 100 * repeats <= MOST_REPEATS * n
+            out.append((float(m.probability(np.array(m.margin(*slots(raw, words, tokens))))) if m else 1.0) if good else 0.0)
+        return np.array(out)
+
+    name = free_name(docs, "quality")
+    return with_scores(docs, scores, name).where(F.col(name) >= threshold).drop(name)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

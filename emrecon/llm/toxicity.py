@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emrecon.llm.common import documents
-from emrecon.llm.training import isotonic, labelled_sample, remainder, sigmoid
+from emrecon.llm.training import free_name, isotonic, labelled_sample, remainder, sigmoid, with_scores
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -247,5 +247,20 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFra
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose score is below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, remainder(5) != 0, bound))
+
+    def scores(texts: list[str]) -> np.ndarray:
+        m = shared.value
+        if isinstance(m, float):
+            return np.full(len(texts), m)
+        flags = _flags(id(m), m)
+        return m.score(np.array([features(t, flags) for t in texts]))
+
+    name = free_name(docs, "toxicity")
+    return with_scores(docs, scores, name).where(F.col(name) < threshold).drop(name)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from emrecon.llm.common import cut, documents
@@ -23,6 +27,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
     return cut(documents(docs).join(F.broadcast(cut(ids, "sample")), "doc_id").withColumn("part", part), "labelled")
 
 
+def with_scores(docs: DataFrame, scores: Callable[[list[str]], np.ndarray], name: str) -> DataFrame:
+    """``docs`` as it is, with ``scores`` of the texts (null: empty) as column ``name``: a
+    filter needs no join back to the texts then."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            own = pa.array(scores(texts) if texts else [], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
