@@ -1 +1 @@
-
+"""Operators on sparse matrices and dense vectors."""

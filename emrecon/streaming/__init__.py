@@ -1 +1 @@
-
+"""Empty on purpose: the work of this library has no streams, only iterations."""
