@@ -2,49 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: A key is hot with at least this share of the rows, so at most this many keys are hot.
-HOT_SHARE = 1024
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        own = tempfile.mkdtemp(prefix="emrecon-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        named = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
+from emrecon.sources.scratch import cut, new_path
 
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/emrecon/{what}-{uuid.uuid4().hex}"
+__all__ = ["attach", "buckets_for", "cut", "documents", "new_path", "ranked"]
 
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: the lineage ends
-    there, and a lost executor costs a file read instead of a recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this module wrote, on whatever file system it lies."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: A key is hot with at least this share of the rows, so at most this many keys are hot.
+HOT_SHARE = 1024
 
 
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
