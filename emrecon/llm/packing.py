@@ -5,8 +5,8 @@ full length are sequences by themselves; the others are dealt to partitions by h
 packed best-fit decreasing. Dual feasible functions give a lower bound on each
 partition's number of bins. A partition that meets its bound is certified, and only its
 emptiest bin goes on; of one with a gap all bins that are not full go on. These bins
-meet others in new partitions, each as a whole, and are packed again; an arrangement
-is replaced only by one with fewer bins. That ends when one partition held all that
+meet others in new, larger partitions, each as a whole, and are packed again; an
+arrangement is replaced only by one with fewer bins. That ends when one partition held all that
 was exchanged, or when a round saves nothing.
 
 Defined cases: null and empty texts hold the separator alone; a text that exceeds the
@@ -32,7 +32,7 @@ from emrecon.llm.vocab import word_bpe
 CAPACITY = 2048
 #: Id that ends each document.
 SEPARATOR = 0
-#: Pieces that a partition packs, on average.
+#: Pieces that a partition packs at first, on average; in later rounds up to 64 times as many.
 PARTITION = 4000
 #: Rounds of exchange at most; a round that saves nothing is the last one anyway.
 ROUNDS = 8
@@ -136,7 +136,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION
     count = open_rows.count()
     bins = None
     for step in range(ROUNDS):
-        parts = buckets_for(count, partition)
+        parts = buckets_for(count, partition * 4 ** min(step, 3))
         dealt = open_rows.withColumn("part", F.pmod(F.xxhash64("bin", F.lit(step)), F.lit(parts)))
         packed = cut(dealt.groupBy("part").applyInPandas(_pack(capacity, step), f"{ITEM}, bin long, offset long, goes boolean"), "packed")
         after = packed.select(F.count_distinct("bin")).first()[0]

@@ -24,6 +24,8 @@ from emrecon.llm.common import attach, buckets_for, cut, documents, ranked
 
 #: A group's ranks are dealt to this many buckets at least.
 GROUP_BUCKETS = 256
+#: Rounds in which only texts with an eighth of a quota or more propose, while there is room.
+LARGE_FIRST = 2
 
 
 def _pick(values: list, at: Column) -> Column:
@@ -87,9 +89,13 @@ def shard_by_labels(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataF
     loads, closed = loads_of(state), []
     for step in range(rounds):
         asked = _proposals(state, quota, closed, step)
+        if step < LARGE_FIRST:
+            asked = asked.withColumn("target", F.when(8 * F.col("total") >= quota, F.col("target")))
         flows = {(r["shard"], r["target"]): r["n"] for r in asked.where("target IS NOT NULL").groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}  # shards ** 2 rows at most
-        if not flows:
+        if not flows and step >= LARGE_FIRST:
             break
+        if not flows:
+            continue
         share = admitted(loads, caps, flows)
         closed = [s for s in range(shards) if 0 < share[s] < 0.999 or (share[s] == 0 and any(b == s for _, b in flows))]
         p = _pick(share, F.col("target"))
