@@ -4,7 +4,8 @@ Documents become id sequences, of which only those above the capacity are cut. P
 full length are sequences by themselves; the others are dealt to partitions by hash and
 packed best-fit decreasing. Dual feasible functions give a lower bound on each
 partition's number of bins. A partition that meets its bound is certified, and only its
-emptiest bin goes on; of one with a gap all bins that are not full go on. These bins
+emptiest bin goes on; of one with a gap, or of all while the total is above the bound of
+all pieces together, all bins that are not full go on. These bins
 meet others in new, larger partitions, each as a whole, and are packed again; an
 arrangement is replaced only by one with fewer bins. That ends when one partition held all that
 was exchanged, or when a round saves nothing.
@@ -36,6 +37,8 @@ SEPARATOR = 0
 PARTITION = 4000
 #: Rounds of exchange at most; a round that saves nothing is the last one anyway.
 ROUNDS = 8
+#: Share of bins above the bound of all pieces from which all bins that are not full go on.
+SLACK = 0.001
 
 ITEM = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -84,13 +87,17 @@ def best_fit(lengths: list[int], capacity: int) -> list[int]:
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """No packing has fewer bins: the best of two families of dual feasible functions,
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of(hist: np.ndarray, capacity: int) -> int:
+    """From how often each length occurs. No packing has fewer bins: the best of two families of dual feasible functions,
     which map lengths so that whatever fits one bin has images of ``capacity`` together at most.
 
     The first drops lengths below a threshold t and counts those above capacity - t as
     whole bins (t = 0: the plain sum). The second, for k from 1 on, maps x to the
     floor of (k + 1) x / capacity, in k-ths of a bin, and keeps x where that is exact."""
-    hist = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    hist = hist.astype(np.int64)
     sizes = np.arange(capacity + 1)
     count, total = np.cumsum(hist), np.cumsum(hist * sizes)
     t = np.arange(1, capacity // 2 + 1)
@@ -122,7 +129,7 @@ def _pack(capacity: int, step: int):
         first = np.r_[True, sorted_bins[1:] != sorted_bins[:-1]]
         offset = np.empty(len(pdf), np.int64)
         offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-        return pdf.assign(bin=names, offset=offset, goes=goes[bins])[["rid", "doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "goes"]]
+        return pdf.assign(bin=names, offset=offset, goes=goes[bins], loose=(fill < capacity)[bins])[["rid", "doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "goes", "loose"]]
 
     return run
 
@@ -132,20 +139,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION
     pieces = cut(pieces, "pieces")
     whole = pieces.where(F.col("length") == capacity).withColumns({"bin": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     open_rows = pieces.where(F.col("length") < capacity).withColumn("bin", F.xxhash64("rid", "piece"))
-    done, saved = [whole], 1
-    count = open_rows.count()
-    bins = None
+    lengths = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each length
+    hist = np.zeros(capacity + 1, np.int64)
+    hist[[r["length"] for r in lengths]] = [r["n"] for r in lengths]
+    bound, closed = bound_of(hist, capacity), int(hist[capacity])
+    done, open_bins, count = [whole], None, int(hist[:capacity].sum())
     for step in range(ROUNDS):
         parts = buckets_for(count, partition * 4 ** min(step, 3))
         dealt = open_rows.withColumn("part", F.pmod(F.xxhash64("bin", F.lit(step)), F.lit(parts)))
-        packed = cut(dealt.groupBy("part").applyInPandas(_pack(capacity, step), f"{ITEM}, bin long, offset long, goes boolean"), "packed")
-        after = packed.select(F.count_distinct("bin")).first()[0]
-        saved, bins = (bins or after + 1) - after, packed.where("goes").select(F.count_distinct("bin")).first()[0]
-        if parts == 1 or saved <= 0 or bins <= 1 or step == ROUNDS - 1:
-            done.append(packed.drop("goes"))
+        packed = cut(dealt.groupBy("part").applyInPandas(_pack(capacity, step), f"{ITEM}, bin long, offset long, goes boolean, loose boolean"), "packed")
+        bins = packed.select(F.count_distinct("bin")).first()[0]
+        saved = open_bins is None or bins < open_bins
+        # partitions may all be certified and yet need more bins than the whole would
+        goes = F.col("loose") if closed + bins > bound * (1 + SLACK) + 1 else F.col("goes")
+        going = packed.where(goes)
+        open_bins = going.select(F.count_distinct("bin")).first()[0]
+        if parts == 1 or not saved or open_bins <= 1 or step == ROUNDS - 1:
+            done.append(packed.drop("goes", "loose"))
             break
-        done.append(packed.where("NOT goes").drop("goes"))
-        open_rows = packed.where("goes").drop("goes", "offset")
+        closed += bins - open_bins
+        done.append(packed.where(~goes).drop("goes", "loose"))
+        open_rows = going.drop("goes", "loose", "offset")
         count = open_rows.count()
     out = done[0]
     for more in done[1:]:
