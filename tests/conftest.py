@@ -4,13 +4,12 @@ from pathlib import Path
 
 import pytest
 
+from tests.support import DATA
+
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"  # for Python workers
 
-DATA = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
@@ -40,11 +39,3 @@ def duck():
     for f in Path(DATA).glob("*.parquet"):
         c.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
     return c
-
-
-def same(got, want) -> None:
-    """Two pandas frames hold the same rows, in any order of rows and columns."""
-    cols = sorted(want.columns)
-    assert sorted(got.columns) == cols
-    a, b = (sorted(map(repr, f[cols].astype(object).where(f[cols].notna(), None).itertuples(index=False, name=None))) for f in (got, want))
-    assert a == b
