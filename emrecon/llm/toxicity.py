@@ -248,13 +248,15 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFra
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose score is below ``threshold``."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, remainder(5) != 0, bound))
+    """The rows of ``docs``, with their columns, whose score is below ``threshold``; all
+    of them where labels of one class are missing."""
+    model = fit(docs, labels, remainder(5) != 0, bound)
+    if isinstance(model, float):
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(texts: list[str]) -> np.ndarray:
         m = shared.value
-        if isinstance(m, float):
-            return np.full(len(texts), m)
         flags = _flags(id(m), m)
         return m.score(np.array([features(t, flags) for t in texts]))
 

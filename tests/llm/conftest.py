@@ -13,7 +13,7 @@ def docs_of(spark):
     return make
 
 
-LONG = " ".join(f"w{i * 7919 % 10007}" for i in range(30_000))
+LONG = " ".join(f"w{i * 7919 % 100_003}" for i in range(30_000))
 
 #: Nulls, empty and blank texts, a repeated row, ties, a very long text, odd characters.
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one two"), (6, LONG), (7, "a b c d e f g"), (7, "a b c d e f g"), (None, "no id here at all"), (8, LONG + " end"), (9, "é 漢字 🙂 \x00 ‏"), (10, "a  b\tc d e f g"), (11, "A B C D E F G"), (12, "x" * 50_000)]
