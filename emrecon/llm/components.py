@@ -10,16 +10,16 @@ from emrecon.llm.common import cut
 
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, comp (the smallest node it is connected with) for every node in ``edges``
-    (columns a, b). Labels move to the smallest label around and then to that label's own
-    label, so a path of length n takes about log n rounds. Joins are plain sort-merge
+    (columns a, b). In each round a label becomes the label of the smallest label around,
+    so a path of length n takes about log n rounds. Joins are plain sort-merge
     joins of two written tables, whose skewed keys Spark splits at run time."""
     links = edges.where("a <> b").select("a", "b")
     links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = cut(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), "labels")
     for _ in range(rounds):
         around = links.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
-        lower = cut(labels.join(around, "node").select("node", F.col("comp").alias("was"), F.least("comp", "least").alias("to")), "lower")
-        jumped = lower.select("node", "was", "to").join(lower.select(F.col("node").alias("to"), F.col("to").alias("comp")), "to")
+        lower = labels.select("node", F.col("comp").alias("was")).join(around, "node").select("node", "was", F.least("was", "least").alias("to"))
+        jumped = lower.join(labels.select(F.col("node").alias("to"), "comp"), "to")
         labels = cut(jumped.select("node", "comp", (F.col("comp") != F.col("was")).alias("moved")), "labels")
         if labels.where("moved").isEmpty():
             break

@@ -25,6 +25,7 @@ id; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -133,9 +134,12 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     need = (_prefix(percent) - F.col("sampled") + F.size("common")).cast("int")
     rest = F.expr("slice(first, sampled + 1, size(first))")
     picked = F.slice(F.concat("common", rest), F.lit(1), F.greatest(need, F.lit(0)))
-    keys = cut(both.select("rid", F.explode(picked).alias("h")), "keys")
-    heads = cut(keys.groupBy("h").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("df")).where("df > 1").drop("df"), "heads")
-    return keys.join(heads, "h").where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
+    # linked sets lie in the same or in neighbouring classes of size (a little wider than the limit)
+    size = F.floor(F.log(F.col("n")) / F.lit(1.0001 * math.log(100 / percent)))
+    keys = both.select("rid", F.explode(picked).alias("h"), F.array(size, size - 1).alias("sizes"))
+    keys = cut(keys.select("rid", "h", F.explode("sizes").alias("size")), "keys")
+    heads = cut(keys.groupBy("h", "size").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("df")).where("df > 1").drop("df"), "heads")
+    return keys.join(heads, ["h", "size"]).where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
 
 
 # ---- signature trees -------------------------------------------------------------
@@ -238,36 +242,36 @@ class Join:
 
 
 def join_within(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links (a, b) in each (cluster, leaf) of a block."""
+    """(rid, cluster, comp, large) of a block: comp is the smallest rid that a member is
+    connected with in its leaf of its cluster."""
     out = []
     for _, own in pdf.drop_duplicates("rid").groupby(["cluster", "leaf"], sort=False):
-        if len(own) > 1:
-            j = Join([np.frombuffer(b, np.uint64) for b in own["grams"]], own["rid"].tolist(), percent)
-            root = j.tree(list(range(len(own))))
-            j.traverse(root, root)
-            ids = own["rid"].tolist()
-            out += [(ids[a], ids[b]) for a, b in j.links]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        own = own.sort_values("rid")
+        ids = own["rid"].tolist()
+        j = Join([np.frombuffer(b, np.uint64) for b in own["grams"]], ids, percent)
+        root = j.tree(list(range(len(own))))
+        j.traverse(root, root)
+        out.append(own[["rid", "cluster", "large"]].assign(comp=[ids[j.find(i)] for i in range(len(ids))]))
+    return pd.concat(out)[["rid", "cluster", "comp", "large"]]
 
 
 def join_visitors(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links (a, b) between a leaf's members and its visitors of other components."""
+    """Links (a, b) between the components of a leaf's members and of its visitors."""
     own, other = pdf[~pdf["visits"]], pdf[pdf["visits"]]
     if not len(own) or not len(other):
         return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
     both = pd.concat([own, other])
     j = Join([np.frombuffer(b, np.uint64) for b in both["grams"]], both["comp"].tolist(), percent)
     j.traverse(j.tree(list(range(len(own)))), j.tree(list(range(len(own), len(both)))))
-    ids = both["rid"].tolist()
+    ids = both["comp"].tolist()
     return pd.DataFrame([(ids[a], ids[b]) for a, b in j.links], columns=["a", "b"]).astype("int64")
 
 
 # ---- clusters --------------------------------------------------------------------
 
 
-def gram_table(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """``members`` (rid, doc_id, dig, cluster, block, leaf, large) with n, their n-grams' hashes and a bitmap."""
-    count = members.count()
+def gram_table(docs: DataFrame, members: DataFrame, count: int, words: int) -> DataFrame:
+    """``members`` (rid, doc_id, dig, cluster, block, leaf, large; ``count`` rows) with n, their n-grams' hashes and a bitmap."""
     wanted = members.withColumnRenamed("doc_id", "id")
     if count <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -294,9 +298,9 @@ def gram_table(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     return out.drop("dig")
 
 
-def cluster_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b: links that connect every component. ``nodes``: rid, doc_id, dig, n;
-    ``clusters``: node, comp."""
+def cluster_components(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+    """rid, comp of all nodes in ``clusters`` (node, comp), by links within clusters.
+    ``nodes``: rid, doc_id, dig, n."""
     sizes = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     rows = cut(nodes.join(clusters.join(sizes, "comp"), F.col("rid") == F.col("node")).select("rid", "doc_id", "dig", "n", F.col("comp").alias("cluster"), "members"), "members")
     total = rows.count()
@@ -309,36 +313,35 @@ def cluster_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words:
     leaf = F.when(large, F.xxhash64("band", F.pmod(F.xxhash64("rid"), F.col("leaves")))).otherwise(0)
     rows = rows.withColumn("leaf", leaf)
     block = F.when(large, F.xxhash64("cluster", "leaf")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets_for(total, BLOCK))))
-    members = cut(rows.withColumn("block", block).select("rid", "doc_id", "dig", "cluster", "block", "leaf", large.alias("large")), "members")
-    grams = cut(gram_table(docs, members, words), "grams")
+    members = rows.withColumn("block", block).select("rid", "doc_id", "dig", "cluster", "block", "leaf", large.alias("large"))
+    grams = cut(gram_table(docs, members, total, words), "grams")
 
-    inner = grams.select("block", "rid", "cluster", "leaf", "grams").groupBy("block").applyInPandas(lambda pdf: join_within(pdf, percent), "a long, b long")
-    links = cut(inner, "links")
-    whole = grams.where("large")
-    if whole.isEmpty():
-        return links
-    parts = _components(whole.select("rid"), links)
+    inner = grams.select("block", "rid", "cluster", "leaf", "large", "grams").groupBy("block").applyInPandas(lambda pdf: join_within(pdf, percent), "rid long, cluster long, comp long, large boolean")
+    parts = cut(inner, "parts")
+    done = parts.where("NOT large").select("rid", "comp")
+    whole, parts = grams.where("large"), parts.where("large").drop("large")
+    if parts.isEmpty():
+        return done
 
     # pivots: of each cluster the first members of its largest parts
-    sized = whole.select("rid", "cluster").join(parts, "rid").groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("rid"))
-    pivots = _largest(sized)
+    sized = parts.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("rid"))
     leaves = whole.select("cluster", "leaf").distinct()
-    visits = whole.join(pivots.select("rid"), "rid").drop("leaf").join(leaves, "cluster")
-    links = links.unionByName(_visited(whole, visits, parts, percent))
-    links = cut(links, "links")
-    parts = _components(whole.select("rid"), links)
+    visits = whole.join(_largest(sized).select("rid"), "rid").drop("leaf").join(leaves, "cluster")
+    parts = _merged(parts, _visited(whole, visits, parts, percent))
 
     # what is outside its cluster's main part visits the leaves that may hold a partner
-    sized = whole.select("rid", "cluster").join(parts, "rid").groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
-    main = sized.groupBy("cluster").agg(F.max_by("comp", "size").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    outside = cut(whole.join(parts, "rid").join(main, "cluster").where("comp <> main").select(*whole.columns), "outside")
-    if outside.isEmpty():
-        return links
-    tops = whole.join(main.select("cluster"), "cluster").groupBy("cluster", "leaf").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), *(F.bit_or(F.col("bits")[k]).alias(f"o{k}") for k in range(SKETCH)))
-    missing = sum((F.bit_count(F.col("bits")[k].bitwiseAND(F.bitwise_not(F.col(f"o{k}")))) for k in range(SKETCH)), F.lit(0))
-    fits = (100 * F.col("n_max") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n_min")) & ((100 + percent) * (F.col("n") - missing) >= percent * (F.col("n") + F.col("n_min")))
-    visits = outside.withColumnRenamed("leaf", "home").join(tops, "cluster").where(fits).select("rid", "cluster", "leaf", "block", "large", "n", "grams", "bits")
-    return links.unionByName(_visited(whole, visits, parts, percent))
+    sized = parts.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
+    main = sized.groupBy("cluster").agg(F.max_by("comp", "size").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    main = cut(main, "main")
+    strays = parts.join(main, "cluster").where("comp <> main").select("rid")
+    outside = cut(whole.join(strays, "rid"), "outside")
+    if not outside.isEmpty():
+        tops = whole.join(main.select("cluster"), "cluster").groupBy("cluster", "leaf").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), *(F.bit_or(F.col("bits")[k]).alias(f"o{k}") for k in range(SKETCH)))
+        missing = sum((F.bit_count(F.col("bits")[k].bitwiseAND(F.bitwise_not(F.col(f"o{k}")))) for k in range(SKETCH)), F.lit(0))
+        fits = (100 * F.col("n_max") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n_min")) & ((100 + percent) * (F.col("n") - missing) >= percent * (F.col("n") + F.col("n_min")))
+        visits = outside.drop("leaf").join(tops, "cluster").where(fits)
+        parts = _merged(parts, _visited(whole.join(main.select("cluster"), "cluster"), visits, parts, percent))
+    return done.unionByName(parts.select("rid", "comp"))
 
 
 def _largest(sized: DataFrame) -> DataFrame:
@@ -350,16 +353,17 @@ def _largest(sized: DataFrame) -> DataFrame:
     return sized
 
 
-def _components(rids: DataFrame, links: DataFrame) -> DataFrame:
-    """rid, comp for all ``rids``; a node without a link is its own component."""
-    found = connected(links)
-    return cut(rids.join(found, F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("comp", "rid").alias("comp")), "parts")
-
-
 def _visited(whole: DataFrame, visits: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, from visits to leaves."""
     cols = ["cluster", "leaf", "rid", "grams"]
     rows = whole.select(*cols, F.lit(False).alias("visits")).unionByName(visits.select(*cols, F.lit(True).alias("visits")))
-    return rows.join(parts, "rid").groupBy("cluster", "leaf").applyInPandas(lambda pdf: join_visitors(pdf, percent), "a long, b long")
+    return rows.join(parts.select("rid", "comp"), "rid").groupBy("cluster", "leaf").applyInPandas(lambda pdf: join_visitors(pdf, percent), "a long, b long")
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (rid, cluster, comp) after ``links`` between components."""
+    found = connected(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return cut(parts.join(found, "comp", "left").select("rid", "cluster", F.coalesce("to", "comp").alias("comp")), "parts")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -371,7 +375,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     groups = cut(full.groupBy("dig").agg(F.min("doc_id").alias("first_id"), F.coalesce(F.min_by("rid", "doc_id"), F.min("rid")).alias("node"), F.count(F.lit(1)).alias("copies")), "groups")
     reps = cut(full.join(groups.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "doc_id", "dig", "n", "first", "sampled"), "reps")
     clusters = connected(candidate_edges(reps.select("rid", "n", "first", "sampled"), percent))
-    found = connected(cluster_links(docs, reps.select("rid", "doc_id", "dig", "n"), clusters, words, percent))
+    found = cluster_components(docs, reps.select("rid", "doc_id", "dig", "n"), clusters, words, percent).withColumnRenamed("rid", "node")
     joined = groups.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = joined.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     facts = cut(joined.join(least, "comp").select("dig", "copies", "component_id"), "facts")
