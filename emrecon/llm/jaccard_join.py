@@ -42,6 +42,9 @@ from emrecon.llm.components import connected
 
 #: Nodes of a leaf; a larger cluster is dealt to several.
 LEAF = 128
+#: Documents with fewer n-grams are ordered by frequencies of all their n-grams: a sample
+#: of few would leave their prefixes to chance.
+SHORT = 128
 #: Nodes that a task joins at once, in whole clusters.
 BLOCK = 512
 #: Members of a cluster that all its leaves are compared with before anything else.
@@ -94,7 +97,8 @@ def prefix_length(n, percent: int):
 
 def sketch_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, rid, n, dig, first, sampled: the n-grams with the smallest hashes, of which
-    the first ``sampled`` are below a bound that is the same for all documents."""
+    the first ``sampled`` are below a bound that is the same for all documents. Of short
+    documents ``first`` has all."""
     bound = np.uint64(int((1.75 * (1 - percent / 100) + 0.02) * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +110,8 @@ def sketch_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 below = int(np.searchsorted(h, bound))
                 n.append(len(h))
                 dig.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                first.append(h[: max(below, prefix_length(len(h), percent))].view(np.int64))
+                short = len(h) * percent <= 100 * SHORT
+                first.append((h if short else h[: max(below, prefix_length(len(h), percent))]).view(np.int64))
                 sampled.append(below)
             ends = pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
@@ -120,6 +125,15 @@ def _prefix(percent: int) -> F.Column:
     return F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
 
 
+def populations(reps: DataFrame, percent: int) -> DataFrame:
+    """``reps`` dealt to two populations, with ids 2 rid and 2 rid + 1 and n-grams of their
+    own: short documents, whose n-grams are all sampled, and the others. Either of two
+    linked sets has less than SHORT n-grams, and then both are short, or neither has."""
+    short = reps.where(F.col("n") * percent <= 100 * SHORT)
+    short = short.select((F.col("rid") * 2 + 1).alias("rid"), "n", F.expr("transform(first, x -> ~x)").alias("first"), F.col("n").cast("int").alias("sampled"))
+    return short.unionByName(reps.where(F.col("n") >= SHORT).select((F.col("rid") * 2).alias("rid"), "n", "first", "sampled"))
+
+
 def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs that tie together all nodes that share an n-gram of their prefixes."""
     sampled = F.expr("slice(first, 1, sampled)")
@@ -374,7 +388,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     full = sets.where("n > 0")
     groups = cut(full.groupBy("dig").agg(F.min("doc_id").alias("first_id"), F.coalesce(F.min_by("rid", "doc_id"), F.min("rid")).alias("node"), F.count(F.lit(1)).alias("copies")), "groups")
     reps = cut(full.join(groups.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "doc_id", "dig", "n", "first", "sampled"), "reps")
-    clusters = connected(candidate_edges(reps.select("rid", "n", "first", "sampled"), percent))
+    edges = candidate_edges(populations(reps, percent), percent)
+    clusters = connected(edges.select(*(F.shiftright(c, 1).alias(c) for c in ("a", "b"))))
     found = cluster_components(docs, reps.select("rid", "doc_id", "dig", "n"), clusters, words, percent).withColumnRenamed("rid", "node")
     joined = groups.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = joined.groupBy("comp").agg(F.min("first_id").alias("component_id"))
