@@ -8,12 +8,24 @@ from pyspark.sql import Window as W
 
 from emrecon.sources.scratch import cut, new_path
 
-__all__ = ["attach", "buckets_for", "cut", "documents", "new_path", "ranked"]
+__all__ = ["attach", "buckets_for", "cut", "documents", "held", "new_path", "ranked"]
 
 #: A key is hot with at least this share of the rows, so at most this many keys are hot.
 HOT_SHARE = 1024
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What ``make`` gives, kept for this worker's next batches and tasks until another
+    operator keeps something: workers outlive stages, and one cache at a time is enough."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id as long and text, null counting as empty; other columns only as named."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)

@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from emrecon.llm.common import attach, buckets_for, cut, documents
+from emrecon.llm.common import attach, buckets_for, cut, documents, held
 from emrecon.llm.components import connected
 
 #: Nodes of a leaf; a larger cluster is dealt to several.
@@ -85,9 +84,8 @@ class Hashes:
         return np.unique(h ^ (h >> np.uint64(32)))
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> Hashes:
-    return Hashes()
+    return held("hashes", Hashes)
 
 
 def prefix_length(n, percent: int):

@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emrecon.llm.common import documents
+from emrecon.llm.common import documents, held
 from emrecon.llm.training import labelled_sample, platt, remainder, sigmoid
 
 #: Labelled rows that the model is fitted on, at most.
@@ -151,9 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold, bound: int = SAMPLE) -> Machin
     return machine
 
 
-@lru_cache(maxsize=1)
 def _words() -> Words:
-    return Words()
+    return held("entries", Words)
 
 
 def score(docs: DataFrame, model: Machine | float) -> DataFrame:

@@ -17,14 +17,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emrecon.llm.common import documents
+from emrecon.llm.common import documents, held
 from emrecon.llm.training import free_name, labelled_sample, platt, remainder, sigmoid, with_scores
 
 #: Labelled rows that the model is fitted on, at most.
@@ -139,9 +138,8 @@ def shares(word: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a, SIZE + b]).astype(np.int32), np.concatenate([n / max(1, n.sum()), m / max(1, m.sum())])
 
 
-@lru_cache(maxsize=1)
 def _tokens() -> Tokens:
-    return Tokens()
+    return held("tokens", Tokens)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold, bound: int = SAMPLE) -> Regression | None:

@@ -16,14 +16,13 @@ from __future__ import annotations
 import string
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emrecon.llm.common import documents
+from emrecon.llm.common import documents, held
 from emrecon.llm.training import free_name, isotonic, labelled_sample, remainder, sigmoid, with_scores
 
 #: Labelled rows that the model is fitted on, at most.
@@ -221,9 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame, fold, bound: int = SAMPLE) -> Model
     return Model(lex, trees, isotonic(trees.margin(x[held]), y[held]))
 
 
-@lru_cache(maxsize=2)
-def _flags(key: int, model: Model) -> Flags:
-    return Flags(model.lex)
+def _flags(model: Model) -> Flags:
+    found = held("flags", lambda: Flags(model.lex))
+    if found.lex is not model.lex:
+        found.lex, found.known = model.lex, {}
+    return found
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
@@ -232,7 +233,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        flags = None if isinstance(m, float) else _flags(id(m), m)
+        flags = None if isinstance(m, float) else _flags(m)
         for batch in batches:
             n = batch.num_rows
             s = np.full(n, m) if flags is None else m.score(np.array([features(t.as_py(), flags) for t in batch.column("text")]).reshape(n, -1)) if n else np.zeros(0)
@@ -257,7 +258,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, threshol
 
     def scores(texts: list[str]) -> np.ndarray:
         m = shared.value
-        flags = _flags(id(m), m)
+        flags = _flags(m)
         return m.score(np.array([features(t, flags) for t in texts]))
 
     name = free_name(docs, "toxicity")

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from emrecon.llm.common import cut, documents
 
 
+#: Texts that are scored at once.
+SLICE = 256
+
+
 def remainder(of: int) -> Column:
     """The fold of a row: crc32 of its doc_id as text, modulo ``of``. A null id has none."""
     return F.crc32(F.col("doc_id").cast("string")) % of
@@ -32,10 +36,11 @@ def with_scores(docs: DataFrame, scores: Callable[[list[str]], np.ndarray], name
     filter needs no join back to the texts then."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            own = pa.array(scores(texts) if texts else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, name])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                own = pa.array(scores([t or "" for t in batch.column("text").to_pylist()]), pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 

@@ -17,6 +17,8 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
+from emrecon.llm.common import held
+
 #: The code points with Unicode's White_Space property, as a pattern's class.
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = re.compile(f"[^{SPACE}]+")
@@ -102,6 +104,5 @@ class WordEncoder:
         return b"".join(map(self.known.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return held(("words", path), lambda: WordEncoder(path))
