@@ -42,6 +42,8 @@ def with_scores(docs: DataFrame, scores: Callable[[list[str]], np.ndarray], name
                 own = pa.array(scores([t or "" for t in batch.column("text").to_pylist()]), pa.float64())
                 yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, name])
 
+    # whole texts of 10 000 rows, the default, take hundreds of MB on their way to and from Python
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4 * SLICE)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
