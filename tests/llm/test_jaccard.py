@@ -121,3 +121,13 @@ def test_components_of_a_path(spark):
     got = {r.node: r.comp for r in connected(edges).collect()}
     assert got == {i: 0 for i in range(201)}
     assert connected(edges.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n", [3000])
+def test_components_of_long_shuffled_paths(spark, n):
+    ids = list(range(2 * n))
+    random.Random(n).shuffle(ids)
+    paths = [ids[:n], ids[n:]]
+    edges = spark.createDataFrame([(int(a), int(b)) for p in paths for a, b in zip(p, p[1:])], "a long, b long")
+    got = {r.node: r.comp for r in connected(edges).collect()}
+    assert got == {i: min(p) for p in paths for i in p}
