@@ -13,8 +13,11 @@ nodes is cut off if the bitmaps leave less overlap than the sizes ask for. Sets
 left face to face are compared exactly, unless they are connected already. A cluster of
 any size is dealt to leaves of ``LEAF`` nodes, each joined with itself. Leaves are tied
 together by pivots of the cluster first; only what is not connected to the cluster's
-main part then visits the leaves that its bitmap allows. Thus every link between
-different components is tested, and copies are never paired with each other in full.
+main part then visits other leaves. The prefix argument, now with the frequencies of all
+n-grams in the cluster, names the leaves that can hold a partner, and bitmaps leave out
+more. A leaf's visitors come in blocks of about ``LEAF``, however many they are. Thus every
+link between different components is tested, and copies are never paired with each other
+in full.
 
 Defined cases: null and empty texts, and texts without words, have empty sets, which are
 linked with nothing; a text of fewer words than an n-gram has one n-gram, the whole;
@@ -338,7 +341,7 @@ def cluster_components(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, w
     # pivots: of each cluster the first members of its largest parts
     sized = parts.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("rid"))
     leaves = whole.select("cluster", "leaf").distinct()
-    visits = whole.join(_largest(sized).select("rid"), "rid").drop("leaf").join(leaves, "cluster")
+    visits = _largest(sized).select("rid", "cluster").join(leaves, "cluster")
     parts = _merged(parts, _visited(whole, visits, parts, percent))
 
     # what is outside its cluster's main part visits the leaves that may hold a partner
@@ -348,11 +351,13 @@ def cluster_components(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, w
     strays = parts.join(main, "cluster").where("comp <> main").select("rid")
     outside = cut(whole.join(strays, "rid"), "outside")
     if not outside.isEmpty():
-        tops = whole.join(main.select("cluster"), "cluster").groupBy("cluster", "leaf").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), *(F.bit_or(F.col("bits")[k]).alias(f"o{k}") for k in range(SKETCH)))
+        crowd = whole.join(main.select("cluster"), "cluster")
+        tops = crowd.groupBy("cluster", "leaf").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), *(F.bit_or(F.col("bits")[k]).alias(f"o{k}") for k in range(SKETCH)))
         missing = sum((F.bit_count(F.col("bits")[k].bitwiseAND(F.bitwise_not(F.col(f"o{k}")))) for k in range(SKETCH)), F.lit(0))
         fits = (100 * F.col("n_max") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n_min")) & ((100 + percent) * (F.col("n") - missing) >= percent * (F.col("n") + F.col("n_min")))
-        visits = outside.drop("leaf").join(tops, "cluster").where(fits)
-        parts = _merged(parts, _visited(whole.join(main.select("cluster"), "cluster"), visits, parts, percent))
+        asked = outside.select("rid", "n", "bits").join(_partner_leaves(crowd, outside.select("rid"), percent), "rid")
+        visits = asked.join(tops, ["cluster", "leaf"]).where(fits).select("rid", "cluster", "leaf")
+        parts = _merged(parts, _visited(crowd, visits, parts, percent))
     return done.unionByName(parts.select("rid", "comp"))
 
 
@@ -365,11 +370,42 @@ def _largest(sized: DataFrame) -> DataFrame:
     return sized
 
 
+def _partner_leaves(crowd: DataFrame, strays: DataFrame, percent: int) -> DataFrame:
+    """rid, cluster, leaf: for each of ``strays`` the leaves other than its own with a
+    member that shares an n-gram of both prefixes and a class of size with it. N-grams
+    are ordered by their frequency in the cluster, all of them, so that a prefix of
+    n-grams that no other member has leaves no partner."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pa.array([np.frombuffer(g, np.int64) for g in batch.column("grams").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "cluster", "leaf", "n")), lists], ["rid", "cluster", "leaf", "n", "h"])
+
+    sets = crowd.select("rid", "cluster", "leaf", "n", "grams").mapInArrow(unpack, "rid long, cluster long, leaf long, n long, h array<long>")
+    rows = sets.withColumn("h", F.explode("h"))
+    shared = cut(rows.groupBy("cluster", "h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "cluster-shared")
+    common = rows.join(shared, ["cluster", "h"]).groupBy("rid", "cluster", "leaf", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    need = (_prefix(percent) - F.col("n") + F.size("common")).cast("int")
+    picked = F.expr("transform(common, x -> x.h)")
+    size = F.floor(F.log(F.col("n")) / F.lit(1.0001 * math.log(100 / percent)))
+    keys = common.select("rid", "cluster", "leaf", F.explode(F.slice(picked, F.lit(1), F.greatest(need, F.lit(0)))).alias("h"), F.array(size, size - 1).alias("sizes"))
+    keys = cut(keys.select("rid", "cluster", "leaf", "h", F.explode("sizes").alias("size")), "cluster-keys")
+    asked = keys.join(strays, "rid").withColumnRenamed("leaf", "own")
+    offered = keys.select("cluster", "leaf", "h", "size").distinct()
+    return asked.join(offered, ["cluster", "h", "size"]).where("leaf <> own").select("rid", "cluster", "leaf").distinct()
+
+
 def _visited(whole: DataFrame, visits: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components, from visits to leaves."""
-    cols = ["cluster", "leaf", "rid", "grams"]
-    rows = whole.select(*cols, F.lit(False).alias("visits")).unionByName(visits.select(*cols, F.lit(True).alias("visits")))
-    return rows.join(parts.select("rid", "comp"), "rid").groupBy("cluster", "leaf").applyInPandas(lambda pdf: join_visitors(pdf, percent), "a long, b long")
+    """Links (a, b) between components, from ``visits`` (rid, cluster, leaf) to leaves. A
+    group is a leaf and one block of its visitors; leaves without visitors stay away."""
+    visits = cut(visits, "visits")
+    hosts = cut(visits.groupBy("cluster", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF)).alias("blocks")), "hosts")
+    cols = ["cluster", "leaf", "part", "rid", "grams"]
+    dealt = visits.join(hosts, ["cluster", "leaf"]).withColumn("part", F.pmod(F.xxhash64("rid", "leaf"), F.col("blocks")))
+    guests = dealt.join(whole.select("rid", "grams"), "rid").select(*cols, F.lit(True).alias("visits"))
+    own = whole.join(hosts, ["cluster", "leaf"]).withColumn("part", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    rows = own.select(*cols, F.lit(False).alias("visits")).unionByName(guests)
+    return rows.join(parts.select("rid", "comp"), "rid").groupBy("cluster", "leaf", "part").applyInPandas(lambda pdf: join_visitors(pdf, percent), "a long, b long")
 
 
 def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:

@@ -131,3 +131,29 @@ def test_components_of_long_shuffled_paths(spark, n):
     edges = spark.createDataFrame([(int(a), int(b)) for p in paths for a, b in zip(p, p[1:])], "a long, b long")
     got = {r.node: r.comp for r in connected(edges).collect()}
     assert got == {i: min(p) for p in paths for i in p}
+
+
+def alike(n, length, passage, seed):
+    """Texts that share a passage and are not linked, and a few copies with a word changed."""
+    rng = random.Random(seed)
+    own = [f"p{i}" for i in range(passage)]
+    rows = [(i, " ".join(own + [f"x{rng.randrange(10**9)}" for _ in range(length - passage)])) for i in range(n)]
+    for k in range(12):
+        words = rows[k * 7][1].split()
+        words[-1] = "changed"
+        rows.append((n + k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("length", "passage"), [(300, 190), (70, 61)])
+def test_visitors_come_in_blocks(docs_of, monkeypatch, length, passage):
+    leaf, visitors = 8, J.join_visitors
+
+    def watched(pdf, percent):
+        assert len(pdf) <= 6 * leaf, f"{len(pdf)} rows in a group"
+        return visitors(pdf, percent)
+
+    monkeypatch.setattr(J, "LEAF", leaf)
+    monkeypatch.setattr(J, "join_visitors", watched)
+    rows = alike(300, length, passage, 5)
+    assert result(J.jaccard_components(docs_of(rows), 3, 80)) == brute(rows, 3, 80)
