@@ -3,8 +3,9 @@
 ``csr4``: a little-endian header (magic, version, symmetry flags, row, column and element
 counts, length of the scanner description), the scanner description, the inclusive end of
 each row as 64-bit numbers, then (column, value) pairs of 32 bits each. A read is planned
-by row ranges of like weight and each task reads its own bytes; bounds on ``r`` prune the
-ranges. ``rawvec``: values of one type without a header, keyed by their place.
+by row ranges of like weight (rows and their elements; a row is never cut) and each task
+reads its own bytes; the options ``from`` and ``to`` prune the ranges, filters on ``r`` do
+not. ``rawvec``: values of one type without a header, keyed by their place.
 
 Files are opened by URI through Arrow's file systems, in tasks as on the driver."""
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,9 +114,20 @@ class Csr4Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         h = read_header(self.path)
         lo, hi = max(0, self.lo), min(h["n_rows"], self.hi)
-        # consecutive rows of equal number; a task's memory is bounded by reading in slices
-        bounds = np.linspace(lo, max(lo, hi), min(self.parts, max(1, hi - lo)) + 1).astype(int)
-        return [RowRange(int(a), int(b)) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+        if hi <= lo:
+            return []
+        f, _ = _open(self.path)
+        with f:
+
+            def weight(row: int) -> int:
+                return row + (struct.unpack("<Q", f.read_at(8, h["ends_at"] + 8 * (row - 1)))[0] if row else 0)
+
+            # equal shares of rows and elements, found by bisection in the stored row ends
+            first, all_ = weight(lo), weight(hi) - weight(lo)
+            parts = min(self.parts, hi - lo)
+            inner = [lo + bisect_left(range(lo, hi), first + all_ * k // parts, key=weight) for k in range(1, parts)]
+        bounds = [lo, *inner, hi]
+        return [RowRange(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
 
     def read(self, partition: RowRange, rows: int = 1 << 16, elements: int = 1 << 20) -> Iterator[pa.RecordBatch]:
         h = read_header(self.path)

@@ -63,3 +63,17 @@ def test_vector(spark, tmp_path):
     assert np.array_equal(np.fromfile(path, "<f4"), np.arange(1000, dtype="f4") / 2)
     got = spark.read.format("rawvec").option("path", path).load().orderBy("i").collect()
     assert [r["x"] for r in got] == [i / 2 for i in range(1000)]
+
+
+def test_ranges_of_like_weight(tmp_path):
+    lengths = [1] * 900 + [100] * 100
+    described = csr4.scanner_bytes(SCANNER)
+    head = csr4.HEADER.pack(csr4.MAGIC, csr4.VERSION, 0, 0, 1000, 8, sum(lengths), len(described))
+    path = tmp_path / "skewed.csr4"
+    path.write_bytes(head + described + np.cumsum(lengths).astype("<u8").tobytes() + bytes(8 * sum(lengths)))
+    ranges = [(p.start, p.end) for p in csr4.Csr4Reader({"path": str(path)}).partitions()]
+    assert ranges[0][0] == 0 and ranges[-1][1] == 1000 and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+    assert max(b - a + sum(lengths[a:b]) for a, b in ranges) <= (1000 + sum(lengths)) / 8 + 101  # a share and a row
+    some = csr4.Csr4Reader({"path": str(path), "from": 10, "to": 950}).partitions()
+    assert (some[0].start, some[-1].end) == (10, 950)
+    assert csr4.Csr4Reader({"path": str(path), "from": 2000}).partitions() == []
