@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emrecon.llm.common import documents, held
-from emrecon.llm.training import labelled_sample, platt, remainder, sigmoid
+from emrecon.llm.common import cut, documents, held
+from emrecon.llm.training import descend, labelled_sample, parts_of, platt, remainder, sigmoid
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 10_000
 #: Entries for hashed words (a power of two), bins for each statistic, length of the vectors.
 WORDS, BINS, FACTORS = 1 << 14, 12, 8
+#: Passes over the sample, step length and decay of the parameters.
+STEPS, RATE, DECAY = 40, 0.05, 1e-4
 #: Tokens whose entries a worker keeps at most; then it starts anew.
 CACHE = 500_000
 
@@ -93,39 +95,9 @@ class Machine:
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * margin + self.offset)
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.02, decay: float = 1e-4, seed: int = 0) -> Machine:
-        """Logistic loss by Adam over small batches."""
-        rng = np.random.default_rng(seed)
-        self.w0 = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        params = [self.w, self.v]
-        first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        step, m = 0, len(self.w)
-        for _ in range(epochs):
-            order = rng.permutation(len(rows))
-            for start in range(0, len(rows), batch):
-                own = order[start : start + batch]
-                at, x = (np.concatenate([rows[i][k] for i in own]) for k in (0, 1))
-                ends = np.cumsum([0, *(len(rows[i][0]) for i in own)])[:-1]
-                xv = self.v[at] * x[:, None]
-                sums = np.add.reduceat(xv, ends)
-                margin = self.w0 + np.add.reduceat(self.w[at] * x, ends) + 0.5 * ((sums**2).sum(1) - np.add.reduceat((xv**2).sum(1), ends))
-                err = (sigmoid(margin) - y[own]) / len(own)
-                row = np.repeat(np.arange(len(own)), np.diff([*ends, len(at)]))
-                gv = (err[row] * x)[:, None] * (sums[row] - xv)
-                grads = [np.bincount(at, err[row] * x, m), np.stack([np.bincount(at, gv[:, k], m) for k in range(FACTORS)], 1)]
-                step += 1
-                self.w0 -= rate * float(err.sum())
-                for p, g, a, b in zip(params, grads, first, second, strict=True):
-                    g += decay * p
-                    a += 0.1 * (g - a)
-                    b += 0.001 * (g * g - b)
-                    p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-        return self
-
-
-def fit(docs: DataFrame, labels: DataFrame, fold, bound: int = SAMPLE) -> Machine | float:
-    """The machine, or a constant score where the sample lacks a class."""
-    rows = labelled_sample(docs, labels, "quality", fold, bound)
+
+def entry_rows(rows: DataFrame) -> DataFrame:
+    """y, part, word entries and statistics of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -133,20 +105,68 @@ def fit(docs: DataFrame, labels: DataFrame, fold, bound: int = SAMPLE) -> Machin
             got = [entries(t.as_py(), len(t.as_py()), words) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("part"), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int32())), pa.array([s for _, s in got], pa.list_(pa.float64()))], ["y", "part", "at", "stats"])
 
-    got = rows.select("y", "part", "text").mapInArrow(run, "y int, part double, at array<int>, stats array<double>").toPandas()  # entries of the bounded sample, WORDS a row at most
-    y, part = got["y"].to_numpy(float), got["part"].to_numpy()
-    if len(set(y)) < 2:
-        return float(y.mean()) if len(y) else 0.5
-    stats = np.stack(got["stats"].to_numpy())
+    return rows.select("y", "part", "text").mapInArrow(run, "y int, part double, at array<int>, stats array<double>")
+
+
+def vectors(batch: pa.RecordBatch, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of all rows of a batch, their values, and where each row begins: of each row
+    first one bin for each statistic, then its words."""
+    n, k = batch.num_rows, len(edges)
+    lists = batch.column("at")
+    counts = np.diff(lists.offsets.to_numpy())
+    stats = batch.column("stats").flatten().to_numpy().reshape(n, k)
+    begins = np.cumsum(np.r_[0, counts[:-1] + k])
+    at, x = np.empty(int(counts.sum()) + n * k, np.int64), np.ones(int(counts.sum()) + n * k)
+    bins = (begins[:, None] + np.arange(k)).ravel()
+    at[bins] = np.stack([WORDS + f * (BINS + 1) + np.searchsorted(e, stats[:, f]) for f, e in enumerate(edges)], 1).ravel()
+    is_word = np.ones(len(at), bool)
+    is_word[bins] = False
+    at[is_word], x[is_word] = lists.flatten().to_numpy(), np.repeat(1 / np.sqrt(np.maximum(1, counts)), counts)
+    return at, x, begins
+
+
+def _margins(params: np.ndarray, at: np.ndarray, x: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Margins of the rows, the entries' parts of the factor sums, and these sums."""
+    m = (len(params) - 1) // (FACTORS + 1)
+    xv = params[m:-1].reshape(m, FACTORS)[at] * x[:, None]
+    sums = np.add.reduceat(xv, begins)
+    pairs = 0.5 * ((sums**2).sum(1) - np.add.reduceat((xv**2).sum(1), begins))
+    return params[-1] + np.add.reduceat(params[at] * x, begins) + pairs, xv, sums
+
+
+def gradient(params: np.ndarray, batch: pa.RecordBatch, edges: list[np.ndarray]) -> np.ndarray:
+    """Gradient of the logistic loss, summed over a batch: weights, vectors, offset."""
+    at, x, begins = vectors(batch, edges)
+    m = (len(params) - 1) // (FACTORS + 1)
+    margin, xv, sums = _margins(params, at, x, begins)
+    err = sigmoid(margin) - batch.column("y").to_numpy()
+    row = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(at)]))
+    gv = (err[row] * x)[:, None] * (sums[row] - xv)
+    return np.concatenate([np.bincount(at, err[row] * x, m), np.stack([np.bincount(at, gv[:, k], m) for k in range(FACTORS)], 1).ravel(), [err.sum()]])
+
+
+def fit(docs: DataFrame, labels: DataFrame, fold, bound: int = SAMPLE, steps: int = STEPS) -> Machine | float:
+    """The machine, or a constant score where the sample lacks a class. Entries stay in a
+    written table; of each row its statistics, then its margin, come to the driver."""
+    rows = labelled_sample(docs, labels, "quality", fold, bound)
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(counts) < 2:
+        return float(next(iter(counts), 0.5))
+    fits, held = parts_of(cut(entry_rows(rows), "entries"), 0.75)
+    stats = np.stack(fits.select("stats").toPandas()["stats"].to_numpy())  # len(STATISTICS) numbers for each row of the bounded sample
     edges = [np.unique(np.quantile(stats[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(stats.shape[1])]
     machine = Machine(edges)
-    vectors = [machine.vector(np.asarray(a, np.int32), s) for a, s in zip(got["at"], stats, strict=True)]
-    fits = part < 0.75
-    if len(set(y[fits])) < 2 or len(set(y[~fits])) < 2:
-        fits[:] = True
-    machine.fit([v for v, f in zip(vectors, fits, strict=True) if f], y[fits])
-    held = ~fits if not fits.all() else fits
-    machine.slope, machine.offset = platt(np.array([machine.margin(*v) for v, h in zip(vectors, held, strict=True) if h]), y[held])
+    m = len(machine.w)
+    start = np.concatenate([machine.w, machine.v.ravel(), [np.log((counts[1] + 1) / (counts[0] + 1))]])
+    params = descend(fits, lambda p, batch: gradient(p, batch, edges), start, np.full(len(start), RATE), np.append(np.full(len(start) - 1, DECAY), 0.0), steps)
+    machine.w, machine.v, machine.w0 = params[:m], params[m:-1].reshape(m, FACTORS), float(params[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(_margins(params, *vectors(batch, edges))[0], pa.float64())], ["y", "margin"])
+
+    got = held.mapInArrow(run, "y int, margin double").toPandas()  # two numbers for each row of the bounded sample
+    machine.slope, machine.offset = platt(got["margin"].to_numpy(), got["y"].to_numpy(float))
     return machine
 
 

@@ -3,8 +3,8 @@
 The regression sees word n-grams (words, pairs, pairs of word shapes, repeats) and
 character n-grams (four bytes), hashed into fixed tables. A document's margin is the mean
 weight over its word n-grams plus that over its character n-grams. It is fitted on a
-bounded sample of labelled rows, calibrated to probabilities on a part kept apart, and
-scored in Arrow batches; a document stays if no base rule fails and its probability
+bounded sample of labelled rows, by gradients that tasks take over their rows and Spark
+brings together, calibrated to probabilities on a part kept apart, and scored in Arrow batches; a document stays if no base rule fails and its probability
 reaches a fixed threshold.
 
 Defined cases: null and empty texts have no words, so the base rules fail; a null doc_id
@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emrecon.llm.common import documents, held
-from emrecon.llm.training import free_name, labelled_sample, platt, remainder, sigmoid, with_scores
+from emrecon.llm.common import cut, documents, held
+from emrecon.llm.training import descend, free_name, labelled_sample, parts_of, platt, remainder, sigmoid, with_scores
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 8_000
 #: Entries of each hashed table; a power of two.
 SIZE = 1 << 15
+#: Passes over the sample.
+STEPS = 40
 #: Probability from which a document stays.
 THRESHOLD = 0.5
 #: Base rules: least words, and percent of words in repeated windows at most.
@@ -110,26 +112,6 @@ class Regression:
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * margin + self.offset)
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.3, decay: float = 1e-6) -> Regression:
-        """Logistic loss by Adam over small batches of (entries, shares)."""
-        rng = np.random.default_rng(0)
-        self.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        first, second, step = np.zeros_like(self.w), np.zeros_like(self.w), 0
-        for _ in range(epochs):
-            order = rng.permutation(len(rows))
-            for start in range(0, len(rows), batch):
-                own = order[start : start + batch]
-                at, x = (np.concatenate([rows[i][k] for i in own]) for k in (0, 1))
-                row = np.repeat(np.arange(len(own)), [len(rows[i][0]) for i in own])
-                err = (sigmoid(self.bias + np.bincount(row, self.w[at] * x, len(own))) - y[own]) / len(own)
-                g = np.bincount(at, err[row] * x, len(self.w)) + decay * self.w
-                step += 1
-                first += 0.1 * (g - first)
-                second += 0.001 * (g * g - second)
-                self.w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-                self.bias -= 0.1 * float(err.sum())
-        return self
-
 
 def shares(word: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries of the joint table and their shares, each half's adding up to 1."""
@@ -142,8 +124,8 @@ def _tokens() -> Tokens:
     return held("tokens", Tokens)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold, bound: int = SAMPLE) -> Regression | None:
-    rows = labelled_sample(docs, labels, "quality", fold, bound)
+def entry_rows(rows: DataFrame) -> DataFrame:
+    """y, part and the entries (at, x) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,18 +134,49 @@ def fit(docs: DataFrame, labels: DataFrame, fold, bound: int = SAMPLE) -> Regres
                 at, x = shares(*slots(raw, raw.split(), _tokens()))
                 yield pa.RecordBatch.from_arrays([pa.array([y.as_py()], pa.int32()), pa.array([part.as_py()]), pa.array([at.tobytes()]), pa.array([x.astype(np.float32).tobytes()])], ["y", "part", "at", "x"])
 
-    got = rows.select("y", "part", "text").mapInArrow(run, "y int, part double, at binary, x binary").toPandas()  # entries of the bounded sample, 2 * SIZE a row at most
-    y, part = got["y"].to_numpy(float), got["part"].to_numpy()
-    if len(set(y)) < 2:
+    return rows.select("y", "part", "text").mapInArrow(run, "y int, part double, at binary, x binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of all rows of a batch, their shares, and the row of each."""
+    at, x = batch.column("at").to_pylist(), batch.column("x").to_pylist()
+    row = np.repeat(np.arange(len(at)), [len(a) // 4 for a in at])
+    return np.frombuffer(b"".join(at), np.int32), np.frombuffer(b"".join(x), np.float32), row
+
+
+def margins_of(params: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """Margins of a batch of entries; the last parameter is the bias."""
+    at, x, row = _unpacked(batch)
+    return params[-1] + np.bincount(row, params[at] * x, batch.num_rows)
+
+
+def gradient(params: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """Gradient of the logistic loss, summed over a batch of entries."""
+    at, x, row = _unpacked(batch)
+    err = sigmoid(params[-1] + np.bincount(row, params[at] * x, batch.num_rows)) - batch.column("y").to_numpy()
+    return np.append(np.bincount(at, err[row] * x, len(params) - 1), err.sum())
+
+
+def fit(docs: DataFrame, labels: DataFrame, fold, bound: int = SAMPLE, steps: int = STEPS) -> Regression | None:
+    """The model, or None where the sample lacks a class. Entries stay in a written table;
+    of each row only its margin and label come to the driver, for the calibration."""
+    rows = labelled_sample(docs, labels, "quality", fold, bound)
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(counts) < 2:
         return None
-    vectors = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(got["at"], got["x"], strict=True)]
-    fits = part < 0.75
-    if len(set(y[fits])) < 2 or len(set(y[~fits])) < 2:
-        fits[:] = True
-    model = Regression().fit([v for v, f in zip(vectors, fits, strict=True) if f], y[fits])
-    held = ~fits if not fits.all() else fits
-    margins = np.array([model.bias + float(model.w[a] @ x) for (a, x), h in zip(vectors, held, strict=True) if h])
-    model.slope, model.offset = platt(margins, y[held])
+    fits, held = parts_of(cut(entry_rows(rows), "entries"), 0.75)
+    start = np.zeros(2 * SIZE + 1)
+    start[-1] = np.log((counts[1] + 1) / (counts[0] + 1))
+    params = descend(fits, gradient, start, np.append(np.ones(2 * SIZE), 0.1), 1e-6, steps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(margins_of(params, batch), pa.float64())], ["y", "margin"])
+
+    got = held.mapInArrow(run, "y int, margin double").toPandas()  # two numbers for each row of the bounded sample
+    model = Regression()
+    model.w, model.bias = params[:-1], float(params[-1])
+    model.slope, model.offset = platt(got["margin"].to_numpy(), got["y"].to_numpy(float))
     return model
 
 

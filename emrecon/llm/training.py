@@ -15,6 +15,8 @@ from emrecon.llm.common import cut, documents
 
 #: Texts that are scored at once.
 SLICE = 256
+#: Parts in which a sample's gradient is taken, each by one task.
+PARTS = 8
 
 
 def remainder(of: int) -> Column:
@@ -54,6 +56,43 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def descend(rows: DataFrame, gradient: Callable[[np.ndarray, pa.RecordBatch], np.ndarray], start: np.ndarray, rates: np.ndarray, decay: np.ndarray | float, steps: int) -> np.ndarray:
+    """Parameters after ``steps`` of Adam over all of ``rows``, a written table. The rows
+    stay where they are: in each step tasks get the parameters and give the sum of
+    ``gradient`` over their batches, so that only PARTS vectors of the parameters' size reach
+    the driver, however many entries the rows have. The sum is divided by the rows' number."""
+    context, size = rows.sparkSession.sparkContext, len(start)
+    params, first, second = start.astype(float), np.zeros(size), np.zeros(size)
+    count = rows.count()
+    for step in range(1, steps + 1):
+        shared = context.broadcast(params.astype(np.float32))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total, now = np.zeros(size), shared.value.astype(float)
+            for whole in batches:
+                for at in range(0, whole.num_rows, SLICE):
+                    total += gradient(now, whole.slice(at, SLICE))
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g"])
+
+        parts = rows.coalesce(PARTS).mapInArrow(run, "g binary").collect()
+        shared.destroy()
+        g = sum((np.frombuffer(r["g"], np.float32).astype(float) for r in parts), np.zeros(size)) / max(1, count) + decay * params
+        first += 0.1 * (g - first)
+        second += 0.001 * (g * g - second)
+        params -= rates * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return params
+
+
+def has_both(rows: DataFrame) -> bool:
+    return rows.select("y").distinct().count() > 1
+
+
+def parts_of(rows: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """The rows to fit on and those to calibrate with, apart where both have both classes."""
+    fits, held = rows.where(F.col("part") < share), rows.where(F.col("part") >= share)
+    return (fits, held) if has_both(fits) and has_both(held) else (rows, rows)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
