@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from emrecon.sources.scratch import cut, new_path
 
-__all__ = ["attach", "buckets_for", "cut", "documents", "held", "new_path", "ranked"]
+__all__ = ["TAGS", "attach", "buckets_for", "cut", "documents", "held", "new_path", "only_marked", "ranked", "tags"]
+
+#: Up to so many keys of rows are broadcast to find the rows; more are joined.
+BROADCAST_IDS = 500_000
+#: Columns that tell rows with one doc_id apart by their texts.
+TAGS = ["tag_a", "tag_b"]
 
 #: A key is hot with at least this share of the rows, so at most this many keys are hot.
 HOT_SHARE = 1024
@@ -59,3 +64,39 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], bucket: str, out:
     inside = W.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     own = df.withColumn("__own", F.sum(w).over(inside).cast("long") - w)
     return own.join(sums, [*groups, bucket]).withColumn(out, (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before")
+
+
+def tags(text: Column) -> list[Column]:
+    """The columns named in TAGS: 96 bits of hashes of the text as it is."""
+    return [F.xxhash64(text).alias(TAGS[0]), F.hash(text).alias(TAGS[1])]
+
+
+def only_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their columns, that stay, by ``marked``: doc_id, TAGS and
+    ``stays`` of each row. Of rows alike in doc_id and text one stays if any is marked so.
+    Only keys of rows that go meet the texts, so these are not shuffled while the keys are
+    few enough for a broadcast."""
+    per_key = cut(marked.groupBy("doc_id", *TAGS).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows")).where("NOT stays OR rows > 1"), "marks")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+
+    def same(keys: DataFrame):
+        a, b = (t.eqNullSafe(keys[name]) for t, name in zip(tags(text), TAGS, strict=True))
+        return docs["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & a & b
+
+    gone, once = per_key.where("NOT stays"), per_key.where("stays")
+    if per_key.count() <= BROADCAST_IDS:
+        gone, once = F.broadcast(gone), F.broadcast(once)
+    if once.isEmpty():
+        return docs.join(gone, same(gone), "left_anti")
+    single = docs.join(gone, same(gone), "left_anti").join(once, same(once), "left_anti")
+    names = [free_name(docs, k) for k in ("doc_id_key", *TAGS)]
+    keys = [docs["doc_id"].cast("long").alias(names[0]), *(t.alias(n) for t, n in zip(tags(text), names[1:], strict=True))]
+    repeated = docs.join(once, same(once), "left_semi").select("*", *keys).dropDuplicates(names).drop(*names)
+    return single.unionByName(repeated)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name

@@ -1,28 +1,31 @@
 """N-gram Jaccard self-join with signature trees, and the components of its links.
 
-Documents are sets of hashed word n-grams. Documents with equal sets are one node. Nodes
-that may have a partner are found by an exact prefix argument: under one order of all
-n-grams, linked sets share one of the first n - ceil(t n) + 1. The order puts the rarest
-first, so a node whose first n-grams occur nowhere else has no partner and is dropped,
-which most are. What is left is tied together by shared prefix n-grams to clusters;
-every link lies within a cluster.
-
-Inside a cluster signature trees do the join. A tree's nodes hold the OR of their sets'
-bitmaps and the range of set sizes; two trees are traversed together, and a pair of
-nodes is cut off if the bitmaps leave less overlap than the sizes ask for. Sets that are
-left face to face are compared exactly, unless they are connected already. A cluster of
-any size is dealt to leaves of ``LEAF`` nodes, each joined with itself. Leaves are tied
-together by pivots of the cluster first; only what is not connected to the cluster's
-main part then visits other leaves. The prefix argument, now with the frequencies of all
-n-grams in the cluster, names the leaves that can hold a partner, and bitmaps leave out
-more. A leaf's visitors come in blocks of about ``LEAF``, however many they are. Thus every
-link between different components is tested, and copies are never paired with each other
-in full.
+Documents are sets of hashed word n-grams; documents with equal sets are one node. A tree
+of signatures stands over all nodes. Its root parts them to clusters by exact keys: under
+one order of all n-grams, linked sets share at least r of the first p + r - 1, where p is
+how many a set can lack of a partner and one more. A node that shares fewer of these with
+any other has no partner and is dropped, which most are; of the others all but the r - 1
+most frequent of these n-grams tie nodes to clusters. Every link lies within a cluster.
+
+Below, a cluster's nodes lie in order of size and least n-gram, ``LEAF`` to a leaf, and
+``FAN`` nodes of a level share a parent. Each holds the OR of its sets' bitmaps, the range
+of their sizes, the least number of bits of a set and the range of their components. The
+levels are tables. Two trees are traversed together from the roots, a level in a join: a
+pair of nodes is cut off if the bitmaps leave less overlap than the sizes ask for, or if
+all below both are connected. Leaves that are left face to face are compared set by set,
+again with bitmaps first, in trees of their own; n-grams are read for these only.
+
+So that copies are never paired with each other in full, each leaf is joined with itself
+and with a few pivots of its cluster first, which mostly leaves one main part. Only what is
+outside it then visits the leaves that the traversal left, if it also shares a key with
+one of their sets. A leaf's visitors come in blocks of about ``LEAF``, however many they are.
+Thus every link between different components is tested.
 
 Defined cases: null and empty texts, and texts without words, have empty sets, which are
-linked with nothing; a text of fewer words than an n-gram has one n-gram, the whole;
-repeated rows have equal sets; a null doc_id is its component only if no member has an
-id; an empty table gives no rows; other columns are ignored.
+linked with nothing; a text of fewer words than an n-gram has one n-gram, the whole; a text
+of any length is taken whole; sets at the limit exactly are linked; repeated rows have
+equal sets; a null doc_id is its component only if no member has an id; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,24 +42,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from emrecon.llm.common import attach, buckets_for, cut, documents, held
+from emrecon.llm.common import BROADCAST_IDS, TAGS, attach, buckets_for, cut, documents, held, only_marked, ranked, tags
 from emrecon.llm.components import connected
 
-#: Nodes of a leaf; a larger cluster is dealt to several.
-LEAF = 128
-#: Documents with fewer n-grams are ordered by frequencies of all their n-grams: a sample
-#: of few would leave their prefixes to chance.
-SHORT = 128
+#: Sets of a leaf, and nodes below a node of the levels above.
+LEAF, FAN = 64, 8
+#: Share of the n-grams that a set can lack of a partner that its prefix is longer by.
+FURTHER = 0.5
 #: Nodes that a task joins at once, in whole clusters.
 BLOCK = 512
-#: Members of a cluster that all its leaves are compared with before anything else.
+#: Members of a cluster that all its leaves are compared with.
 PIVOTS = 4
-#: Up to so many ids of members are broadcast to find their texts; more are joined.
-BROADCAST_IDS = 500_000
 #: Words whose hashes a worker keeps at most; then it starts anew.
 CACHE = 700_000
-#: 64-bit words of the bitmap with which visitors choose leaves.
-SKETCH = 16
+#: 64-bit words of a node's bitmap.
+SKETCH = 32
 
 
 class Hashes:
@@ -91,70 +91,84 @@ def _hashes() -> Hashes:
     return held("hashes", Hashes)
 
 
-def prefix_length(n, percent: int):
-    """How many of the first n-grams two linked sets must share one of."""
-    return n - -(-percent * n // 100) + 1
+def least_overlap(n: int, percent: int) -> int:
+    """How many n-grams a set of ``n`` shares with a partner at least."""
+    return -(-percent * n // 100)
+
+
+def surplus(n: int, percent: int) -> int:
+    """r: by how many n-grams, and one more, a prefix exceeds what a set can lack."""
+    return 1 + int((n - least_overlap(n, percent)) * FURTHER)
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return min(n, n - least_overlap(n, percent) + surplus(n, percent))
+
+
+def _least_overlap(n, percent: int) -> F.Column:
+    return F.floor((n * percent + 99) / F.lit(100))
+
+
+def _shared(percent: int) -> F.Column:
+    """How many n-grams two linked sets have in both prefixes, at least, whatever the
+    partner's size: the surplus grows with the size, and a partner has ``least_overlap``
+    n-grams at least."""
+    m = _least_overlap(F.col("n"), percent)
+    return F.least(m, 1 + F.floor((m - _least_overlap(m, percent)) * FURTHER)).cast("int")
 
 
 def sketch_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, rid, n, dig, first, sampled: the n-grams with the smallest hashes, of which
-    the first ``sampled`` are below a bound that is the same for all documents. Of short
-    documents ``first`` has all."""
-    bound = np.uint64(int((1.75 * (1 - percent / 100) + 0.02) * 2**64))
+    """doc_id, rid, TAGS, n, dig, first: size and digest of each text's set, and the n-grams with
+    the smallest hashes, as many as its prefix has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _hashes()
         for batch in batches:
-            n, dig, first, sampled = [], [], [], []
+            n, dig, first = [], [], []
             for text in batch.column("text"):
                 h = hashes(text.as_py(), words)
-                below = int(np.searchsorted(h, bound))
                 n.append(len(h))
                 dig.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                short = len(h) * percent <= 100 * SHORT
-                first.append((h if short else h[: max(below, prefix_length(len(h), percent))]).view(np.int64))
-                sampled.append(below)
+                first.append(h[: prefix_length(len(h), percent)].view(np.int64))
             ends = pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), lists, pa.array(sampled, pa.int32())], ["doc_id", "rid", "n", "dig", "first", "sampled"])
-
-    rows = documents(docs).withColumn("rid", F.monotonically_increasing_id())
-    return rows.mapInArrow(run, "doc_id long, rid long, n long, dig binary, first array<long>, sampled int")
-
-
-def _prefix(percent: int) -> F.Column:
-    return F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-
-
-def populations(reps: DataFrame, percent: int) -> DataFrame:
-    """``reps`` dealt to two populations, with ids 2 rid and 2 rid + 1 and n-grams of their
-    own: short documents, whose n-grams are all sampled, and the others. Either of two
-    linked sets has less than SHORT n-grams, and then both are short, or neither has."""
-    short = reps.where(F.col("n") * percent <= 100 * SHORT)
-    short = short.select((F.col("rid") * 2 + 1).alias("rid"), "n", F.expr("transform(first, x -> ~x)").alias("first"), F.col("n").cast("int").alias("sampled"))
-    return short.unionByName(reps.where(F.col("n") >= SHORT).select((F.col("rid") * 2).alias("rid"), "n", "first", "sampled"))
-
-
-def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs that tie together all nodes that share an n-gram of their prefixes."""
-    sampled = F.expr("slice(first, 1, sampled)")
-    # n-grams of one node only; the node is at hand as the least that has it
-    alone = reps.select("rid", F.explode(sampled).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("rid").alias("rid")).where("df = 1").groupBy("rid").agg(F.count(F.lit(1)).alias("alone"))
-    left = cut(reps.join(alone, "rid", "left").where(F.coalesce("alone", F.lit(0)) < _prefix(percent)).drop("alone"), "left")
-    # once more among those that are left, where each keeps its rarest n-grams only
-    grams = left.select("rid", F.explode(sampled).alias("h"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), lists], [*kept, "n", "dig", "first"])
+
+    kept = ["doc_id", "rid", *TAGS]
+    rows = documents(docs).select("*", F.monotonically_increasing_id().alias("rid"), *tags(F.col("text")))
+    return rows.mapInArrow(run, "doc_id long, rid long, tag_a long, tag_b int, n long, dig binary, first array<long>")
+
+
+def with_partners(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """node, n, first of the nodes that share enough of their prefix with others. An n-gram
+    is of one node alone if it occurs as often as the node has copies, in the node itself.
+    Only n-grams and counts are shuffled, summed up map-side."""
+    places = sets.select("rid", F.explode("first").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("node"))
+    alone = places.groupBy("node", "copies").agg(F.count(F.lit(1)).alias("alone"))
+    length = F.least(F.col("n"), F.col("n") - _least_overlap(F.col("n"), percent) + 1 + F.floor((F.col("n") - _least_overlap(F.col("n"), percent)) * FURTHER))
+    left = groups.join(alone, ["node", "copies"], "left").where(length - F.coalesce("alone", F.lit(0)) >= _shared(percent))
+    left = cut(left.select("node"), "left")
+    few = F.broadcast(left) if left.count() <= BROADCAST_IDS else left
+    return cut(sets.join(few, F.col("rid") == F.col("node")).select("node", "n", "first"), "prefixes")
+
+
+def prefix_keys(left: DataFrame, percent: int) -> DataFrame:
+    """node, h, size: linked nodes of ``with_partners`` have a key (h, size) in common. Of
+    the prefix n-grams all but the most frequent count; linked sets lie in the same class
+    of size or in neighbouring ones (a little wider than the limit)."""
+    grams = left.select("node", "n", F.explode("first").alias("h"))
     shared = cut(grams.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-    common = grams.join(shared, "h").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
-    both = left.join(common, "rid", "left").withColumn("common", F.coalesce(F.expr("transform(common, x -> x.h)"), F.array().cast("array<long>")))
-    need = (_prefix(percent) - F.col("sampled") + F.size("common")).cast("int")
-    rest = F.expr("slice(first, sampled + 1, size(first))")
-    picked = F.slice(F.concat("common", rest), F.lit(1), F.greatest(need, F.lit(0)))
-    # linked sets lie in the same or in neighbouring classes of size (a little wider than the limit)
+    common = grams.join(shared, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    picked = F.slice(F.expr("transform(common, x -> x.h)"), F.lit(1), F.greatest(F.size("common") - _shared(percent) + 1, F.lit(0)))
     size = F.floor(F.log(F.col("n")) / F.lit(1.0001 * math.log(100 / percent)))
-    keys = both.select("rid", F.explode(picked).alias("h"), F.array(size, size - 1).alias("sizes"))
-    keys = cut(keys.select("rid", "h", F.explode("sizes").alias("size")), "keys")
-    heads = cut(keys.groupBy("h", "size").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("df")).where("df > 1").drop("df"), "heads")
-    return keys.join(heads, ["h", "size"]).where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
+    keys = common.select("node", F.explode(picked).alias("h"), F.array(size, size - 1).alias("sizes"))
+    return cut(keys.select("node", "h", F.explode("sizes").alias("size")), "keys")
+
+
+def candidate_edges(keys: DataFrame) -> DataFrame:
+    """a, b: pairs that tie together all nodes that have a key in common."""
+    heads = cut(keys.groupBy("h", "size").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("df")).where("df > 1").drop("df"), "heads")
+    return keys.join(heads, ["h", "size"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
 # ---- signature trees -------------------------------------------------------------
@@ -257,8 +271,8 @@ class Join:
 
 
 def join_within(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """(rid, cluster, comp, large) of a block: comp is the smallest rid that a member is
-    connected with in its leaf of its cluster."""
+    """(rid, cluster, comp, large, pivot, visits) of a block: comp is the smallest rid that
+    a member or a visiting pivot is connected with in the leaf."""
     out = []
     for _, own in pdf.drop_duplicates("rid").groupby(["cluster", "leaf"], sort=False):
         own = own.sort_values("rid")
@@ -266,8 +280,8 @@ def join_within(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         j = Join([np.frombuffer(b, np.uint64) for b in own["grams"]], ids, percent)
         root = j.tree(list(range(len(own))))
         j.traverse(root, root)
-        out.append(own[["rid", "cluster", "large"]].assign(comp=[ids[j.find(i)] for i in range(len(ids))]))
-    return pd.concat(out)[["rid", "cluster", "comp", "large"]]
+        out.append(own[["rid", "cluster", "large", "pivot", "visits"]].assign(comp=[ids[j.find(i)] for i in range(len(ids))]))
+    return pd.concat(out)[["rid", "cluster", "comp", "large", "pivot", "visits"]]
 
 
 def join_visitors(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -313,86 +327,116 @@ def gram_table(docs: DataFrame, members: DataFrame, count: int, words: int) -> D
     return out.drop("dig")
 
 
-def cluster_components(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+def dealt_to_leaves(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (rid, cluster, n, low) of large clusters with their place in the order of
+    size and least n-gram as ``leaf``. Ranks are taken within bands of size, parted by the
+    least n-gram and once more by the row, so that no task orders a cluster."""
+    band = F.floor(2 * F.log(F.col("n")) / F.log(F.lit(100 / percent)))
+    bucket = (band * 64 + F.pmod(F.xxhash64("low"), F.lit(64))) * 64 + F.pmod(F.xxhash64("rid"), F.lit(64))
+    placed = ranked(rows.withColumn("bucket", bucket.cast("long")), ["cluster"], ["low", "rid"], "bucket", "place")
+    return placed.withColumn("leaf", F.floor(F.col("place") / LEAF).cast("long")).drop("bucket", "place")
+
+
+def cluster_components(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, keys: DataFrame, words: int, percent: int) -> DataFrame:
     """rid, comp of all nodes in ``clusters`` (node, comp), by links within clusters.
-    ``nodes``: rid, doc_id, dig, n."""
+    ``nodes``: rid, doc_id, dig, n, low; ``keys``: those of ``prefix_keys``."""
     sizes = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    rows = cut(nodes.join(clusters.join(sizes, "comp"), F.col("rid") == F.col("node")).select("rid", "doc_id", "dig", "n", F.col("comp").alias("cluster"), "members"), "members")
+    rows = cut(nodes.join(clusters.join(sizes, "comp"), F.col("rid") == F.col("node")).select("rid", "doc_id", "dig", "n", "low", F.col("comp").alias("cluster"), "members"), "members")
     total = rows.count()
-    large = F.col("members") > LEAF
-    # sets of like size share leaves, so that ranges of sizes are narrow
-    band = F.floor(2 * F.log(F.col("n")) / F.log(F.lit(100 / percent)))
-    rows = rows.withColumn("band", F.when(large, band).otherwise(0))
-    bands = rows.where(large).groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF)).alias("leaves"))
-    rows = rows.join(bands, ["cluster", "band"], "left")
-    leaf = F.when(large, F.xxhash64("band", F.pmod(F.xxhash64("rid"), F.col("leaves")))).otherwise(0)
-    rows = rows.withColumn("leaf", leaf)
-    block = F.when(large, F.xxhash64("cluster", "leaf")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets_for(total, BLOCK))))
-    members = rows.withColumn("block", block).select("rid", "doc_id", "dig", "cluster", "block", "leaf", large.alias("large"))
+    large = dealt_to_leaves(rows.where(F.col("members") > LEAF), percent)
+    small = rows.where(F.col("members") <= LEAF).withColumn("leaf", F.lit(0).cast("long"))
+    block = F.when(F.col("members") > LEAF, F.xxhash64("cluster", "leaf")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets_for(total, BLOCK))))
+    members = small.unionByName(large.select(small.columns)).select("rid", "doc_id", "dig", "cluster", block.alias("block"), "leaf", (F.col("members") > LEAF).alias("large"))
     grams = cut(gram_table(docs, members, total, words), "grams")
 
-    inner = grams.select("block", "rid", "cluster", "leaf", "large", "grams").groupBy("block").applyInPandas(lambda pdf: join_within(pdf, percent), "rid long, cluster long, comp long, large boolean")
+    # each leaf with itself and with pivots of its cluster, which are drawn by a hash
+    whole = grams.where("large")
+    draws = [F.min_by("rid", F.xxhash64("rid", F.lit(k))) for k in range(PIVOTS)]
+    pivots = cut(whole.groupBy("cluster").agg(F.array_distinct(F.array(*draws)).alias("p")).select("cluster", F.explode("p").alias("rid")), "pivots")
+    home = grams.select("block", "rid", "cluster", "leaf", "large", "grams").join(pivots.select("rid", F.lit(True).alias("pivot")), "rid", "left")
+    home = home.withColumns({"pivot": F.coalesce("pivot", F.lit(False)), "visits": F.lit(False)})
+    leaves = whole.select("cluster", "block", "leaf").distinct()
+    guests = whole.select("rid", "grams", F.col("leaf").alias("own")).join(pivots, "rid").join(leaves, "cluster").where("leaf <> own")
+    guests = guests.select("block", "rid", "cluster", "leaf", F.lit(True).alias("large"), "grams", F.lit(True).alias("pivot"), F.lit(True).alias("visits"))
+    inner = home.unionByName(guests).groupBy("block").applyInPandas(lambda pdf: join_within(pdf, percent), "rid long, cluster long, comp long, large boolean, pivot boolean, visits boolean")
     parts = cut(inner, "parts")
     done = parts.where("NOT large").select("rid", "comp")
-    whole, parts = grams.where("large"), parts.where("large").drop("large")
+    ties = parts.where("large AND pivot").select(F.col("comp").alias("a"), F.col("rid").alias("b"))
+    parts = parts.where("large AND NOT visits").select("rid", "cluster", "comp")
     if parts.isEmpty():
         return done
-
-    # pivots: of each cluster the first members of its largest parts
-    sized = parts.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("rid"))
-    leaves = whole.select("cluster", "leaf").distinct()
-    visits = _largest(sized).select("rid", "cluster").join(leaves, "cluster")
-    parts = _merged(parts, _visited(whole, visits, parts, percent))
+    parts = _merged(parts, ties)
 
     # what is outside its cluster's main part visits the leaves that may hold a partner
     sized = parts.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
     main = sized.groupBy("cluster").agg(F.max_by("comp", "size").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
     main = cut(main, "main")
-    strays = parts.join(main, "cluster").where("comp <> main").select("rid")
-    outside = cut(whole.join(strays, "rid"), "outside")
-    if not outside.isEmpty():
-        crowd = whole.join(main.select("cluster"), "cluster")
-        tops = crowd.groupBy("cluster", "leaf").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), *(F.bit_or(F.col("bits")[k]).alias(f"o{k}") for k in range(SKETCH)))
-        missing = sum((F.bit_count(F.col("bits")[k].bitwiseAND(F.bitwise_not(F.col(f"o{k}")))) for k in range(SKETCH)), F.lit(0))
-        fits = (100 * F.col("n_max") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n_min")) & ((100 + percent) * (F.col("n") - missing) >= percent * (F.col("n") + F.col("n_min")))
-        asked = outside.select("rid", "n", "bits").join(_partner_leaves(crowd, outside.select("rid"), percent), "rid")
-        visits = asked.join(tops, ["cluster", "leaf"]).where(fits).select("rid", "cluster", "leaf")
-        parts = _merged(parts, _visited(crowd, visits, parts, percent))
+    if main.isEmpty():
+        return done.unionByName(parts.select("rid", "comp"))
+    crowd = cut(whole.join(parts.select("rid", "comp"), "rid").join(main, "cluster").select("rid", "cluster", "leaf", "n", "bits", "comp", (F.col("comp") != F.col("main")).alias("stray")), "crowd")
+    levels = tree_levels(crowd)
+    visits = visits_of(crowd, levels[0], traversed(levels, percent), keys, percent)
+    parts = _merged(parts, _visited(whole.join(main.select("cluster"), "cluster"), visits, parts, percent))
     return done.unionByName(parts.select("rid", "comp"))
 
 
-def _largest(sized: DataFrame) -> DataFrame:
-    """The rid of up to PIVOTS rows of each cluster, largest size first. Rows are first
-    cut down in salted groups, so that no cluster meets in one task."""
-    for keys in (["cluster", F.pmod(F.xxhash64("rid"), F.lit(256))], ["cluster"]):
-        order = W.partitionBy(*keys).orderBy(F.desc("size"), "rid")
-        sized = sized.withColumn("at", F.row_number().over(order)).where(F.col("at") <= PIVOTS).drop("at")
-    return sized
-
-
-def _partner_leaves(crowd: DataFrame, strays: DataFrame, percent: int) -> DataFrame:
-    """rid, cluster, leaf: for each of ``strays`` the leaves other than its own with a
-    member that shares an n-gram of both prefixes and a class of size with it. N-grams
-    are ordered by their frequency in the cluster, all of them, so that a prefix of
-    n-grams that no other member has leaves no partner."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = pa.array([np.frombuffer(g, np.int64) for g in batch.column("grams").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "cluster", "leaf", "n")), lists], ["rid", "cluster", "leaf", "n", "h"])
-
-    sets = crowd.select("rid", "cluster", "leaf", "n", "grams").mapInArrow(unpack, "rid long, cluster long, leaf long, n long, h array<long>")
-    rows = sets.withColumn("h", F.explode("h"))
-    shared = cut(rows.groupBy("cluster", "h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "cluster-shared")
-    common = rows.join(shared, ["cluster", "h"]).groupBy("rid", "cluster", "leaf", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
-    need = (_prefix(percent) - F.col("n") + F.size("common")).cast("int")
-    picked = F.expr("transform(common, x -> x.h)")
-    size = F.floor(F.log(F.col("n")) / F.lit(1.0001 * math.log(100 / percent)))
-    keys = common.select("rid", "cluster", "leaf", F.explode(F.slice(picked, F.lit(1), F.greatest(need, F.lit(0)))).alias("h"), F.array(size, size - 1).alias("sizes"))
-    keys = cut(keys.select("rid", "cluster", "leaf", "h", F.explode("sizes").alias("size")), "cluster-keys")
-    asked = keys.join(strays, "rid").withColumnRenamed("leaf", "own")
-    offered = keys.select("cluster", "leaf", "h", "size").distinct()
-    return asked.join(offered, ["cluster", "h", "size"]).where("leaf <> own").select("rid", "cluster", "leaf").distinct()
+_OR = [f"o{k}" for k in range(SKETCH)]
+
+
+def tree_levels(crowd: DataFrame) -> list[DataFrame]:
+    """The levels of the clusters' trees, leaves first, up to one with a node for each
+    cluster: cluster, id, up (the parent's id), n_min, n_max, least, c_min, c_max, and the
+    OR of the bitmaps."""
+    facts = [F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max"), F.min("least").alias("least"), F.min("c_min").alias("c_min"), F.max("c_max").alias("c_max"), *(F.bit_or(o).alias(o) for o in _OR)]
+    bits = sum((F.bit_count(F.col("bits")[k]) for k in range(SKETCH)), F.lit(0))
+    below = crowd.select("cluster", F.col("leaf").alias("up"), F.col("n").alias("n_min"), F.col("n").alias("n_max"), bits.alias("least"), F.col("comp").alias("c_min"), F.col("comp").alias("c_max"), *(F.col("bits")[k].alias(o) for k, o in enumerate(_OR)))
+    levels = []
+    while True:
+        level = below.groupBy("cluster", F.col("up").alias("id")).agg(*facts)
+        levels.append(cut(level.withColumn("up", F.floor(F.col("id") / FAN).cast("long")), "level"))
+        below = levels[-1]
+        if (below.agg(F.max("id")).first()[0] or 0) == 0:
+            return levels
+
+
+def may_link(x: str, y: str, percent: int) -> F.Column:
+    """Whether sets below two nodes can be linked and are not connected yet: by sizes, by
+    the most overlap that the bitmaps leave, and by components."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    both = sum((F.bit_count(c(x, o).bitwiseAND(c(y, o))) for o in _OR), F.lit(0))
+    most = F.least(*(c(s, "n_max") - F.greatest(F.lit(0), c(s, "least") - both) for s in (x, y)))
+    sizes = (100 * c(x, "n_max") >= percent * c(y, "n_min")) & (100 * c(y, "n_max") >= percent * c(x, "n_min"))
+    connected_already = (F.greatest(c(x, "c_max"), c(y, "c_max")) == F.least(c(x, "c_min"), c(y, "c_min")))
+    return ~connected_already & ((c(x, "id") == c(y, "id")) | sizes & ((100 + percent) * most >= percent * (c(x, "n_min") + c(y, "n_min"))))
+
+
+def traversed(levels: list[DataFrame], percent: int) -> DataFrame:
+    """(cluster, x, y) with x < y: the pairs of leaves that the dual traversal leaves. A
+    level's pairs are joined with the children of both nodes, and cut off there."""
+    top = levels[-1]
+    pairs = top.select("cluster", F.col("id").alias("x"), F.col("id").alias("y"))
+    for level in levels[-2::-1]:
+        x, y = level.alias("x"), level.alias("y")
+        met = pairs.alias("p").join(x, (F.col("p.cluster") == F.col("x.cluster")) & (F.col("p.x") == F.col("x.up"))).join(y, (F.col("p.cluster") == F.col("y.cluster")) & (F.col("p.y") == F.col("y.up")))
+        met = met.where(F.col("x.id") <= F.col("y.id")).where(may_link("x", "y", percent))
+        pairs = cut(met.select(F.col("p.cluster").alias("cluster"), F.col("x.id").alias("x"), F.col("y.id").alias("y")), "pairs")
+    return pairs.where("x < y")
+
+
+def visits_of(crowd: DataFrame, leaves: DataFrame, pairs: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """(rid, cluster, leaf): with which leaves of ``pairs`` a set outside its cluster's main
+    part can be linked, by its bitmap against the leaf's and by a key of one of its sets."""
+    sides = pairs.select("cluster", F.col("x").alias("own"), F.col("y").alias("leaf"))
+    sides = sides.unionByName(pairs.select("cluster", F.col("y").alias("own"), F.col("x").alias("leaf")))
+    strays = crowd.where("stray").select("rid", "cluster", F.col("leaf").alias("own"), "n", "bits", "comp")
+    asked = strays.join(sides, ["cluster", "own"]).join(leaves.withColumnRenamed("id", "leaf"), ["cluster", "leaf"])
+    missing = sum((F.bit_count(F.col("bits")[k].bitwiseAND(F.bitwise_not(F.col(o)))) for k, o in enumerate(_OR)), F.lit(0))
+    fits = (100 * F.col("n_max") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n_min")) & ((100 + percent) * (F.col("n") - missing) >= percent * (F.col("n") + F.col("n_min")))
+    apart = (F.col("c_min") != F.col("comp")) | (F.col("c_max") != F.col("comp"))
+    asked = cut(asked.where(fits & apart).select("rid", "cluster", "leaf"), "asked")
+    keys = keys.withColumnRenamed("node", "rid")
+    offered = crowd.select("rid", "cluster", "leaf").join(keys, "rid").select("cluster", "leaf", "h", "size").distinct()
+    return asked.join(keys, "rid").join(offered, ["cluster", "leaf", "h", "size"], "left_semi").select("rid", "cluster", "leaf").distinct()
 
 
 def _visited(whole: DataFrame, visits: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -417,27 +461,40 @@ def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``: rows whose sets of
     ``words``-word n-grams have a Jaccard similarity of ``percent`` / 100 or more are linked."""
+    return _components(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """As ``jaccard_components``, with ``rid``, which tells rows apart, ``comp``, one of the
+    component's, and the text's TAGS."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent is above 0 and at most 100")
     sets = cut(sketch_sets(docs, words, percent), "sets")
     total = sets.count()
     full = sets.where("n > 0")
-    groups = cut(full.groupBy("dig").agg(F.min("doc_id").alias("first_id"), F.coalesce(F.min_by("rid", "doc_id"), F.min("rid")).alias("node"), F.count(F.lit(1)).alias("copies")), "groups")
-    reps = cut(full.join(groups.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "doc_id", "dig", "n", "first", "sampled"), "reps")
-    edges = candidate_edges(populations(reps, percent), percent)
-    clusters = connected(edges.select(*(F.shiftright(c, 1).alias(c) for c in ("a", "b"))))
-    found = cluster_components(docs, reps.select("rid", "doc_id", "dig", "n"), clusters, words, percent).withColumnRenamed("rid", "node")
-    joined = groups.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    groups = full.groupBy("dig").agg(F.min("rid").alias("node"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min(F.col("first")[0]).alias("low"))
+    groups = cut(groups, "groups")
+    if percent < 100:
+        keys = prefix_keys(with_partners(full, groups, percent), percent)
+        clusters = connected(candidate_edges(keys))
+        found = cluster_components(docs, groups.select(F.col("node").alias("rid"), "doc_id", "dig", "n", "low"), clusters, keys, words, percent).withColumnRenamed("rid", "node")
+        joined = groups.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    else:  # equal sets alone are linked
+        joined = groups.withColumn("comp", F.col("node"))
     least = joined.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    facts = cut(joined.join(least, "comp").select("dig", "copies", "component_id"), "facts")
-    out = attach(full.select("doc_id", "n", "dig"), facts, "dig", "copies", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    facts = cut(joined.join(least, "comp").select("dig", "copies", "component_id", "comp"), "facts")
+    out = attach(full.select("doc_id", "rid", *TAGS, "n", "dig"), facts, "dig", "copies", total).select("doc_id", "rid", *TAGS, F.col("n").alias("n_shingles"), "component_id", "comp")
+    empty = sets.where("n = 0")
+    return out.unionByName(empty.select("doc_id", "rid", *TAGS, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("comp")))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with their columns, that stay: of each component the one with
-    the smallest doc_id. Rows without an id stay unless their component has one."""
-    found = jaccard_components(docs, words, percent)
-    kept = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    """The rows of ``docs``, with their columns, that stay: of each component one row with
+    the smallest doc_id, without an id only if no member has one. Documents that are linked
+    with nothing stay as they are, texts without words included."""
+    found = cut(_components(docs, words, percent), "components")
+    best = found.groupBy("comp").agg(F.coalesce(F.min_by("rid", "doc_id"), F.min("rid")).alias("rid")).select("rid", F.lit(True).alias("best"))
+    return only_marked(docs, found.join(best, "rid", "left").withColumn("stays", F.coalesce("best", F.lit(False))))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emrecon.llm.common import cut, documents, held
-from emrecon.llm.training import descend, free_name, labelled_sample, parts_of, platt, remainder, sigmoid, with_scores
+from emrecon.llm.common import cut, documents, free_name, held
+from emrecon.llm.training import descend, labelled_sample, parts_of, platt, remainder, sigmoid, with_scores
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 8_000

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emrecon.llm.common import documents, held
-from emrecon.llm.training import free_name, isotonic, labelled_sample, remainder, sigmoid, with_scores
+from emrecon.llm.common import documents, free_name, held
+from emrecon.llm.training import isotonic, labelled_sample, remainder, sigmoid, with_scores
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000

@@ -49,13 +49,6 @@ def with_scores(docs: DataFrame, scores: Callable[[list[str]], np.ndarray], name
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """``name``, lengthened until no column of ``docs`` has it."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    return name
-
-
 def descend(rows: DataFrame, gradient: Callable[[np.ndarray, pa.RecordBatch], np.ndarray], start: np.ndarray, rates: np.ndarray, decay: np.ndarray | float, steps: int) -> np.ndarray:
     """Parameters after ``steps`` of Adam over all of ``rows``, a written table. The rows
     stay where they are: in each step tasks get the parameters and give the sum of
