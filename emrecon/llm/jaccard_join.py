@@ -4,22 +4,23 @@ Documents are sets of hashed word n-grams; documents with equal sets are one nod
 of signatures stands over all nodes. Its root parts them to clusters by exact keys: under
 one order of all n-grams, linked sets share at least r of the first p + r - 1, where p is
 how many a set can lack of a partner and one more. A node that shares fewer of these with
-any other has no partner and is dropped, which most are; of the others all but the r - 1
-most frequent of these n-grams tie nodes to clusters. Every link lies within a cluster.
+any other of like size has no partner and is dropped, which most are; of the others all
+but the r - 1 most frequent of what they share tie nodes to clusters. Every link lies
+within a cluster.
 
-Below, a cluster's nodes lie in order of size and least n-gram, ``LEAF`` to a leaf, and
-``FAN`` nodes of a level share a parent. Each holds the OR of its sets' bitmaps, the range
+Below, a cluster's nodes lie in order of size and least n-gram. A ``FAN``-th of a ``LEAF`` is
+a twig, the tree's lowest level, and ``FAN`` nodes of a level share a parent. Each holds the OR of its sets' bitmaps, the range
 of their sizes, the least number of bits of a set and the range of their components. The
 levels are tables. Two trees are traversed together from the roots, a level in a join: a
 pair of nodes is cut off if the bitmaps leave less overlap than the sizes ask for, or if
-all below both are connected. Leaves that are left face to face are compared set by set,
-again with bitmaps first, in trees of their own; n-grams are read for these only.
+all below both are connected. Sets of twigs that are left face to face are compared, again
+with bitmaps first, in trees of their own; n-grams are read for these only.
 
 So that copies are never paired with each other in full, each leaf is joined with itself
 and with a few pivots of its cluster first, which mostly leaves one main part. Only what is
-outside it then visits the leaves that the traversal left, if it also shares a key with
-one of their sets. A leaf's visitors come in blocks of about ``LEAF``, however many they are.
-Thus every link between different components is tested.
+outside it then visits the leaves that the traversal left and that its own bitmap allows.
+A leaf's visitors come in blocks of about ``LEAF``, however many they are. Thus every link
+between different components is tested.
 
 Defined cases: null and empty texts, and texts without words, have empty sets, which are
 linked with nothing; a text of fewer words than an n-gram has one n-gram, the whole; a text
@@ -38,23 +39,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from emrecon.llm.common import BROADCAST_IDS, TAGS, attach, buckets_for, cut, documents, held, only_marked, ranked, tags
 from emrecon.llm.components import connected
 
-#: Sets of a leaf, and nodes below a node of the levels above.
+#: Sets that are joined with each other at once, and nodes below a node of the levels above.
 LEAF, FAN = 64, 8
-#: Share of the n-grams that a set can lack of a partner that its prefix is longer by.
-FURTHER = 0.5
+#: How much longer than need be a prefix is: half of what a set can lack of a partner, or a
+#: third of the set while that is few n-grams, so that a line in common is not enough.
+HALF, THIRD, FEW = 2, 3, 16
 #: Nodes that a task joins at once, in whole clusters.
 BLOCK = 512
 #: Members of a cluster that all its leaves are compared with.
 PIVOTS = 4
 #: Words whose hashes a worker keeps at most; then it starts anew.
-CACHE = 700_000
+CACHE = 400_000
 #: 64-bit words of a node's bitmap.
 SKETCH = 32
 
@@ -98,23 +100,28 @@ def least_overlap(n: int, percent: int) -> int:
 
 def surplus(n: int, percent: int) -> int:
     """r: by how many n-grams, and one more, a prefix exceeds what a set can lack."""
-    return 1 + int((n - least_overlap(n, percent)) * FURTHER)
+    return 1 + max((n - least_overlap(n, percent)) // HALF, min(n // THIRD, FEW))
 
 
 def prefix_length(n: int, percent: int) -> int:
     return min(n, n - least_overlap(n, percent) + surplus(n, percent))
 
 
-def _least_overlap(n, percent: int) -> F.Column:
+def _least_overlap(n, percent: int) -> Column:
     return F.floor((n * percent + 99) / F.lit(100))
 
 
-def _shared(percent: int) -> F.Column:
+def _surplus(n, percent: int) -> Column:
+    lack = n - _least_overlap(n, percent)
+    return 1 + F.greatest(F.floor(lack / F.lit(HALF)), F.least(F.floor(n / F.lit(THIRD)), F.lit(FEW)))
+
+
+def _shared(percent: int) -> Column:
     """How many n-grams two linked sets have in both prefixes, at least, whatever the
     partner's size: the surplus grows with the size, and a partner has ``least_overlap``
     n-grams at least."""
     m = _least_overlap(F.col("n"), percent)
-    return F.least(m, 1 + F.floor((m - _least_overlap(m, percent)) * FURTHER)).cast("int")
+    return F.least(m, _surplus(m, percent)).cast("int")
 
 
 def sketch_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -145,7 +152,7 @@ def with_partners(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     Only n-grams and counts are shuffled, summed up map-side."""
     places = sets.select("rid", F.explode("first").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("node"))
     alone = places.groupBy("node", "copies").agg(F.count(F.lit(1)).alias("alone"))
-    length = F.least(F.col("n"), F.col("n") - _least_overlap(F.col("n"), percent) + 1 + F.floor((F.col("n") - _least_overlap(F.col("n"), percent)) * FURTHER))
+    length = F.least(F.col("n"), F.col("n") - _least_overlap(F.col("n"), percent) + _surplus(F.col("n"), percent))
     left = groups.join(alone, ["node", "copies"], "left").where(length - F.coalesce("alone", F.lit(0)) >= _shared(percent))
     left = cut(left.select("node"), "left")
     few = F.broadcast(left) if left.count() <= BROADCAST_IDS else left
@@ -153,16 +160,19 @@ def with_partners(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame
 
 
 def prefix_keys(left: DataFrame, percent: int) -> DataFrame:
-    """node, h, size: linked nodes of ``with_partners`` have a key (h, size) in common. Of
-    the prefix n-grams all but the most frequent count; linked sets lie in the same class
-    of size or in neighbouring ones (a little wider than the limit)."""
-    grams = left.select("node", "n", F.explode("first").alias("h"))
-    shared = cut(grams.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-    common = grams.join(shared, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
-    picked = F.slice(F.expr("transform(common, x -> x.h)"), F.lit(1), F.greatest(F.size("common") - _shared(percent) + 1, F.lit(0)))
+    """node, h, size: linked nodes of ``with_partners`` have a key (h, size) in common.
+    Linked sets lie in the same class of size or in neighbouring ones (a little wider than
+    the limit), so only n-grams that are shared there count; a node needs as many as before,
+    and of these all but the most frequent become keys."""
     size = F.floor(F.log(F.col("n")) / F.lit(1.0001 * math.log(100 / percent)))
-    keys = common.select("node", F.explode(picked).alias("h"), F.array(size, size - 1).alias("sizes"))
-    return cut(keys.select("node", "h", F.explode("sizes").alias("size")), "keys")
+    grams = left.select("node", "n", F.explode(F.array(size, size - 1)).alias("size"), "first").select("node", "n", "size", F.explode("first").alias("h"))
+    shared = cut(grams.groupBy("h", "size").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "shared")
+    order = shared.groupBy("h").agg(F.sum("nodes").alias("df"))  # the same for all sets
+    found = grams.join(shared.join(order, "h").drop("nodes"), ["h", "size"]).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", "size"))).alias("all"))
+    common = F.array_distinct(F.expr("transform(all, x -> x.h)"))
+    found = found.withColumn("picked", F.slice(common, F.lit(1), F.greatest(F.size(common) - _shared(percent) + 1, F.lit(0))))
+    keys = found.select("node", F.explode(F.expr("filter(all, x -> array_contains(picked, x.h))")).alias("k"))
+    return cut(keys.select("node", "k.h", "k.size"), "keys")
 
 
 def candidate_edges(keys: DataFrame) -> DataFrame:
@@ -300,12 +310,12 @@ def join_visitors(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def gram_table(docs: DataFrame, members: DataFrame, count: int, words: int) -> DataFrame:
-    """``members`` (rid, doc_id, dig, cluster, block, leaf, large; ``count`` rows) with n, their n-grams' hashes and a bitmap."""
+    """``members`` (rid, doc_id, dig, cluster, block, place, leaf, large; ``count`` rows) with n, their n-grams' hashes and a bitmap."""
     wanted = members.withColumnRenamed("doc_id", "id")
     if count <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     rows = documents(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
-    kept = ["rid", "dig", "cluster", "block", "leaf", "large"]
+    kept = ["rid", "dig", "cluster", "block", "place", "leaf", "large"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _hashes()
@@ -323,30 +333,31 @@ def gram_table(docs: DataFrame, members: DataFrame, count: int, words: int) -> D
             cols = [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(grams, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, [*kept, "n", "grams", "bits"]).filter(pa.array(mine, pa.bool_()))
 
-    out = rows.select(*kept, "text").mapInArrow(run, "rid long, dig binary, cluster long, block long, leaf long, large boolean, n long, grams binary, bits array<long>")
+    out = rows.select(*kept, "text").mapInArrow(run, "rid long, dig binary, cluster long, block long, place long, leaf long, large boolean, n long, grams binary, bits array<long>")
     return out.drop("dig")
 
 
 def dealt_to_leaves(rows: DataFrame, percent: int) -> DataFrame:
     """``rows`` (rid, cluster, n, low) of large clusters with their place in the order of
-    size and least n-gram as ``leaf``. Ranks are taken within bands of size, parted by the
+    size and least n-gram as ``place``. Ranks are taken within bands of size, parted by the
     least n-gram and once more by the row, so that no task orders a cluster."""
     band = F.floor(2 * F.log(F.col("n")) / F.log(F.lit(100 / percent)))
     bucket = (band * 64 + F.pmod(F.xxhash64("low"), F.lit(64))) * 64 + F.pmod(F.xxhash64("rid"), F.lit(64))
     placed = ranked(rows.withColumn("bucket", bucket.cast("long")), ["cluster"], ["low", "rid"], "bucket", "place")
-    return placed.withColumn("leaf", F.floor(F.col("place") / LEAF).cast("long")).drop("bucket", "place")
+    return placed.drop("bucket")
 
 
-def cluster_components(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, keys: DataFrame, words: int, percent: int) -> DataFrame:
+def cluster_components(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
     """rid, comp of all nodes in ``clusters`` (node, comp), by links within clusters.
-    ``nodes``: rid, doc_id, dig, n, low; ``keys``: those of ``prefix_keys``."""
+    ``nodes``: rid, doc_id, dig, n, low."""
     sizes = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     rows = cut(nodes.join(clusters.join(sizes, "comp"), F.col("rid") == F.col("node")).select("rid", "doc_id", "dig", "n", "low", F.col("comp").alias("cluster"), "members"), "members")
     total = rows.count()
     large = dealt_to_leaves(rows.where(F.col("members") > LEAF), percent)
-    small = rows.where(F.col("members") <= LEAF).withColumn("leaf", F.lit(0).cast("long"))
+    small = rows.where(F.col("members") <= LEAF).withColumn("place", F.lit(0).cast("long"))
+    placed = small.unionByName(large.select(small.columns)).withColumn("leaf", F.floor(F.col("place") / LEAF).cast("long"))
     block = F.when(F.col("members") > LEAF, F.xxhash64("cluster", "leaf")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets_for(total, BLOCK))))
-    members = small.unionByName(large.select(small.columns)).select("rid", "doc_id", "dig", "cluster", block.alias("block"), "leaf", (F.col("members") > LEAF).alias("large"))
+    members = placed.select("rid", "doc_id", "dig", "cluster", block.alias("block"), "place", "leaf", (F.col("members") > LEAF).alias("large"))
     grams = cut(gram_table(docs, members, total, words), "grams")
 
     # each leaf with itself and with pivots of its cluster, which are drawn by a hash
@@ -373,23 +384,28 @@ def cluster_components(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k
     main = cut(main, "main")
     if main.isEmpty():
         return done.unionByName(parts.select("rid", "comp"))
-    crowd = cut(whole.join(parts.select("rid", "comp"), "rid").join(main, "cluster").select("rid", "cluster", "leaf", "n", "bits", "comp", (F.col("comp") != F.col("main")).alias("stray")), "crowd")
+    crowd = cut(whole.join(parts.select("rid", "comp"), "rid").join(main, "cluster").select("rid", "cluster", F.floor(F.col("place") / _twig()).cast("long").alias("twig"), "n", "bits", "comp", (F.col("comp") != F.col("main")).alias("stray")), "crowd")
     levels = tree_levels(crowd)
-    visits = visits_of(crowd, levels[0], traversed(levels, percent), keys, percent)
+    visits = visits_of(crowd, levels[0], traversed(levels, percent), percent)
     parts = _merged(parts, _visited(whole.join(main.select("cluster"), "cluster"), visits, parts, percent))
     return done.unionByName(parts.select("rid", "comp"))
 
 
+def _twig() -> int:
+    """Sets of the lowest level's nodes."""
+    return max(1, LEAF // FAN)
+
+
 _OR = [f"o{k}" for k in range(SKETCH)]
 
 
 def tree_levels(crowd: DataFrame) -> list[DataFrame]:
-    """The levels of the clusters' trees, leaves first, up to one with a node for each
+    """The levels of the clusters' trees, twigs first, up to one with a node for each
     cluster: cluster, id, up (the parent's id), n_min, n_max, least, c_min, c_max, and the
     OR of the bitmaps."""
     facts = [F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max"), F.min("least").alias("least"), F.min("c_min").alias("c_min"), F.max("c_max").alias("c_max"), *(F.bit_or(o).alias(o) for o in _OR)]
     bits = sum((F.bit_count(F.col("bits")[k]) for k in range(SKETCH)), F.lit(0))
-    below = crowd.select("cluster", F.col("leaf").alias("up"), F.col("n").alias("n_min"), F.col("n").alias("n_max"), bits.alias("least"), F.col("comp").alias("c_min"), F.col("comp").alias("c_max"), *(F.col("bits")[k].alias(o) for k, o in enumerate(_OR)))
+    below = crowd.select("cluster", F.col("twig").alias("up"), F.col("n").alias("n_min"), F.col("n").alias("n_max"), bits.alias("least"), F.col("comp").alias("c_min"), F.col("comp").alias("c_max"), *(F.col("bits")[k].alias(o) for k, o in enumerate(_OR)))
     levels = []
     while True:
         level = below.groupBy("cluster", F.col("up").alias("id")).agg(*facts)
@@ -399,7 +415,11 @@ def tree_levels(crowd: DataFrame) -> list[DataFrame]:
             return levels
 
 
-def may_link(x: str, y: str, percent: int) -> F.Column:
+def _leaf(twig: str) -> Column:
+    return F.floor(F.col(twig) * _twig() / F.lit(LEAF)).cast("long")
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
     """Whether sets below two nodes can be linked and are not connected yet: by sizes, by
     the most overlap that the bitmaps leave, and by components."""
     c = lambda side, name: F.col(f"{side}.{name}")
@@ -411,8 +431,9 @@ def may_link(x: str, y: str, percent: int) -> F.Column:
 
 
 def traversed(levels: list[DataFrame], percent: int) -> DataFrame:
-    """(cluster, x, y) with x < y: the pairs of leaves that the dual traversal leaves. A
-    level's pairs are joined with the children of both nodes, and cut off there."""
+    """(cluster, x, y) with x < y: the pairs of twigs of different leaves that the dual
+    traversal leaves. A level's pairs are joined with the children of both nodes, and cut
+    off there."""
     top = levels[-1]
     pairs = top.select("cluster", F.col("id").alias("x"), F.col("id").alias("y"))
     for level in levels[-2::-1]:
@@ -420,23 +441,20 @@ def traversed(levels: list[DataFrame], percent: int) -> DataFrame:
         met = pairs.alias("p").join(x, (F.col("p.cluster") == F.col("x.cluster")) & (F.col("p.x") == F.col("x.up"))).join(y, (F.col("p.cluster") == F.col("y.cluster")) & (F.col("p.y") == F.col("y.up")))
         met = met.where(F.col("x.id") <= F.col("y.id")).where(may_link("x", "y", percent))
         pairs = cut(met.select(F.col("p.cluster").alias("cluster"), F.col("x.id").alias("x"), F.col("y.id").alias("y")), "pairs")
-    return pairs.where("x < y")
+    return pairs.where(_leaf("x") < _leaf("y"))
 
 
-def visits_of(crowd: DataFrame, leaves: DataFrame, pairs: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """(rid, cluster, leaf): with which leaves of ``pairs`` a set outside its cluster's main
-    part can be linked, by its bitmap against the leaf's and by a key of one of its sets."""
-    sides = pairs.select("cluster", F.col("x").alias("own"), F.col("y").alias("leaf"))
-    sides = sides.unionByName(pairs.select("cluster", F.col("y").alias("own"), F.col("x").alias("leaf")))
-    strays = crowd.where("stray").select("rid", "cluster", F.col("leaf").alias("own"), "n", "bits", "comp")
-    asked = strays.join(sides, ["cluster", "own"]).join(leaves.withColumnRenamed("id", "leaf"), ["cluster", "leaf"])
+def visits_of(crowd: DataFrame, twigs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(rid, cluster, leaf): the leaves with twigs of ``pairs`` with which a set outside its
+    cluster's main part can be linked, by its bitmap against the twig's."""
+    sides = pairs.select("cluster", F.col("x").alias("own"), F.col("y").alias("twig"))
+    sides = sides.unionByName(pairs.select("cluster", F.col("y").alias("own"), F.col("x").alias("twig")))
+    strays = crowd.where("stray").select("rid", "cluster", F.col("twig").alias("own"), "n", "bits", "comp")
+    asked = strays.join(sides, ["cluster", "own"]).join(twigs.withColumnRenamed("id", "twig"), ["cluster", "twig"])
     missing = sum((F.bit_count(F.col("bits")[k].bitwiseAND(F.bitwise_not(F.col(o)))) for k, o in enumerate(_OR)), F.lit(0))
     fits = (100 * F.col("n_max") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n_min")) & ((100 + percent) * (F.col("n") - missing) >= percent * (F.col("n") + F.col("n_min")))
     apart = (F.col("c_min") != F.col("comp")) | (F.col("c_max") != F.col("comp"))
-    asked = cut(asked.where(fits & apart).select("rid", "cluster", "leaf"), "asked")
-    keys = keys.withColumnRenamed("node", "rid")
-    offered = crowd.select("rid", "cluster", "leaf").join(keys, "rid").select("cluster", "leaf", "h", "size").distinct()
-    return asked.join(keys, "rid").join(offered, ["cluster", "leaf", "h", "size"], "left_semi").select("rid", "cluster", "leaf").distinct()
+    return asked.where(fits & apart).select("rid", "cluster", _leaf("twig").alias("leaf")).distinct()
 
 
 def _visited(whole: DataFrame, visits: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -475,9 +493,8 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     groups = full.groupBy("dig").agg(F.min("rid").alias("node"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min(F.col("first")[0]).alias("low"))
     groups = cut(groups, "groups")
     if percent < 100:
-        keys = prefix_keys(with_partners(full, groups, percent), percent)
-        clusters = connected(candidate_edges(keys))
-        found = cluster_components(docs, groups.select(F.col("node").alias("rid"), "doc_id", "dig", "n", "low"), clusters, keys, words, percent).withColumnRenamed("rid", "node")
+        clusters = connected(candidate_edges(prefix_keys(with_partners(full, groups, percent), percent)))
+        found = cluster_components(docs, groups.select(F.col("node").alias("rid"), "doc_id", "dig", "n", "low"), clusters, words, percent).withColumnRenamed("rid", "node")
         joined = groups.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     else:  # equal sets alone are linked
         joined = groups.withColumn("comp", F.col("node"))

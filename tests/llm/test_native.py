@@ -35,14 +35,45 @@ def test_dedup_odd_rows(spark, odd, tmp_path):
 
 def test_dedup_batches(spark, docs_of, none, tmp_path):
     path = f"file://{tmp_path}/i"
-    assert exact_dedup.dedup_batch(spark, none, path, 4).count() == 0
-    first = exact_dedup.dedup_batch(spark, docs_of([(5, "a b"), (6, "c")]), path, 4)
+    assert exact_dedup.dedup_batch(spark, none, path, buckets=4).count() == 0
+    first = exact_dedup.dedup_batch(spark, docs_of([(5, "a b"), (6, "c")]), path, buckets=4)
     assert first.where("kept").count() == 2
-    second = {r.doc_id: r for r in exact_dedup.dedup_batch(spark, docs_of([(1, "a  b"), (2, "d"), (3, "d")]), path, 4).collect()}
+    second = {r.doc_id: r for r in exact_dedup.dedup_batch(spark, docs_of([(1, "a  b"), (2, "d"), (3, "d")]), path, buckets=4).collect()}
     assert not second[1].kept and second[1].keep_id == 5
     assert second[2].kept and not second[3].kept and second[3].keep_id == 2
-    again = exact_dedup.dedup_batch(spark, docs_of([(2, "d")]), path, 4).collect()
+    again = exact_dedup.dedup_batch(spark, docs_of([(2, "d")]), path, buckets=4).collect()
     assert not again[0].kept and again[0].keep_id == 2
+    # the same index with other buckets, each in one file
+    assert exact_dedup.compact(spark, path, rows=1, least=1) == 3
+    later = {r.doc_id: r for r in exact_dedup.dedup_batch(spark, docs_of([(9, "a b"), (10, "e")]), path).collect()}
+    assert not later[9].kept and later[9].keep_id == 5 and later[10].kept
+
+
+def test_a_batch_runs_again_after_a_crash(spark, docs_of, tmp_path, monkeypatch):
+    """Its digests were appended, its result was not written."""
+    path, rows = f"file://{tmp_path}/i", docs_of([(1, "a"), (2, "b"), (3, "b"), (4, "c")])
+    exact_dedup.dedup_batch(spark, docs_of([(0, "c")]), path, "earlier", 4)
+
+    def lost(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "attach", lost)
+        try:
+            exact_dedup.dedup_batch(spark, rows, path, "today", 4)
+        except OSError:
+            pass
+    for _ in range(2):
+        got = {r.doc_id: (r.kept, r.keep_id) for r in exact_dedup.dedup_batch(spark, rows, path, "today", 4).collect()}
+        assert got == {1: (True, 1), 2: (True, 2), 3: (False, 2), 4: (False, 0)}
+    assert sorted(r.doc_id for r in exact_dedup.keep_first(spark, rows, path, "today").collect()) == [1, 2]
+    assert exact_dedup.keep_first(spark, rows, path, "tomorrow").count() == 0
+
+
+def test_keep_first_of_repeated_and_null_ids(spark, docs_of, tmp_path):
+    rows = docs_of([(1, "a b"), (1, "a b"), (1, "a  b"), (None, "n"), (None, "n"), (2, None), (3, "")])
+    kept = exact_dedup.keep_first(spark, rows, f"file://{tmp_path}/k")
+    assert kept.count() == 3 and [r.doc_id for r in kept.where("doc_id IS NULL").collect()] == [None]
 
 
 def test_keep_first_keeps_columns(spark, odd, tmp_path):
