@@ -83,6 +83,31 @@ def test_trees_equal_the_library(alphabet, window):
         assert encode(text + " end " + text).tolist() == vocab.load(BYTE).encode(text + " end " + text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from(list("ab  eé漢🙂'\n\t1!<|\x1c\u00a0 sto.")), max_size=80), st.sampled_from(["", "<|endoftext|>", " <|endoftext|> "]), st.sampled_from([1, 3, 8]))
+def test_halved_texts_equal_the_library(text, special, leaf):
+    text = text[: len(text) // 2] + special + text[len(text) // 2 :]
+    encode = bpe.TreeEncoder(BYTE, RANKS, window=1, text_leaf=leaf)
+    assert encode(text).tolist() == vocab.load(BYTE).encode(text, add_special_tokens=False).ids
+    assert encode.joins or len(text) <= leaf
+
+
+def test_bpe_of_all_documents(spark):
+    """Equal to the library; the tree joins parts of most documents, and of rows in several tasks."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r for r in bpe.op7_bpe(spark, "/root/testdata/sf0.01").collect()}
+    dealt = {r.doc_id: r for r in bpe.digests(docs, BYTE, RANKS, chunk=3000).collect()}
+    assert rows == dealt and len(rows) == docs.count()
+    library, tree, halved = vocab.load(BYTE), bpe.TreeEncoder(BYTE, RANKS), 0
+    for d in docs.collect():
+        ids = library.encode(d.text, add_special_tokens=False).ids
+        want = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (rows[d.doc_id].n_tokens, rows[d.doc_id].ids_sha256, rows[d.doc_id].decoded_sha256) == (len(ids), *want)
+        assert tree(d.text).tolist() == ids
+        halved += len(d.text) > bpe.TEXT_LEAF
+    assert halved > 50 and tree.joins >= halved
+
+
 def test_bpe_rows(spark, odd, none):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(odd, BYTE, RANKS).collect()}
     for r in odd.collect():
