@@ -8,17 +8,17 @@ any other of like size has no partner and is dropped, which most are; of the oth
 but the r - 1 most frequent of what they share tie nodes to clusters. Every link lies
 within a cluster.
 
-Below, a cluster's nodes lie in order of size and least n-gram. A ``FAN``-th of a ``LEAF`` is
-a twig, the tree's lowest level, and ``FAN`` nodes of a level share a parent. Each holds the OR of its sets' bitmaps, the range
+Below, a cluster's nodes lie in order of size and least n-gram. A leaf
+has ``LEAF`` of them, in twigs of a ``FAN``-th each, and ``FAN`` nodes of a level share a parent. Each holds the OR of its sets' bitmaps, the range
 of their sizes, the least number of bits of a set and the range of their components. The
 levels are tables. Two trees are traversed together from the roots, a level in a join: a
 pair of nodes is cut off if the bitmaps leave less overlap than the sizes ask for, or if
-all below both are connected. Sets of twigs that are left face to face are compared, again
+all below both are connected. Sets of leaves that are left face to face are compared, again
 with bitmaps first, in trees of their own; n-grams are read for these only.
 
 So that copies are never paired with each other in full, each leaf is joined with itself
 and with a few pivots of its cluster first, which mostly leaves one main part. Only what is
-outside it then visits the leaves that the traversal left and that its own bitmap allows.
+outside it then visits the leaves that the traversal left, if its own bitmap allows a twig.
 A leaf's visitors come in blocks of about ``LEAF``, however many they are. Thus every link
 between different components is tested.
 
@@ -409,7 +409,7 @@ def tree_levels(crowd: DataFrame) -> list[DataFrame]:
     levels = []
     while True:
         level = below.groupBy("cluster", F.col("up").alias("id")).agg(*facts)
-        levels.append(cut(level.withColumn("up", F.floor(F.col("id") / FAN).cast("long")), "level"))
+        levels.append(cut(level.withColumn("up", F.floor(F.col("id") / FAN).cast("long") if levels else _leaf("id")), "level"))
         below = levels[-1]
         if (below.agg(F.max("id")).first()[0] or 0) == 0:
             return levels
@@ -431,30 +431,35 @@ def may_link(x: str, y: str, percent: int) -> Column:
 
 
 def traversed(levels: list[DataFrame], percent: int) -> DataFrame:
-    """(cluster, x, y) with x < y: the pairs of twigs of different leaves that the dual
-    traversal leaves. A level's pairs are joined with the children of both nodes, and cut
-    off there."""
+    """(cluster, x, y) with x < y: the pairs of leaves that the dual traversal leaves. A
+    level's pairs are joined with the children of both nodes, and cut off there."""
     top = levels[-1]
     pairs = top.select("cluster", F.col("id").alias("x"), F.col("id").alias("y"))
-    for level in levels[-2::-1]:
+    for level in levels[-2:0:-1]:
         x, y = level.alias("x"), level.alias("y")
         met = pairs.alias("p").join(x, (F.col("p.cluster") == F.col("x.cluster")) & (F.col("p.x") == F.col("x.up"))).join(y, (F.col("p.cluster") == F.col("y.cluster")) & (F.col("p.y") == F.col("y.up")))
         met = met.where(F.col("x.id") <= F.col("y.id")).where(may_link("x", "y", percent))
         pairs = cut(met.select(F.col("p.cluster").alias("cluster"), F.col("x.id").alias("x"), F.col("y.id").alias("y")), "pairs")
-    return pairs.where(_leaf("x") < _leaf("y"))
+    return pairs.where("x < y")
 
 
 def visits_of(crowd: DataFrame, twigs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(rid, cluster, leaf): the leaves with twigs of ``pairs`` with which a set outside its
-    cluster's main part can be linked, by its bitmap against the twig's."""
-    sides = pairs.select("cluster", F.col("x").alias("own"), F.col("y").alias("twig"))
-    sides = sides.unionByName(pairs.select("cluster", F.col("y").alias("own"), F.col("x").alias("twig")))
-    strays = crowd.where("stray").select("rid", "cluster", F.col("twig").alias("own"), "n", "bits", "comp")
-    asked = strays.join(sides, ["cluster", "own"]).join(twigs.withColumnRenamed("id", "twig"), ["cluster", "twig"])
-    missing = sum((F.bit_count(F.col("bits")[k].bitwiseAND(F.bitwise_not(F.col(o)))) for k, o in enumerate(_OR)), F.lit(0))
-    fits = (100 * F.col("n_max") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n_min")) & ((100 + percent) * (F.col("n") - missing) >= percent * (F.col("n") + F.col("n_min")))
-    apart = (F.col("c_min") != F.col("comp")) | (F.col("c_max") != F.col("comp"))
-    return asked.where(fits & apart).select("rid", "cluster", _leaf("twig").alias("leaf")).distinct()
+    """(rid, cluster, leaf): with which leaves of ``pairs`` a set outside its cluster's main
+    part can be linked, by its bitmap against those of the leaf's twigs."""
+    sides = pairs.select("cluster", F.col("x").alias("own"), F.col("y").alias("leaf"))
+    sides = sides.unionByName(pairs.select("cluster", F.col("y").alias("own"), F.col("x").alias("leaf")))
+    leaves = twigs.groupBy("cluster", F.col("up").alias("leaf")).agg(F.collect_list(F.struct("n_min", "n_max", "c_min", "c_max", F.array(*_OR).alias("o"))).alias("twigs"))
+    strays = crowd.where("stray").select("rid", "cluster", _leaf("twig").alias("own"), "n", "bits", "comp")
+    asked = strays.join(sides, ["cluster", "own"]).join(leaves, ["cluster", "leaf"])
+    n = F.col("n")
+
+    def fits(x: Column) -> Column:
+        missing = F.aggregate(F.zip_with("bits", x["o"], lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda a, b: a + b)
+        sizes = (100 * x["n_max"] >= percent * n) & (100 * n >= percent * x["n_min"])
+        apart = (x["c_min"] != F.col("comp")) | (x["c_max"] != F.col("comp"))
+        return sizes & apart & ((100 + percent) * (n - missing) >= percent * (n + x["n_min"]))
+
+    return asked.where(F.exists("twigs", fits)).select("rid", "cluster", "leaf")
 
 
 def _visited(whole: DataFrame, visits: DataFrame, parts: DataFrame, percent: int) -> DataFrame:

@@ -27,7 +27,7 @@ WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\
 #: Stands for the end of a word; a text that holds it takes the library's own way.
 END = "\x1f"
 #: Words that a worker keeps at most; then it starts anew.
-CACHE = 700_000
+CACHE = 400_000
 
 
 @lru_cache(maxsize=4)

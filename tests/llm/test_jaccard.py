@@ -157,3 +157,51 @@ def test_visitors_come_in_blocks(docs_of, monkeypatch, length, passage):
     monkeypatch.setattr(J, "join_visitors", watched)
     rows = alike(300, length, passage, 5)
     assert result(J.jaccard_components(docs_of(rows), 3, 80)) == brute(rows, 3, 80)
+
+
+def test_trees_have_levels_and_prune(spark, docs_of, monkeypatch):
+    """Documents of the table, each with copies that are cut short and have some words
+    changed: the trees of their clusters have several levels, and the traversal cuts node
+    pairs off."""
+    monkeypatch.setattr(J, "LEAF", 8)
+    monkeypatch.setattr(J, "FAN", 2)
+    rng, rows = random.Random(7), []
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect() if 60 <= len(r.text.split()) <= 120][:6]
+    for text in texts:
+        for k in range(40):
+            words = text.split()
+            words = words[: len(words) * (60 + k) // 100]
+            for at in rng.sample(range(len(words)), rng.choice([1, 2, 3, 4])):
+                words[at] = f"z{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    seen, levels_of, traversed = {}, J.tree_levels, J.traversed
+
+    def levels(crowd):
+        seen["levels"] = levels_of(crowd)
+        return seen["levels"]
+
+    def pairs(own, percent):
+        left = traversed(own, percent)
+        ids = own[1].groupBy("cluster").count().collect()
+        seen["all"], seen["left"] = sum(r["count"] * (r["count"] - 1) // 2 for r in ids), left.count()
+        return left
+
+    monkeypatch.setattr(J, "tree_levels", levels)
+    monkeypatch.setattr(J, "traversed", pairs)
+    assert result(J.jaccard_components(docs_of(rows), 3, 80)) == brute(rows, 3, 80)
+    assert len(seen["levels"]) >= 4 and seen["left"] < seen["all"]
+
+
+def test_equal_sets_alone(docs_of):
+    rows = corpus(3, 60) + [(100, "a b c d"), (101, "A  b c D"), (102, "a b c e")]
+    assert result(J.jaccard_components(docs_of(rows), 3, 100)) == brute(rows, 3, 100)
+    with pytest.raises(ValueError):
+        J.jaccard_components(docs_of(rows), 3, 0)
+
+
+def test_keep_one_of_repeated_and_null_ids(docs_of):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w59", "v")
+    rows = [(5, text), (5, near), (5, text), (None, text + " x"), (None, "alone " * 9), (7, near), (8, "other words here " + near[:20])]
+    kept = J.keep_one(docs_of(rows), 5, 80).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 5, 8]
