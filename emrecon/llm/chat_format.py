@@ -10,7 +10,8 @@ was written can be read back exactly. The loss mask is a list of spans, in code
 the text of each assistant turn.
 
 Defined cases: null roles and texts count as empty, null scores as 0; a parent that is
-not there makes its message a root; a cycle of replies is an error; of equal scores the
+not there makes its message a root; a conversation of any length is one row, and texts of
+any length are taken whole; a cycle of replies is an error; of equal scores the
 longer path, then the smaller leaf comes first; an empty table gives no rows; other
 columns are ignored. For a flat table each row answers the one before it in its
 conversation; rows of one turn follow each other by role and text, nulls first.

@@ -11,7 +11,8 @@ arrangement is replaced only by one with fewer bins. That ends when one partitio
 was exchanged, or when a round saves nothing.
 
 Defined cases: null and empty texts hold the separator alone; a text that exceeds the
-capacity several times is cut whole; repeated rows are separate documents; an empty
+capacity several times is cut whole; of equally tight bins the one opened or filled last is
+taken, and of equal lengths the first in the partition's order goes first; repeated rows are separate documents; an empty
 table gives no rows; other columns are ignored.
 """
 

@@ -7,8 +7,11 @@ over all pairs is taken in linear time as half of the squared sum less the sum o
 It is fitted on a bounded sample of labelled rows and calibrated on a part kept apart.
 
 Defined cases: null and empty texts have no words and statistics of 0; the column
-n_chars is not needed, the count is taken anew; a null doc_id is in no fold, so held_out is null; without labelled
-rows of both classes every score is the share of good rows (0.5 without any).
+n_chars is not needed, the count is taken anew; a text of any length is scored whole;
+repeated rows get the same score; a value on a bin's edge falls below it; of several labels
+of a document the larger counts; a null doc_id is in no fold, so held_out is null; without
+labelled rows of both classes every score is the share of good rows (0.5 without any); an
+empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ bounded sample of labelled rows, by gradients that tasks take over their rows an
 brings together, calibrated to probabilities on a part kept apart, and scored in Arrow batches; a document stays if no base rule fails and its probability
 reaches a fixed threshold.
 
-Defined cases: null and empty texts have no words, so the base rules fail; a null doc_id
-is scored like any other; without labelled rows of both classes the base rules decide
+Defined cases: null and empty texts have no words, so the base rules fail; a text of any
+length is counted and scored whole; a probability of the threshold itself passes; an empty
+table gives no rows; a null doc_id is scored like any other; without labelled rows of both classes the base rules decide
 alone; repeated rows give repeated rows; other columns are ignored.
 """
 

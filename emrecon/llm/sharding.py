@@ -10,7 +10,7 @@ proposal is left, ranks turn counts back into documents, and unlinked documents
 each shard to its quota exactly. DataFrame operations only.
 
 A text with more copies than a shard's quota takes as few shards as can hold it. Defined
-cases: null texts count as empty, and equal empty texts are linked; repeated rows are
+cases: a text of any length counts with all its bytes; null texts count as empty, and equal empty texts are linked; repeated rows are
 separate copies; null ids are ranked first; an empty table gives no rows; fewer rows than
 shards leave shards empty; further columns are ignored.
 """

@@ -7,8 +7,11 @@ near a second-person word, rates of capitals and punctuation, and rates of disgu
 spellings; every whole text is scored in Arrow batches.
 
 Defined cases: null and empty texts have zero features and get a score like any other;
-a null doc_id is in no fold, so held_out is null; without labelled rows of both classes
-every score is the share of toxic rows (0.5 without any); other columns are ignored.
+a text of any length is scored whole; repeated rows get the same score; a null doc_id is in
+no fold, so held_out is null; of several labels of a document the larger counts, and of
+lexicon terms with one bound the first by name; without labelled rows of both classes every
+score is the share of toxic rows (0.5 without any); an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -135,3 +135,51 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 2] > 0)).astype(float)
     t = toxicity.Trees().fit(x[:400], y[:400])
     assert ((t.margin(x[400:]) > 0) == y[400:]).mean() > 0.9
+
+
+def test_entries_and_gradients_against_slow_versions():
+    """Word entries and pair sums of the machine, slots of the rules, both gradients by differences."""
+    import pyarrow as pa
+
+    text = "Good words, good WORDS | and 12 more\n\nwords ! !"
+    distinct, stats = quality_fm.entries(text, len(text), quality_fm.Words())
+    tokens = text.split()
+    assert distinct.tolist() == sorted({zlib.crc32(t.lower().encode()) % quality_fm.WORDS for t in tokens})
+    by = dict(zip(quality_fm.STATISTICS, stats, strict=True))
+    assert by["n_words"] == pytest.approx(np.log1p(len(tokens))) and by["neighbours"] == pytest.approx(1 / len(tokens))
+    assert by["bars"] == pytest.approx(1 / len(text)) and by["lines"] == pytest.approx(np.log1p(2))
+    texts, y = [text, "other text entirely here", "", "good good good words"], [1, 0, 0, 1]
+    got = [quality_fm.entries(t, len(t), quality_fm.Words()) for t in texts]
+    edges = [np.array([0.1, 0.5])] * len(quality_fm.STATISTICS)
+    batch = pa.RecordBatch.from_arrays([pa.array(y), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int32())), pa.array([s for _, s in got], pa.list_(pa.float64()))], ["y", "at", "stats"])
+    m = quality_fm.Machine(edges)
+    m.w[:] = np.random.default_rng(1).normal(size=len(m.w))
+    params = np.concatenate([m.w, m.v.ravel(), [0.3]])
+    m.w0 = 0.3
+    margins = quality_fm._margins(params, *quality_fm.vectors(batch, edges))[0]
+    assert margins == pytest.approx([m.margin(*m.vector(*g)) for g in got])
+    loss = lambda p: float(np.sum(np.log1p(np.exp(-(2 * np.array(y) - 1) * quality_fm._margins(p, *quality_fm.vectors(batch, edges))[0]))))
+    g = quality_fm.gradient(params, batch, edges)
+    for at in [*np.flatnonzero(np.abs(g) > 1e-9)[::97], len(params) - 1]:
+        step = np.zeros(len(params))
+        step[at] = 1e-5
+        assert g[at] == pytest.approx((loss(params + step) - loss(params - step)) / 2e-5, abs=1e-5)
+
+    tok = quality_rules.Tokens()
+    word, char = quality_rules.slots(text.encode(), text.encode().split(), tok)
+    assert len(word) == len(tokens) + 2 * (len(tokens) - 1) and len(char) == len(text.encode()) - 3
+    raw = text.encode()
+    slow = [int(quality_rules._slot(np.array([int.from_bytes(raw[i : i + 4], "little")], np.uint64), 4)[0]) for i in range(len(raw) - 3)]
+    assert char.tolist() == slow
+    rows = [quality_rules.shares(*quality_rules.slots(t.encode(), t.encode().split(), tok)) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(y), pa.array([a.tobytes() for a, _ in rows], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in rows], pa.binary())], ["y", "at", "x"])
+    params = np.random.default_rng(2).normal(size=2 * quality_rules.SIZE + 1)
+    loss = lambda p: float(np.sum(np.log1p(np.exp(-(2 * np.array(y) - 1) * quality_rules.margins_of(p, batch)))))
+    g = quality_rules.gradient(params, batch)
+    model = quality_rules.Regression()
+    model.w, model.bias = params[:-1], float(params[-1])
+    assert quality_rules.margins_of(params, batch)[0] == pytest.approx(model.margin(word, char), abs=1e-5)
+    for at in [*np.flatnonzero(np.abs(g) > 1e-9)[::13], len(params) - 1]:
+        step = np.zeros(len(params))
+        step[at] = 1e-5
+        assert g[at] == pytest.approx((loss(params + step) - loss(params - step)) / 2e-5, abs=1e-5)
