@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 result is written as Parquet and read again. All but the last return the columns of
 ``documents``. Near duplicates are documents whose sets of five-word shingles have a
 Jaccard similarity of 0.8 or more.
+
+Defined cases. Null texts count as empty: they fail the base rules of the second stage, so
+the later ones meet none in a run; by themselves exact dedup keeps one of all empty texts,
+near duplicates all, and packing gives each a separator. Texts of any length are taken
+whole. Of equal or near rows the one with the smallest doc_id stays, a null id last, and of
+rows alike in id and text one. Toxicity keeps all rows where labels of one class are
+missing, and the base rules alone decide then. An empty table gives no rows. Further
+columns, whatever their names, are carried through all stages but the last.
 """
 
 from __future__ import annotations
