@@ -15,9 +15,14 @@ from emrecon.sources.scratch import cut, remove
 
 
 def fingerprint(a: DataFrame, y: DataFrame) -> str:
-    """Depends on the elements and counts, not on their order."""
-    one = a.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("r", "c", "v")), F.lit(0)), F.sum(F.col("v").cast("double"))).first()
-    two = y.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("r", "y")), F.lit(0))).first()
+    """Depends on the elements and counts, not on their order or partitions: sums of hashes
+    are exact, and repeated cells do not cancel out."""
+
+    def total(*cols: str):
+        return F.coalesce(F.sum(F.xxhash64(*cols).cast("decimal(20,0)")), F.lit(0).cast("decimal(20,0)"))
+
+    one = a.agg(F.count(F.lit(1)), total("r", "c", "v")).first()
+    two = y.agg(F.count(F.lit(1)), total("r", "y")).first()
     return "-".join(map(str, [*one, *two]))
 
 

@@ -233,7 +233,10 @@ def _write_parts(df: DataFrame, path: str, to_bytes) -> DataFrame:
 
 
 def write_vector(df: DataFrame, path: str, dtype: str = "float32", parts: int = 8) -> None:
-    """(i, x), dense in i, as a raw file in order of i."""
+    """(i, x), a row for each i from 0 on, as a raw file in order of i."""
+    n, distinct, least, most = df.agg(F.count(F.lit(1)), F.count_distinct("i"), F.min("i"), F.max("i")).first()
+    if n and not (n == distinct == most + 1 and least == 0):
+        raise FormatError("a vector has one value for each place from 0 on")
     kind = np.dtype(dtype).newbyteorder("<")
     rows = df.select(F.col("i").cast("long").alias("i"), "x").repartitionByRange(parts, "i").sortWithinPartitions("i")
     written = _write_parts(rows, path, lambda b: b.column("x").to_numpy(zero_copy_only=False).astype(kind).tobytes())
@@ -246,6 +249,10 @@ def write_csr4(a: DataFrame, path: str, n_rows: int, n_cols: int, scanner: dict,
     raw vector of their own first, so neither they nor the elements meet in one place."""
     from emrecon.operators.partitioning import row_lengths, running
 
+    inside = F.col("r").between(0, n_rows - 1) & F.col("c").between(0, n_cols - 1) & F.col("v").isNotNull()
+    nnz, good = a.agg(F.count(F.lit(1)), F.count(F.when(inside, 1))).first()
+    if nnz != good:
+        raise FormatError(f"{nnz - good} elements lie outside the matrix or have no value")
     domain = a.sparkSession.range(n_rows).select(F.col("id").alias("r"))
     ends = running(row_lengths(a, domain), "r", "cnt", out="x").select(F.col("r").alias("i"), "x")
     ends = ends.repartitionByRange(parts, "i").sortWithinPartitions("i")
@@ -260,7 +267,7 @@ def write_csr4(a: DataFrame, path: str, n_rows: int, n_cols: int, scanner: dict,
 
     _commit(_write_parts(rows, body_path, pairs), body_path, [])
     described = scanner_bytes(scanner)
-    head = HEADER.pack(MAGIC, VERSION, sum(b for b, s in zip((1, 2, 4), sym, strict=True) if s), 0, n_rows, n_cols, a.count(), len(described))
+    head = HEADER.pack(MAGIC, VERSION, sum(b for b, s in zip((1, 2, 4), sym, strict=True) if s), 0, n_rows, n_cols, nnz, len(described))
     fs, own = FileSystem.from_uri(path) if "://" in path else FileSystem.from_uri(f"file://{path}")
     with fs.open_output_stream(f"{own}.tmp") as out:
         out.write(head + described)

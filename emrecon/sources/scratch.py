@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of our own only where none is named."""
+    """The folder named in spark.checkpoint.dir; a folder of our own only where none
+    is named and all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         own = tempfile.mkdtemp(prefix="emrecon-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = f"file://{own}"

@@ -77,3 +77,16 @@ def test_ranges_of_like_weight(tmp_path):
     some = csr4.Csr4Reader({"path": str(path), "from": 10, "to": 950}).partitions()
     assert (some[0].start, some[-1].end) == (10, 950)
     assert csr4.Csr4Reader({"path": str(path), "from": 2000}).partitions() == []
+
+
+@pytest.mark.parametrize("cell", [(-1, 0, 1.0), (4, 0, 1.0), (0, 4, 1.0), (0, -1, 1.0), (None, 0, 1.0), (0, 0, None)])
+def test_elements_outside_are_errors(spark, tmp_path, cell):
+    with pytest.raises(csr4.FormatError):
+        csr4.write_csr4(spark.createDataFrame([*CELLS, cell], "r long, c long, v float"), str(tmp_path / "x"), 4, 4, SCANNER)
+    assert not list(tmp_path.iterdir())
+
+
+@pytest.mark.parametrize("places", [[0, 5], [1, 2], [0, 0], [0, None], [-1, 0]])
+def test_gaps_in_vectors_are_errors(spark, tmp_path, places):
+    with pytest.raises(csr4.FormatError):
+        csr4.write_vector(spark.createDataFrame([(i, 1.0) for i in places], "i long, x float"), str(tmp_path / "x"))

@@ -77,3 +77,14 @@ def test_resume(case, spark, tmp_path):
     checkpoints.run(a, y, cols, 2, path, every=1, finish=False)
     with pytest.raises(ValueError):
         checkpoints.run(a, y.selectExpr("r", "y + 1 AS y"), cols, 3, path, resume=True)
+
+
+def test_fingerprint_knows_repeats_and_no_order(spark):
+    from emrecon.operators.checkpoints import fingerprint
+
+    y = spark.range(9).selectExpr("id AS r", "3 AS y")
+    a = spark.range(900).selectExpr("id % 9 AS r", "id AS c", "cast(1 / (id + 3) AS double) AS v")
+    marks = {fingerprint(a.repartition(n), y.repartition(n)) for n in (1, 3, 7)}
+    assert len(marks) == 1
+    twice = a.unionByName(a.limit(1)).unionByName(a.limit(1))
+    assert fingerprint(twice, y) not in marks and fingerprint(a.where("false"), y) not in marks
