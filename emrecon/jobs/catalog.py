@@ -116,6 +116,20 @@ def q_image_sum(spark, d):
     return _rounded(mlem.image_sum(mlem.step(a, y, x, norm)), "image_sum", digits=4)
 
 
+def q_conservation(spark, d):
+    """What an update keeps: the weighted image against the counts that it met."""
+    a, y, norm, x = _start(spark, d)
+    fw = mlem.forward(a, x)
+    image = mlem.update(x, mlem.backward(a, mlem.correlation(y, fw)), norm)
+    return _rounded(mlem.conservation(y, norm, fw, image), "weighted", "counted", digits=2)
+
+
+def q_filtered(spark, d):
+    """Two iterations over a matrix of which every fifth column is empty."""
+    a, y, c = _all(spark, d)
+    return _rounded(mlem.mlem(a.where(F.col("c") % 5 != 0), y, c, 2), "x")
+
+
 def q_supplier_mlem(spark, d):
     """Two iterations over long rows: suppliers by parts, counts from their balances."""
     a = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("r"), F.col("l_partkey").alias("c"), F.col("l_quantity").alias("v"))
@@ -192,10 +206,18 @@ def q_pattern(spark, d):
     return transpose.transpose(matrix(spark, d), values=False)
 
 
+def _as_text(c: str):
+    return F.concat_ws(",", F.transform(c, lambda x: x.cast("long").cast("string"))).alias(c)
+
+
 def q_csr_arrays(spark, d):
     rows = transpose.csr_arrays(matrix(spark, d), counts(spark, d))
-    text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("long").cast("string")))
-    return rows.select("r", "start", text("columns").alias("columns"), text("values").alias("values"))
+    return rows.select("r", "start", _as_text("columns"), _as_text("values"))
+
+
+def q_csc_arrays(spark, d):
+    packed = transpose.csc_arrays(matrix(spark, d), columns(spark, d))
+    return packed.select("c", "start", _as_text("rows"), _as_text("values"))
 
 
 #: A fixed value: the scanner that matrix files of the queries carry.
@@ -204,12 +226,29 @@ SCANNER = {"layers": [(1.0, 2.0, 3.0, 4.0, 0.5), (1.0, 2.0, 3.0, 6.0, 0.5)], "nb
 
 def q_csr4_roundtrip(spark, d):
     """The matrix through a matrix file."""
-    csr4.register(spark)
+    got = spark.read.format("csr4").option("path", _file(spark, d)).load()
+    return got.select("r", "c", F.col("v").cast("double").alias("v"))
+
+
+def _file(spark, d) -> str:
     path = new_path(spark, "matrix").removeprefix("file://") + ".csr4"
     a, y, c = _all(spark, d)
+    csr4.register(spark)
     csr4.write_csr4(a, path, y.count(), c.count(), SCANNER)
-    got = spark.read.format("csr4").option("path", path).load()
-    return got.select("r", "c", F.col("v").cast("double").alias("v"))
+    return path
+
+
+def q_csr4_row_range(spark, d):
+    """The middle third of the rows of a matrix file, by filters on ``r``."""
+    rows = counts(spark, d).count()
+    got = spark.read.format("csr4").option("path", _file(spark, d)).load()
+    return got.where((F.col("r") >= rows // 3) & (F.col("r") < 2 * rows // 3)).select("r", "c", F.col("v").cast("double").alias("v"))
+
+
+def q_matrix_meta(spark, d):
+    """Dimensions and scanner as a matrix file states them."""
+    meta = csr4.metadata(spark, _file(spark, d))
+    return meta.select("n_rows", "n_cols", "nnz", F.col("sym.x").alias("sym_x"), "nblocks", F.size("layers").alias("layers"), (F.size("ring_gaps") + 1).alias("rings"), "grid_dim.x", "grid_dim.z")
 
 
 def q_vector_roundtrip(spark, d):
@@ -266,6 +305,8 @@ QUERIES = {
     "back_projection": q_backward,
     "image_update": q_update,
     "image_sum": q_image_sum,
+    "conservation_check": q_conservation,
+    "reconstruct_filtered": q_filtered,
     "supplier_mlem": q_supplier_mlem,
     "dense_forward": q_dense_forward,
     "dense_backward": q_dense_backward,
@@ -283,7 +324,10 @@ QUERIES = {
     "transpose": q_transpose,
     "transpose_pattern": q_pattern,
     "csr_arrays": q_csr_arrays,
+    "csc_arrays": q_csc_arrays,
     "csr4_roundtrip": q_csr4_roundtrip,
+    "csr4_row_range": q_csr4_row_range,
+    "matrix_meta": q_matrix_meta,
     "vector_roundtrip": q_vector_roundtrip,
     "voxels": q_voxels,
     "scanner_counts": q_scanner_counts,
@@ -335,6 +379,8 @@ ORACLES = {
     "back_projection": _steps(1) + " SELECT c, round(u, 6) AS u FROM u1",
     "image_update": _steps(1) + " SELECT c, round(x, 6) AS x FROM x1",
     "image_sum": _steps(1) + " SELECT round(sum(x), 4) AS image_sum FROM x1",
+    "conservation_check": _steps(1) + " SELECT round((SELECT sum(x * n) FROM x1 JOIN norm USING (c)), 2) AS weighted, round((SELECT sum(y)::DOUBLE FROM y JOIN f1 USING (r) WHERE fw <> 0), 2) AS counted",
+    "reconstruct_filtered": _steps(2, _TABLES.replace("FROM lineitem", "FROM lineitem WHERE l_partkey % 5 <> 0")) + " SELECT c, round(x, 6) AS x FROM x2",
     "supplier_mlem": _steps(2, _SUPPLIER) + " SELECT c, round(x, 6) AS x FROM x2",
     "dense_forward": _DENSE + " SELECT r, round(sum(v * (c + 1)), 4) AS fw FROM a GROUP BY r",
     "dense_backward": _DENSE + " SELECT c, round(sum(v * (r % 7)), 4) AS u FROM a GROUP BY c",
@@ -352,6 +398,9 @@ ORACLES = {
     "transpose": _TABLES + " SELECT c AS r, r AS c, v FROM a",
     "transpose_pattern": _TABLES + " SELECT c AS r, r AS c FROM a",
     "csr_arrays": _LENGTHS + " SELECT w.r, incl - cnt AS start, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c, v), '') AS columns, coalesce(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY c, v), '') AS values FROM w LEFT JOIN a USING (r) GROUP BY w.r, incl, cnt",
+    "csc_arrays": _TABLES + ", n AS (SELECT d.c, count(a.r) AS cnt, coalesce(string_agg(r::VARCHAR, ',' ORDER BY r, v), '') AS rows, coalesce(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY r, v), '') AS values FROM d LEFT JOIN a USING (c) GROUP BY d.c) SELECT c, (sum(cnt) OVER (ORDER BY c) - cnt)::BIGINT AS start, rows, values FROM n",
+    "csr4_row_range": _TABLES + " SELECT * FROM a WHERE r >= (SELECT count(*) // 3 FROM y) AND r < (SELECT 2 * count(*) // 3 FROM y)",
+    "matrix_meta": "SELECT (SELECT count(*) FROM orders) AS n_rows, (SELECT count(*) FROM part) AS n_cols, (SELECT count(*) FROM lineitem) AS nnz, false AS sym_x, 8::BIGINT AS nblocks, 2::INT AS layers, 4::INT AS rings, 100::BIGINT AS x, 10::BIGINT AS z",
     "csr4_roundtrip": _TABLES + " SELECT r, c, v FROM a",
     "vector_roundtrip": _TABLES + " SELECT r AS i, y AS x FROM y",
     "voxels": "SELECT DISTINCT n, n % 13 AS x, (n % 143) // 13 AS y, n // 143 AS z, n AS back FROM (SELECT l_orderkey * 7 + l_partkey AS n FROM lineitem)",

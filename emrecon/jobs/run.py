@@ -25,6 +25,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("output")
     p.add_argument("--strategy", choices=("joins", "fused", "by_column"), default="joins")
     p.add_argument("--columns", type=int, help="number of columns of a Parquet matrix")
+    p.add_argument("--metrics", help="folder for the metrics of each iteration as CSV; needs --states")
     p.add_argument("--states", help="folder for saved states")
     p.add_argument("--every", type=int, default=5, help="iterations between saved states")
     p.add_argument("--resume", action="store_true", help="go on from the last saved state")
@@ -38,20 +39,25 @@ def main(args: list[str] | None = None) -> None:
     csr4.register(spark)
     if o.matrix.endswith(".csr4"):
         a = spark.read.format("csr4").option("path", o.matrix).option("partitions", o.partitions).load()
-        a, n = cut(a, "matrix"), csr4.read_header(o.matrix)["n_cols"]
+        head = csr4.read_header(o.matrix)
+        a, n, rows = cut(a, "matrix"), head["n_cols"], head["n_rows"]
     else:
         a = spark.read.parquet(o.matrix)
-        n = o.columns or (a.agg(F.max("c")).first()[0] or 0) + 1
+        n, rows = o.columns or (a.agg(F.max("c")).first()[0] or 0) + 1, None
     if o.counts.endswith(".raw"):
         y = spark.read.format("rawvec").option("path", o.counts).option("dtype", "int32").load().toDF("r", "y")
     else:
         y = spark.read.parquet(o.counts).select("r", "y")
+    if rows is not None:
+        y = mlem.require_counts(y, rows)
     columns = spark.range(n).withColumnRenamed("id", "c")
     if o.strategy == "fused":
         image = fused.mlem_fused(a, y, columns, o.iterations)
     elif o.states:
         image, metrics = checkpoints.run(a, y, columns, o.iterations, o.states, o.every, o.resume)
         metrics.show(o.iterations, truncate=False)
+        if o.metrics:
+            metrics.write.mode("overwrite").option("header", True).csv(o.metrics)
     else:
         copy = cut(laid_out(a, o.partitions, "c", "r"), "by_column") if o.strategy == "by_column" else None
         image = mlem.mlem(a, y, columns, o.iterations, by_column=copy)

@@ -3,7 +3,7 @@
 Rows lie packed, one record a row, so projection and correlation need no exchange; each
 task sends one partial update per column it met, and one grouped sum ends the iteration.
 The image is a dense array on every executor, as in each of the programs this replaces;
-``mlem.VECTOR_ROWS`` bounds it, and ``MOST_IN_ROW`` a packed row. Beyond either bound the
+``mlem.VECTOR_ROWS`` bounds it, and ``transpose.MOST_IN_ROW`` a packed row. Beyond either bound the
 join form in ``mlem`` is to be used, and this one says so."""
 
 from __future__ import annotations
@@ -16,12 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emrecon.operators.mlem import VECTOR_ROWS, column_sums
+from emrecon.operators.transpose import MOST_IN_ROW
 from emrecon.sources.scratch import cut
 
-#: Elements of a row that is packed into one record.
-MOST_IN_ROW = 4_000_000
-
-
 def packed_rows(a: DataFrame) -> DataFrame:
     """(r, columns, values): one record for each row with an element."""
     return a.groupBy("r").agg(F.collect_list(F.struct("c", F.col("v").cast("double").alias("v"))).alias("e")).select("r", F.col("e.c").alias("columns"), F.col("e.v").alias("values"))

@@ -61,6 +61,22 @@ def image_sum(image: DataFrame) -> DataFrame:
     return image.agg(F.sum("x").alias("image_sum"))
 
 
+def conservation(y: DataFrame, norm: DataFrame, fw: DataFrame, image: DataFrame) -> DataFrame:
+    """One row (weighted, counted), equal after an update: the image weighted by the column
+    sums, and the counts of the rows whose projection ``fw`` before it was not 0."""
+    weighted = image.join(norm, "c").agg(F.sum(F.col("x") * F.col("n")).alias("weighted"))
+    met = y.join(fw.where("fw <> 0").select("r"), "r", "left_semi")
+    return weighted.crossJoin(met.agg(F.sum(F.col("y").cast("double")).alias("counted")))  # one row each
+
+
+def require_counts(y: DataFrame, rows: int) -> DataFrame:
+    """``y``, if it has one count for each of a matrix's ``rows`` rows, numbered from 0."""
+    n, distinct, least, most = y.agg(F.count(F.lit(1)), F.count_distinct("r"), F.min("r"), F.max("r")).first()
+    if n != rows or (n and not (n == distinct == most + 1 and least == 0)):
+        raise ValueError(f"{n} counts do not fit a matrix of {rows} rows")
+    return y
+
+
 def step(a: DataFrame, y: DataFrame, image: DataFrame, norm: DataFrame, columns: int | None = None, rows: int | None = None) -> DataFrame:
     """One iteration, not yet executed."""
     return update(image, backward(a, correlation(y, forward(a, image, columns)), rows), norm)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from emrecon.operators.partitioning import running
 
 
+#: Elements of a row that is packed into one record.
+MOST_IN_ROW = 4_000_000
+
+
 def transpose(a: DataFrame, values: bool = True) -> DataFrame:
     """(r, c, v) of the transposed matrix; the pattern alone without ``values``."""
     cols = [F.col("c").alias("r"), F.col("r").alias("c")]
@@ -22,9 +26,19 @@ def laid_out(a: DataFrame, parts: int, *keys: str) -> DataFrame:
 
 def csr_arrays(a: DataFrame, rows: DataFrame) -> DataFrame:
     """(r, start, columns, values): for each row of the domain the place of its first
-    element and its elements in order of columns."""
+    element and its elements in order of columns. A row above ``MOST_IN_ROW`` elements is
+    an error, as it would be one record."""
+    longest = a.groupBy("r").count().agg(F.max("count")).first()[0] or 0
+    if longest > MOST_IN_ROW:
+        raise ValueError(f"a row of {longest} elements cannot be packed")
     packed = a.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("e"))
     full = rows.select("r").join(packed, "r", "left").withColumn("cnt", F.coalesce(F.size("e"), F.lit(0)).cast("long"))
     full = full.withColumn("cnt", F.greatest("cnt", F.lit(0)))
     out = running(full, "r", "cnt", inclusive=False, out="start")
     return out.select("r", "start", F.coalesce("e.c", F.array().cast("array<long>")).alias("columns"), F.coalesce("e.v", F.array().cast("array<double>")).alias("values"))
+
+
+def csc_arrays(a: DataFrame, columns: DataFrame) -> DataFrame:
+    """(c, start, rows, values): the same by columns, elements in order of rows."""
+    packed = csr_arrays(transpose(a), columns.select(F.col("c").alias("r")))
+    return packed.select(F.col("r").alias("c"), "start", F.col("columns").alias("rows"), "values")

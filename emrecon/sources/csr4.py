@@ -4,8 +4,8 @@
 counts, length of the scanner description), the scanner description, the inclusive end of
 each row as 64-bit numbers, then (column, value) pairs of 32 bits each. A read is planned
 by row ranges of like weight (rows and their elements; a row is never cut) and each task
-reads its own bytes; the options ``from`` and ``to`` prune the ranges, filters on ``r`` do
-not. ``rawvec``: values of one type without a header, keyed by their place.
+reads its own bytes; the options ``from`` and ``to`` prune the ranges, and so do filters
+that compare ``r`` with numbers. ``rawvec``: values of one type without a header, keyed by their place.
 
 Files are opened by URI through Arrow's file systems, in tasks as on the driver."""
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 # Fixed values of the format.
 MAGIC, VERSION = b"PCSR", 4
@@ -111,6 +111,17 @@ class Csr4Reader(DataSourceReader):
         self.path, self.parts = options["path"], int(options.get("partitions", 8))
         self.lo, self.hi = int(options.get("from", 0)), int(options.get("to", 1 << 62))
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of ``r`` narrow the row range; all other filters are left to Spark."""
+        for f in filters:
+            ours = getattr(f, "attribute", None) == ("r",) and isinstance(getattr(f, "value", None), int)
+            if ours and isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
+                self.lo = max(self.lo, f.value + isinstance(f, GreaterThan))
+            if ours and isinstance(f, LessThan | LessThanOrEqual | EqualTo):
+                self.hi = min(self.hi, f.value + (not isinstance(f, LessThan)))
+            if not (ours and isinstance(f, GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual | EqualTo)):
+                yield f
+
     def partitions(self) -> list[InputPartition]:
         h = read_header(self.path)
         lo, hi = max(0, self.lo), min(h["n_rows"], self.hi)
@@ -129,7 +140,9 @@ class Csr4Reader(DataSourceReader):
         bounds = [lo, *inner, hi]
         return [RowRange(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
 
-    def read(self, partition: RowRange, rows: int = 1 << 16, elements: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: RowRange | None, rows: int = 1 << 16, elements: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where no range is left
+            return
         h = read_header(self.path)
         f, _ = _open(self.path)
         with f:
@@ -171,7 +184,9 @@ class RawReader(DataSourceReader):
         bounds = np.linspace(0, size // self.dtype.itemsize, self.parts + 1).astype(int)
         return [RowRange(int(a), int(b)) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
 
-    def read(self, partition: RowRange, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: RowRange | None, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
         f, _ = _open(self.path)
         with f:
             for at in range(partition.start, partition.end, rows):
@@ -195,6 +210,8 @@ class RawVector(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make both formats known, and let Spark hand filters to sources written in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (Csr4, RawVector):
         spark.dataSource.register(source)
 

@@ -90,3 +90,15 @@ def test_elements_outside_are_errors(spark, tmp_path, cell):
 def test_gaps_in_vectors_are_errors(spark, tmp_path, places):
     with pytest.raises(csr4.FormatError):
         csr4.write_vector(spark.createDataFrame([(i, 1.0) for i in places], "i long, x float"), str(tmp_path / "x"))
+
+
+@pytest.mark.parametrize("where, rows", [("r = 1", {1}), ("r > 0 AND r <= 2", {1}), ("r >= 1 AND c = 0", {3}), ("r < 0", set()), ("r > 9", set()), ("r IN (0, 3)", {0, 3}), ("r > 1.5", {3}), ("r IS NULL", set()), ("v > 1 AND r < 3", {1})])
+def test_filters_on_rows(written, spark, where, rows):
+    got = spark.read.format("csr4").option("path", written).load().where(where).collect()
+    frame = spark.createDataFrame(CELLS, "r long, c long, v float").where(where).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, frame)) and {r["r"] for r in got} == rows
+
+
+def test_filters_prune_ranges(written, spark):
+    read = spark.read.format("csr4").option("path", written).option("partitions", 4)
+    assert read.load().rdd.getNumPartitions() > 1 and read.load().where("r = 1").rdd.getNumPartitions() == 1

@@ -88,3 +88,24 @@ def test_fingerprint_knows_repeats_and_no_order(spark):
     assert len(marks) == 1
     twice = a.unionByName(a.limit(1)).unionByName(a.limit(1))
     assert fingerprint(twice, y) not in marks and fingerprint(a.where("false"), y) not in marks
+
+
+def test_conservation(case):
+    a, y, cols = case
+    norm = mlem.column_sums(a, cols)
+    x0 = mlem.start_image(norm, y)
+    got = mlem.conservation(y, norm, mlem.forward(a, x0), mlem.step(a, y, x0, norm)).first()
+    assert tuple(got) == pytest.approx((17, 17))
+
+
+@pytest.mark.parametrize("keys", [[0, 1, 2], [0, 1, 2, 2], [1, 2, 3, 4], [0, 1, 2, 3, 4], []])
+def test_counts_of_another_length_are_errors(case, spark, keys):
+    assert mlem.require_counts(case[1], 4) is case[1]
+    with pytest.raises(ValueError):
+        mlem.require_counts(spark.createDataFrame([(k, 1) for k in keys], "r long, y int"), 4)
+
+
+def test_rows_too_long_to_pack_are_errors(case, monkeypatch):
+    monkeypatch.setattr(transpose, "MOST_IN_ROW", 2)
+    with pytest.raises(ValueError):
+        transpose.csr_arrays(case[0], case[1])
