@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat_formatting": chat_format.ORACLE,
+    "op4_ngram_jaccard_join": jaccard_join.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from tests.support import DATA
+from tests.support import DATA, same
 
 from emrecon.llm import jaccard_join as J
 from emrecon.llm.components import connected
@@ -205,3 +205,18 @@ def test_keep_one_of_repeated_and_null_ids(docs_of):
     rows = [(5, text), (5, near), (5, text), (None, text + " x"), (None, "alone " * 9), (7, near), (8, "other words here " + near[:20])]
     kept = J.keep_one(docs_of(rows), 5, 80).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 5, 8]
+
+
+def test_query_equals_sql(spark, duck):
+    same(J.op4_ngram_jaccard_join(spark, DATA).toPandas(), duck.sql(J.ORACLE).df())
+
+
+def test_sql_of_odd_rows(spark, odd):
+    """The SQL takes nulls, blanks and short texts as the operator does."""
+    import duckdb
+
+    rows = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    documents = rows.toPandas()
+    c = duckdb.connect()
+    c.register("documents", documents)
+    same(J.jaccard_components(rows, 3, 90).toPandas(), c.sql(J.ORACLE).df())
