@@ -55,7 +55,7 @@ def q_mlem_fused(spark, d):
 
 def q_mlem_by_column(spark, d):
     a, y, c = _all(spark, d)
-    copy = cut(transpose.laid_out(a, 8, "c", "r"), "by_column")
+    copy = transpose.written(a, "c", "r")
     return _rounded(mlem.mlem(a, y, c, ITERATIONS, by_column=copy), "x")
 
 
@@ -64,7 +64,7 @@ def q_mlem_blocked(spark, d):
     n = c.count()
     tiled = a.withColumn("block", partitioning.column_block(F.col("c"), n, 4))
     tiled = cut(tiled.repartitionByRange(8, "r").sortWithinPartitions("block", "r"), "tiled")
-    return _rounded(mlem.mlem(tiled.drop("block"), y, c, ITERATIONS), "x")
+    return _rounded(mlem.mlem(tiled.drop("block"), y, c, ITERATIONS, copy=False), "x")
 
 
 def q_mlem_resumed(spark, d):

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from emrecon.operators import checkpoints, fused, mlem
-from emrecon.operators.transpose import laid_out
+from emrecon.operators.transpose import written
 from emrecon.sources import csr4
 from emrecon.sources.scratch import cut
 
@@ -59,8 +59,8 @@ def main(args: list[str] | None = None) -> None:
         if o.metrics:
             metrics.write.mode("overwrite").option("header", True).csv(o.metrics)
     else:
-        copy = cut(laid_out(a, o.partitions, "c", "r"), "by_column") if o.strategy == "by_column" else None
-        image = mlem.mlem(a, y, columns, o.iterations, by_column=copy)
+        copy = written(a, "c", "r") if o.strategy == "by_column" else None
+        image = mlem.mlem(a, y, columns, o.iterations, by_column=copy, copy=rows is None)  # a file's copy is in order of rows
     if o.output.endswith(".raw"):
         csr4.write_vector(image.select(F.col("c").alias("i"), "x"), o.output)
     else:

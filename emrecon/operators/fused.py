@@ -12,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emrecon.operators.mlem import VECTOR_ROWS, column_sums
-from emrecon.operators.transpose import MOST_IN_ROW
+from emrecon.operators.transpose import MOST_IN_ROW, parts_for
 from emrecon.sources.scratch import cut
 
+
 def packed_rows(a: DataFrame) -> DataFrame:
     """(r, columns, values): one record for each row with an element."""
     return a.groupBy("r").agg(F.collect_list(F.struct("c", F.col("v").cast("double").alias("v"))).alias("e")).select("r", F.col("e.c").alias("columns"), F.col("e.v").alias("values"))
@@ -28,10 +30,9 @@ def _row_of(lists: pa.ListArray) -> np.ndarray:
     return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
 
 
-def fused_update(rows: DataFrame, image: np.ndarray) -> DataFrame:
-    """(c, u) from packed rows with counts (r, y, columns, values)."""
-    shared = rows.sparkSession.sparkContext.broadcast(image)
-    n = len(image)
+def fused_update(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """(c, u) from packed rows with counts (r, y, columns, values) and the image."""
+    n = len(shared.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, upd = shared.value, np.zeros(n)
@@ -56,7 +57,7 @@ def mlem_fused(a: DataFrame, y: DataFrame, columns: DataFrame, iterations: int)
     longest = a.groupBy("r").count().agg(F.max("count")).first()[0] or 0
     if n > VECTOR_ROWS or longest > MOST_IN_ROW or (n and size[1] != n - 1):
         raise ValueError("the image or a row is too large for the fused form, or columns are not numbered from 0: use mlem()")
-    rows = cut(packed_rows(a).join(y.select("r", F.col("y").cast("double").alias("y")), "r"), "rows")
+    rows = cut(packed_rows(a.repartition(parts_for(a), "r")).join(y.select("r", F.col("y").cast("double").alias("y")), "r"), "rows")
 
     def dense(df: DataFrame, name: str) -> np.ndarray:
         out, got = np.zeros(n), df.select("c", name).toPandas()  # VECTOR_ROWS values at most
@@ -66,8 +67,10 @@ def mlem_fused(a: DataFrame, y: DataFrame, columns: DataFrame, iterations: int)
     sums = dense(norm, "n")
     total = float(y.agg(F.sum(F.col("y").cast("double"))).first()[0] or 0.0)
     image = np.full(n, total / sums.sum() if sums.sum() else 0.0)
+    spark = a.sparkSession
     for _ in range(iterations):
-        upd = dense(fused_update(rows, image), "u")
+        shared = spark.sparkContext.broadcast(image)
+        upd = dense(fused_update(rows, shared), "u")
+        shared.destroy()
         image = image * np.divide(upd, sums, out=upd.copy(), where=sums != 0)
-    spark = a.sparkSession
     return spark.createDataFrame(pa.table({"c": pa.array(np.arange(n), pa.int64()), "x": pa.array(image)}))

@@ -5,13 +5,15 @@ up; the counts are (r, y), the image (c, x), with a row for each key of their do
 projection is an equi-join, a product and a grouped sum, which Spark sums up map-side;
 elementwise steps are left joins on a dense domain. Where a vector fits ``VECTOR_ROWS``
 it is broadcast to the matrix, so that the matrix is never shuffled by the join; beyond
-it the join is shuffled. Each iteration ends in a written table."""
+it the join is shuffled. The loop reads a written copy of the matrix, in
+parts of like weight by row, and each iteration ends in a written table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emrecon.operators.transpose import written
 from emrecon.sources.scratch import cut
 
 #: Rows up to which a vector is broadcast to the matrix (16 bytes a row).
@@ -82,17 +84,20 @@ def step(a: DataFrame, y: DataFrame, image: DataFrame, norm: DataFrame, columns:
     return update(image, backward(a, correlation(y, forward(a, image, columns)), rows), norm)
 
 
-def mlem(a: DataFrame, y: DataFrame, columns: DataFrame, iterations: int, image: DataFrame | None = None, by_column: DataFrame | None = None, after=None) -> DataFrame:
+def mlem(a: DataFrame, y: DataFrame, columns: DataFrame, iterations: int, image: DataFrame | None = None, by_column: DataFrame | None = None, after=None, copy: bool = True) -> DataFrame:
     """The image after a fixed number of iterations, from ``image`` or the uniform start.
 
     ``by_column``: a second copy of the matrix, laid out by column, for back projections.
-    ``after`` is called with each iteration's number (from 1) and image."""
+    ``after`` is called with each iteration's number (from 1) and image. Without ``copy``
+    the matrix is read as it is, for one that has been laid out already."""
     if iterations < 0:
         raise ValueError("iterations cannot be negative")
+    a = written(a, "r", "c") if copy and iterations else a
     norm = cut(column_sums(a, columns), "norm")
     n_columns, n_rows = norm.count(), y.count()
-    image = cut(start_image(norm, y) if image is None else image, "image")
-    if image.count() != n_columns:
+    given = image is not None
+    image = cut(image if given else start_image(norm, y), "image")
+    if given and image.count() != n_columns:
         raise ValueError("image and matrix differ in size")
     back = a if by_column is None else by_column
     for i in range(iterations):

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emrecon.operators.partitioning import running
-
+from emrecon.sources.scratch import cut
 
 #: Elements of a row that is packed into one record.
 MOST_IN_ROW = 4_000_000
+#: Elements of a part of a written copy, about, and keys of a block of a row or column.
+IN_PART, IN_BLOCK = 4_000_000, 1_000_000
 
 
 def transpose(a: DataFrame, values: bool = True) -> DataFrame:
@@ -19,9 +21,22 @@ def transpose(a: DataFrame, values: bool = True) -> DataFrame:
 
 
 def laid_out(a: DataFrame, parts: int, *keys: str) -> DataFrame:
-    """``a`` range-partitioned by the first key and sorted by all of them in each part:
-    rows of like keys together, in order, for a second copy laid out by column or block."""
-    return a.repartitionByRange(parts, keys[0]).sortWithinPartitions(*keys)
+    """``a`` dealt by the first key and sorted by all keys in each part: what belongs to
+    one row or column lies together, but a long one is split in blocks of the second key."""
+    salt = [F.floor(F.col(k) / IN_BLOCK) for k in keys[1:2]]
+    return a.repartition(parts, keys[0], *salt).sortWithinPartitions(*keys)
+
+
+def parts_for(a: DataFrame) -> int:
+    """Of how many parts a copy of ``a`` is: no fewer than a shuffle has partitions, even
+    where the source is a file that one task reads."""
+    return max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-a.count() // IN_PART))
+
+
+def written(a: DataFrame, *keys: str) -> DataFrame:
+    """A written copy of ``a``, laid out by the keys, for jobs that read it many times. A
+    sum by the first key is complete but for rows of several blocks before any exchange."""
+    return cut(laid_out(a, parts_for(a), *keys), f"by_{keys[0]}")
 
 
 def csr_arrays(a: DataFrame, rows: DataFrame) -> DataFrame:

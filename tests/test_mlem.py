@@ -109,3 +109,11 @@ def test_rows_too_long_to_pack_are_errors(case, monkeypatch):
     monkeypatch.setattr(transpose, "MOST_IN_ROW", 2)
     with pytest.raises(ValueError):
         transpose.csr_arrays(case[0], case[1])
+
+
+def test_layout_splits_a_long_row(spark):
+    a = spark.range(0, 3_000_000, 1000).selectExpr("0L AS r", "id AS c", "1.0 AS v").union(spark.range(9).selectExpr("1 + id AS r", "id AS c", "2.0 AS v"))
+    at = transpose.laid_out(a, 8, "r", "c").selectExpr("r", "spark_partition_id() AS part").distinct().groupBy("r").count().collect()
+    assert {x["count"] for x in at if x["r"]} == {1}  # short rows lie together
+    assert [x["count"] for x in at if not x["r"]][0] > 1
+    assert transpose.written(a, "r", "c").count() == a.count()
