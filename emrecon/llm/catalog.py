@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emrecon.llm import bpe, chat_format, exact_dedup, fill_in_middle, jaccard_join, packing, quality_fm, quality_rules, sharding, token_files, toxicity
+from emrecon.llm import alignment, bpe, chat_format, exact_dedup, fill_in_middle, jaccard_join, packing, quality_fm, quality_rules, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_fm.op8_quality_classifier,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_alignment": alignment.op11_alignment,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
 }
 
