@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emrecon.llm import alignment, bpe, chat_format, exact_dedup, fill_in_middle, jaccard_join, packing, quality_fm, quality_rules, sharding, token_files, toxicity
+from emrecon.llm import alignment, bpe, chat_format, chosen_path, exact_dedup, fill_in_middle, jaccard_join, packing, quality_fm, quality_rules, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_alignment": alignment.op11_alignment,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_minhash_near_dedup": chosen_path.op13_minhash_near_dedup,
 }
 
 ORACLES = {
