@@ -8,9 +8,10 @@ a place where both sides agree with the whole: between a printable ASCII charact
 space the vocabulary's split pattern always cuts and looks neither back nor ahead, so what
 lies beyond is the same in the part as in the whole text.
 
-A run that is never cut so, of more than ``LEAF`` characters, is a tree by itself: it has
-one pre-token, or few, and at a join the window grows until its first and its last token
-are those that the sides have there. A sequence is a pre-token's encoding if each pair of
+A run that is never cut so, of more than ``LEAF`` characters, is a tree by itself, in a part
+as in a window that has grown over it: it has one pre-token, or few, and at a join of its
+halves the window grows until its first and its last token are those that the sides have
+there. A sequence is a pre-token's encoding if each pair of
 neighbours is one, and all pairs were then seen by the encoder, so the result is exact.
 
 Defined cases: null texts count as empty and have no tokens; a text of any length is
@@ -76,12 +77,12 @@ class TreeEncoder:
         self.joins = 0
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(text) <= self.text_leaf or self.long.search(text):
+        if len(text) <= self.text_leaf:
             return self.part(text)
         parts = [text]
         while len(parts[0]) > self.text_leaf:
             parts = [h for p in parts for h in (p[: len(p) // 2], p[len(p) // 2 :])]
-        if "<" in text:
+        if "<" in text or self.long.search(text):
             return self.joined([self.part(p) for p in parts])
         return self.joined([np.array(ids, np.uint32) for ids in self.ranks.encode_ordinary_batch(parts, num_threads=self.threads)])
 

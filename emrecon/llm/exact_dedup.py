@@ -7,7 +7,8 @@ DataFrame operations only.
 
 An index lies in a folder for each of its generations, named by number and buckets; the
 last complete one counts. ``compact`` writes the next one, with as many buckets as its rows
-need, each sorted in one file again. Appends become visible as a whole, when Spark commits.
+need, each sorted in one file again; one that broke off is left aside, and the next try takes
+a new folder. Appends become visible as a whole, when Spark commits.
 
 Defined cases: null texts count as empty ones; a text of any length is taken whole, and
 equal texts of any number are one group; an empty batch gives no rows and leaves the index
@@ -40,14 +41,15 @@ def digest(text) -> F.Column:
     return F.sha2(F.regexp_replace(text, BLANKS, " ").cast("binary"), 256)
 
 
-def _generations(spark: SparkSession, path: str) -> list[tuple[int, int]]:
-    """(number, buckets) of the complete generations of an index, in order."""
+def _generations(spark: SparkSession, path: str, complete: bool = True) -> list[tuple[int, int]]:
+    """(number, buckets) of the generations of an index, in order: of the complete ones, or
+    of all that were begun."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
     found = [(m, n) for n in names if (m := re.fullmatch(r"generation-(\d+)-(\d+)", n))]
-    return sorted((int(m[1]), int(m[2])) for m, n in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+    return sorted((int(m[1]), int(m[2])) for m, n in found if not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
 def _table(spark: SparkSession, path: str, number: int, buckets: int) -> str:
@@ -79,7 +81,8 @@ def compact(spark: SparkSession, path: str, rows: int = BUCKET_ROWS, least: int
         raise ValueError(f"no index at {path}")
     old = spark.table(_table(spark, path, *found[-1]))
     buckets = buckets_for(old.count(), rows, least)
-    _append(old, _table(spark, path, found[-1][0] + 1, buckets), buckets)
+    number = _generations(spark, path, complete=False)[-1][0] + 1
+    _append(old, _table(spark, path, number, buckets), buckets)
     return buckets
 
 
@@ -100,7 +103,9 @@ def _dedup(spark: SparkSession, docs: DataFrame, path: str, name: str | None, bu
     known = spark.table(index)
     fresh = cut(groups.join(known.where(F.col("batch") != name).hint("merge"), "text_sha256", "left_anti"), "fresh")
     unwritten = cut(fresh.join(known.where(F.col("batch") == name).hint("merge"), "text_sha256", "left_anti"), "unwritten")
-    seen = groups.join(known.where(F.col("batch") != name).hint("merge"), "text_sha256").select("text_sha256", "keep_id", "group_size", F.lit(None).cast("long").alias("stays"))
+    # an index has a text once; a copy that was left by anything else must not give a row twice
+    others = known.where(F.col("batch") != name).groupBy("text_sha256").agg(F.min("keep_id").alias("keep_id"))
+    seen = groups.join(others.hint("merge"), "text_sha256").select("text_sha256", "keep_id", "group_size", F.lit(None).cast("long").alias("stays"))
     facts = cut(seen.unionByName(fresh.select("text_sha256", F.col("first_id").alias("keep_id"), "group_size", F.col("first_rid").alias("stays"))), "facts")
     _append(unwritten.select("text_sha256", F.col("first_id").alias("keep_id"), F.lit(name).alias("batch")), index, buckets)
     out = attach(batch, facts, "text_sha256", "group_size", total)

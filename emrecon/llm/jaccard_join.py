@@ -59,6 +59,8 @@ PIVOTS = 4
 CACHE = 400_000
 #: 64-bit words of a node's bitmap.
 SKETCH = 32
+#: Sets below the lowest nodes of the trees over a leaf's sets.
+WIDTH = 2
 
 
 class Hashes:
@@ -190,7 +192,7 @@ class Tree:
 
     __slots__ = ("items", "bits", "n_min", "n_max", "least", "kids")
 
-    def __init__(self, items: list[int], sizes: list[int], bitmaps: list[int], width: int = 8):
+    def __init__(self, items: list[int], sizes: list[int], bitmaps: list[int], width: int = WIDTH):
         self.items, self.kids = items, ()
         if len(items) > width:
             half = len(items) // 2
@@ -207,7 +209,8 @@ class Tree:
 
 
 class Join:
-    """Links between sets, as far as they connect what was not connected."""
+    """Links between sets, as far as they connect what was not connected. ``visited`` and
+    ``pruned`` count pairs of different nodes that the traversal met and cut off."""
 
     def __init__(self, sets: list[np.ndarray], classes: list, percent: int):
         self.sets, self.percent = sets, percent
@@ -221,6 +224,7 @@ class Join:
         first: dict = {}
         self.up = [first.setdefault(c, i) for i, c in enumerate(classes)]
         self.links: list[tuple[int, int]] = []
+        self.visited = self.pruned = 0
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
@@ -261,8 +265,11 @@ class Join:
         stack = [(x, y)]
         while stack:
             x, y = stack.pop()
-            if x is not y and not self.may(x, y):
-                continue
+            if x is not y:
+                self.visited += 1
+                if not self.may(x, y):
+                    self.pruned += 1
+                    continue
             if x is y and x.kids:
                 a, b = x.kids
                 stack += [(a, b), (a, a), (b, b)]
@@ -310,21 +317,25 @@ def join_visitors(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def gram_table(docs: DataFrame, members: DataFrame, count: int, words: int) -> DataFrame:
-    """``members`` (rid, doc_id, dig, cluster, block, place, leaf, large; ``count`` rows) with n, their n-grams' hashes and a bitmap."""
-    wanted = members.withColumnRenamed("doc_id", "id")
+    """``members`` (rid, doc_id, TAGS, dig, cluster, block, place, leaf, large; ``count`` rows) with n, their n-grams' hashes and a bitmap.
+    Members are found by doc_id and their text's tags; of repeated rows a task takes one."""
+    wanted = members.withColumnsRenamed({"doc_id": "id"} | {t: f"own_{t}" for t in TAGS})
     if count <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    rows = documents(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
+    same = [t == F.col(f"own_{name}") for t, name in zip(tags(F.col("text")), TAGS, strict=True)]
+    rows = documents(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & same[0] & same[1])
     kept = ["rid", "dig", "cluster", "block", "place", "leaf", "large"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _hashes()
+        hashes, seen = _hashes(), set()
         for batch in batches:
             grams, n, bits, mine = [], [], [], []
-            for text, dig in zip(batch.column("text"), batch.column("dig").to_pylist(), strict=True):
-                h = hashes(text.as_py(), words)
+            for rid, text, dig in zip(batch.column("rid").to_pylist(), batch.column("text"), batch.column("dig").to_pylist(), strict=True):
+                h = hashes(text.as_py() if rid not in seen else "", words)
                 raw = h.tobytes()
-                mine.append(hashlib.blake2b(raw, digest_size=16).digest() == dig)  # rows may share a doc_id
+                mine.append(rid not in seen and hashlib.blake2b(raw, digest_size=16).digest() == dig)
+                if mine[-1]:
+                    seen.add(rid)
                 flags = np.zeros(64 * SKETCH, bool)
                 flags[(h % np.uint64(64 * SKETCH)).astype(np.int64)] = True
                 bits.append(np.packbits(flags).view(np.int64).tolist())
@@ -349,15 +360,15 @@ def dealt_to_leaves(rows: DataFrame, percent: int) -> DataFrame:
 
 def cluster_components(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
     """rid, comp of all nodes in ``clusters`` (node, comp), by links within clusters.
-    ``nodes``: rid, doc_id, dig, n, low."""
+    ``nodes``: rid, doc_id, TAGS, dig, n, low."""
     sizes = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    rows = cut(nodes.join(clusters.join(sizes, "comp"), F.col("rid") == F.col("node")).select("rid", "doc_id", "dig", "n", "low", F.col("comp").alias("cluster"), "members"), "members")
+    rows = cut(nodes.join(clusters.join(sizes, "comp"), F.col("rid") == F.col("node")).select("rid", "doc_id", *TAGS, "dig", "n", "low", F.col("comp").alias("cluster"), "members"), "members")
     total = rows.count()
     large = dealt_to_leaves(rows.where(F.col("members") > LEAF), percent)
     small = rows.where(F.col("members") <= LEAF).withColumn("place", F.lit(0).cast("long"))
     placed = small.unionByName(large.select(small.columns)).withColumn("leaf", F.floor(F.col("place") / LEAF).cast("long"))
     block = F.when(F.col("members") > LEAF, F.xxhash64("cluster", "leaf")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets_for(total, BLOCK))))
-    members = placed.select("rid", "doc_id", "dig", "cluster", block.alias("block"), "place", "leaf", (F.col("members") > LEAF).alias("large"))
+    members = placed.select("rid", "doc_id", *TAGS, "dig", "cluster", block.alias("block"), "place", "leaf", (F.col("members") > LEAF).alias("large"))
     grams = cut(gram_table(docs, members, total, words), "grams")
 
     # each leaf with itself and with pivots of its cluster, which are drawn by a hash
@@ -495,11 +506,11 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sets = cut(sketch_sets(docs, words, percent), "sets")
     total = sets.count()
     full = sets.where("n > 0")
-    groups = full.groupBy("dig").agg(F.min("rid").alias("node"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min(F.col("first")[0]).alias("low"))
+    groups = full.groupBy("dig").agg(F.min("rid").alias("node"), *(F.min_by(c, "rid").alias(c) for c in ("doc_id", *TAGS)), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min(F.col("first")[0]).alias("low"))
     groups = cut(groups, "groups")
     if percent < 100:
         clusters = connected(candidate_edges(prefix_keys(with_partners(full, groups, percent), percent)))
-        found = cluster_components(docs, groups.select(F.col("node").alias("rid"), "doc_id", "dig", "n", "low"), clusters, words, percent).withColumnRenamed("rid", "node")
+        found = cluster_components(docs, groups.select(F.col("node").alias("rid"), "doc_id", *TAGS, "dig", "n", "low"), clusters, words, percent).withColumnRenamed("rid", "node")
         joined = groups.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     else:  # equal sets alone are linked
         joined = groups.withColumn("comp", F.col("node"))

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count as count_up
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,8 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Pieces that a partition packs at first, on average; in later rounds up to 64 times as many.
 PARTITION = 4000
-#: Rounds of exchange at most; a round that saves nothing is the last one anyway.
-ROUNDS = 8
+#: Bits of a bin's number in its partition and of the partition's number, in a sequence's id.
+BIN_BITS, PART_BITS = 20, 30
 #: Share of bins above the bound of all pieces from which all bins that are not full go on.
 SLACK = 0.001
 
@@ -117,7 +118,7 @@ def _pack(capacity: int, step: int):
         lengths = pdf["length"].to_numpy()
         old = pdf["bin"].to_numpy()
         bins = np.array(best_fit(lengths.tolist(), capacity))
-        names = (step << 56) + (int(key[0]) << 24) + bins
+        names = (step << BIN_BITS + PART_BITS) + (int(key[0]) << BIN_BITS) + bins
         if step and len(np.unique(bins)) >= len(np.unique(old)):
             bins, names = np.unique(old, return_inverse=True)[1], old
         n = int(bins.max()) + 1
@@ -145,7 +146,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION
     hist[[r["length"] for r in lengths]] = [r["n"] for r in lengths]
     bound, closed = bound_of(hist, capacity), int(hist[capacity])
     done, open_bins, count = [whole], None, int(hist[:capacity].sum())
-    for step in range(ROUNDS):
+    for step in count_up():  # each round but the last has fewer bins than the one before
         parts = buckets_for(count, partition * 4 ** min(step, 3))
         dealt = open_rows.withColumn("part", F.pmod(F.xxhash64("bin", F.lit(step)), F.lit(parts)))
         packed = cut(dealt.groupBy("part").applyInPandas(_pack(capacity, step), f"{ITEM}, bin long, offset long, goes boolean, loose boolean"), "packed")
@@ -155,7 +156,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION
         goes = F.col("loose") if closed + bins > bound * (1 + SLACK) + 1 else F.col("goes")
         going = packed.where(goes)
         open_bins = going.select(F.count_distinct("bin")).first()[0]
-        if parts == 1 or not saved or open_bins <= 1 or step == ROUNDS - 1:
+        if parts == 1 or not saved or open_bins <= 1:
             done.append(packed.drop("goes", "loose"))
             break
         closed += bins - open_bins

@@ -220,3 +220,40 @@ def test_sql_of_odd_rows(spark, odd):
     c = duckdb.connect()
     c.register("documents", documents)
     same(J.jaccard_components(rows, 3, 90).toPandas(), c.sql(J.ORACLE).df())
+
+
+def test_rows_without_ids_are_linear(docs_of, monkeypatch):
+    """Of near copies without ids, each text meets its own members only."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join([*base[: k % 60], f"z{k}", *base[k % 60 + 1 :]])) for k in range(150)] + [(None, "the same text " * 9)] * 80
+    docs, met = docs_of(rows), []
+    table = J.gram_table
+
+    def counted(docs, members, count, words):
+        out = table(docs, members, count, words)
+        met.append((members.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(J, "gram_table", counted)
+    got = J.jaccard_components(docs, 3, 80).collect()
+    assert len(got) == 230
+    assert all(out == members for members, out in met) and met
+
+
+def test_trees_prune_on_documents(spark):
+    """Unpatched, on given documents: pairs of tree nodes that the dual traversal met and cut off."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    hashes = J.Hashes()
+    classes = brute([(r.doc_id, r.text) for r in docs], 3, 60)  # as clusters: wider than the limit
+    groups = {}
+    for r in docs:
+        groups.setdefault(classes[r.doc_id][1], []).append(hashes(r.text or "", 3))
+    visited = pruned = 0
+    for sets in groups.values():
+        distinct = [*{s.tobytes(): s for s in sets if len(s)}.values()]
+        if len(distinct) > 2:
+            j = J.Join(distinct, [*range(len(distinct))], 90)
+            root = j.tree([*range(len(distinct))])
+            j.traverse(root, root)
+            visited, pruned = visited + j.visited, pruned + j.pruned
+    assert 0 < pruned < visited

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
 from tests.support import DATA, same
 
 from emrecon.llm import exact_dedup, sharding
@@ -70,6 +71,28 @@ def test_a_batch_runs_again_after_a_crash(spark, docs_of, tmp_path, monkeypatch)
     assert exact_dedup.keep_first(spark, rows, path, "tomorrow").count() == 0
 
 
+def test_compact_that_broke_off(spark, docs_of, tmp_path):
+    path = f"file://{tmp_path}/k"
+    rows = docs_of([(1, "a"), (2, "b"), (3, "c")])
+    exact_dedup.dedup_batch(spark, rows, path, "one", 4).collect()
+    exact_dedup.compact(spark, path, rows=1, least=1)
+    (tmp_path / "k" / "generation-1-3" / "_SUCCESS").unlink()  # as if it had ended before
+    assert exact_dedup._generations(spark, path) == [(0, 4)]
+    assert exact_dedup.compact(spark, path, rows=1, least=1) == 3
+    assert exact_dedup._generations(spark, path)[-1] == (2, 3)
+    got = {r.doc_id: r.kept for r in exact_dedup.dedup_batch(spark, docs_of([(3, "c"), (4, "d")]), path, "two", 4).collect()}
+    assert got == {3: False, 4: True}
+
+
+def test_an_index_with_a_text_twice_gives_each_row_once(spark, docs_of, tmp_path):
+    path = f"file://{tmp_path}/k"
+    exact_dedup.dedup_batch(spark, docs_of([(1, "a"), (2, "b")]), path, "one", 4).collect()
+    index, buckets = exact_dedup.open_index(spark, path, 4)
+    exact_dedup._append(spark.createDataFrame(spark.table(index).collect(), "text_sha256 string, keep_id long, batch string"), index, buckets)
+    rows = exact_dedup.dedup_batch(spark, docs_of([(3, "a")]), path, "two", 4).collect()
+    assert [(r.doc_id, r.keep_id, r.kept) for r in rows] == [(3, 1, False)]
+
+
 def test_keep_first_of_repeated_and_null_ids(spark, docs_of, tmp_path):
     rows = docs_of([(1, "a b"), (1, "a b"), (1, "a  b"), (None, "n"), (None, "n"), (2, None), (3, "")])
     kept = exact_dedup.keep_first(spark, rows, f"file://{tmp_path}/k")
@@ -99,9 +122,7 @@ def test_shards_are_even_and_keep_copies_together(spark):
     for r in rows:
         places.setdefault(texts[r.doc_id], []).append(r.shard)
         assert r.size == len(texts[r.doc_id].encode()) + 16 and r.law == "rows" and r.grown_shard is None
-    quota = len(rows) // 40
-    linked = [p for p in places.values() if 1 < len(p) <= quota]
-    assert sum(len(set(p)) > 1 for p in linked) <= len(linked) // 10
+    assert all(len(set(p)) == 1 for p in places.values() if len(p) <= len(rows) // 40)
 
 
 def test_a_third_in_one_group(spark, docs_of):
@@ -110,6 +131,37 @@ def test_a_third_in_one_group(spark, docs_of):
     assert len({r.shard for r in rows if r.doc_id % 3 == 0}) <= 6  # 300 rows, 90 to a shard: 4 could hold them, if no other text had copies there
 
 
+def brute_cuts(rows, text_of, quota):
+    """Texts of several rows, those in more shards than need be, links, links across shards."""
+    places = {}
+    for r in rows:
+        places.setdefault(text_of[r.doc_id], []).append(r.shard)
+    own = [p for p in places.values() if len(p) > 1]
+    pairs = [(a, b) for p in own for i, a in enumerate(p) for b in p[:i]]
+    return len(own), sum(len(set(p)) > -(-len(p) // quota) for p in own), len(pairs), sum(a != b for a, b in pairs)
+
+
+@pytest.mark.parametrize(("texts", "each", "shards"), [(2000, 3, 40), (290, 4, 7), (150, 7, 12)])
+def test_copies_that_fill_the_table(docs_of, texts, each, shards):
+    """No row is unlinked: none of the triples need be cut, of others fewer than shards."""
+    text_of = {i: f"t{i % texts}" for i in range(texts * each)}
+    report = []
+    rows = sharding.shard_by_labels(docs_of([*text_of.items()]), shards, report).collect()
+    check_shards(rows, shards)
+    quota = len(rows) // shards
+    before, after = report
+    assert tuple(after) == brute_cuts(rows, text_of, quota)
+    assert after.cut == 0 if quota % each == 0 and len(rows) % shards == 0 else after.cut < shards
+    assert before.cut > 0.8 * texts and after.cut_links < before.cut_links / 10
+
+
+def test_what_no_shard_holds_whole_is_cut(spark):
+    loose = spark.createDataFrame([(f"g{i}", 5) for i in range(6)], "g string, total long")
+    got = sharding._laid_out(loose, [6, 6, 6, 6, 6], 4).collect()
+    assert sum(r.n for r in got) == 30 and all(sum(r.n for r in got if r.shard == s) <= 6 for s in range(5))
+    assert sum(len([r for r in got if r.g == f"g{i}"]) > 1 for i in range(6)) == 1
+
+
 def test_shards_of_odd_rows(odd, none):
     rows = sharding.shard_by_labels(odd, 5).collect()
     assert len(rows) == odd.count()

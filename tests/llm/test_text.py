@@ -92,6 +92,28 @@ def test_halved_texts_equal_the_library(text, special, leaf):
     assert encode.joins or len(text) <= leaf
 
 
+def test_texts_with_long_runs_are_halved():
+    words = " ".join(f"word{i}" for i in range(3000))
+    for run in ("x" * 1500, "é" * 3000, " " * 1500, "ab12" * 2000):
+        text = words + " " + run + " " + words
+        encode = bpe.TreeEncoder(BYTE, RANKS)
+        assert encode(text).tolist() == vocab.load(BYTE).encode(text, add_special_tokens=False).ids
+        assert encode.joins >= len(text) // bpe.TEXT_LEAF // 2
+
+
+def test_exchange_goes_on_while_it_saves(spark):
+    rows = [(i, i, 0, 0, n, 0) for i, n in enumerate(random.Random(8).choices(range(200, 1200), k=1500))]
+    pieces = spark.createDataFrame(rows, packing.ITEM)
+    got = packing.pack(pieces, partition=20).collect()
+    bins = len({r.sequence_id for r in got})
+    fill = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048 and len(got) == 1500
+    assert bins <= 1.01 * packing.lower_bound(np.array([r[4] for r in rows]), 2048) + 1
+
+
 def test_bpe_of_all_documents(spark):
     """Equal to the library; the tree joins parts of most documents, and of rows in several tasks."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
