@@ -12,9 +12,10 @@ their copies: tasks sum up what they hold before the shuffle. Pairs with at leas
 the texts' links; what is left of each text, its rare pairs, meets its counts in a
 sort-merge join. Measures are joined back to doc_ids by the texts' digests.
 
-The piece vocabulary has no piece in which a space follows anything but a space, so no
-merge crosses such a place; words, with the spaces before them, are encoded one by one, and
-a worker keeps those it saw last.
+Neither tokenizer looks across a space that follows a visible character: the one always
+cuts there, and the other has no piece in which a space follows anything but a space. So
+words, with the spaces before them, are encoded once by either, and a worker keeps those
+that it saw last.
 
 Defined cases: a text that is null or empty, or that a tokenizer does not give back byte by
 byte (U+2581, say, which stands for a space), has no tokens, and all its measures are 0;
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -42,40 +44,69 @@ from emrecon.llm.common import attach, cut, documents, held
 #: Pairs that are broadcast at most (24 bytes each).
 HOT = 1 << 18
 #: Words whose ids a worker keeps at most; then it starts anew.
-CACHE = 400_000
+CACHE = 300_000
 #: Pairs that a task sums up at once.
 AT_ONCE = 1 << 21
 #: What stands for a space in pieces, and bits of a piece's id in a pair's key.
 SPACE, BITS = "▁", 15
 
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
-WORD = re.compile(" +[^ ]*")
+#: Spaces and what follows, up to the next space after anything but white space.
+WORD = re.compile(r" +(?:[^ ]*[^\S ] +)*[^ ]*")
 
 
-class Pieces:
-    """Ids of a piece vocabulary for whole texts, and the bytes of each id."""
+class Aligner:
+    """Both tokenizers, the ids that they give words, and the alignment of their tokens."""
 
-    def __init__(self, path: str):
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [self.library.id_to_piece(i) for i in range(len(self.library))]
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in names) or len(names) > 1 << BITS:
-            raise ValueError(f"{path} has pieces that go on after a word, or too many")
-        self.bytes = [bytes.fromhex(m[1]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in names]
-        self.lengths = np.array([len(b) for b in self.bytes])
-        self.space = np.array([self.library.piece_to_id(SPACE)], "<u2").tobytes()
-        self.known: dict[str, bytes | None] = {}
+    def __init__(self, a_path: str, a_ranks: str, b_path: str):
+        self.first, self.library = TreeEncoder(a_path, a_ranks), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        pieces = [self.library.id_to_piece(i) for i in range(len(self.library))]
+        self.a = byte_table(a_path)
+        self.b = [bytes.fromhex(m[1]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
+        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces) or len(self.b) > 1 << BITS or len(self.a) > 1 << 16:
+            raise ValueError(f"{b_path} has pieces that go on after a word, or a vocabulary is too large")
+        self.in_a, self.in_b = (np.array([len(t) for t in table]) for table in (self.a, self.b))
+        self.space = self.library.piece_to_id(SPACE)
+        # an id as it stands before a comma, at the end of a group's first ids, and of its second
+        self.ids = max(len(self.a), len(self.b))
+        self.names = [f"{i}{end}" for end in ",|;" for i in range(self.ids)]
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
 
     def learn(self, words: set[str]) -> None:
+        """Ids of both for each word; None where the bytes of either are not the word's."""
+        most = self.first.leaf
+        # of words in a row, the first tokenizer cuts each as by itself, unless it ends with white space
+        plain = [w for w in words if len(w) < most and not w[-1].isspace()]
+        odd = [*words.difference(plain)]
+        rows = self.first.plain("".join(plain))
+        ends = np.cumsum([0, *(len(w) if w.isascii() else len(w.encode()) for w in plain)])
+        a = self._parts(rows, np.searchsorted(np.cumsum(np.r_[0, self.in_a[rows]]), ends))
+        for w in odd:
+            ids = np.concatenate([*self.first.unsplit(w)]) if self.first.long.search(w) else self.first.plain(w)
+            a.append(ids.astype("<u2").tobytes())
+        words = plain + odd
         # the library puts a space before what it encodes
-        own = [*words.difference({" "})]
-        for w, ids in zip(own, self.library.encode([w[1:] for w in own], num_threads=1), strict=True):
-            same = b"".join([self.bytes[i] for i in ids]) == w.encode()
-            self.known[w] = np.array(ids, "<u2").tobytes() if same else None
-        self.known[" "] = self.space
-
-    def __call__(self, text: str) -> np.ndarray | None:
-        """Ids of the text after a space; None where their bytes are not the text's."""
-        if SPACE in text:
+        lists = [ids or [self.space] for ids in self.library.encode([w[1:] for w in words], num_threads=1)]
+        b = self._parts(np.fromiter(chain.from_iterable(lists), np.int64), np.cumsum([0, *map(len, lists)]))
+        self.known.update(zip(words, zip(a, b, strict=True), strict=True))
+        whole = "".join(words).encode()
+        if any(self._bytes(np.frombuffer(b"".join(raw), "<u2"), table) != whole for raw, table in ((a, self.a), (b, self.b))):
+            for w, x, y in zip(words, a, b, strict=True):
+                if any(self._bytes(np.frombuffer(raw, "<u2"), table) != w.encode() for raw, table in ((x, self.a), (y, self.b))):
+                    self.known[w] = None
+
+    @staticmethod
+    def _parts(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw, at = ids.astype("<u2").tobytes(), (2 * ends).tolist()
+        return [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    @staticmethod
+    def _bytes(ids: np.ndarray, table: list[bytes]) -> bytes:
+        return b"".join([table[i] for i in ids.tolist()])
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both tokenizers; None where there are none."""
+        if not text or SPACE in text:
             return None
         words = WORD.findall(f" {text}")
         if new := set(words).difference(self.known):
@@ -84,42 +115,33 @@ class Pieces:
                 new = set(words)
             self.learn(new)
         found = [*map(self.known.__getitem__, words)]
-        return None if None in found else np.frombuffer(b"".join(found), "<u2").astype(np.int64)
-
-
-class Aligner:
-    """Both tokenizers, and the alignment of their tokens."""
-
-    def __init__(self, a_path: str, a_ranks: str, b_path: str):
-        self.a, self.b = TreeEncoder(a_path, a_ranks), Pieces(b_path)
-        self.table = byte_table(a_path)
-        self.lengths = np.array([len(b) for b in self.table])
-        self.names = [*map(str, range(max(len(self.table), len(self.b.bytes))))]
-
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        if not text or (b := self.b(text)) is None:
+        if None in found:
             return None
-        text = f" {text}"
-        ids = np.concatenate([*self.a.unsplit(text)]) if self.a.long.search(text) else self.a.plain(text)
-        whole = b"".join([self.table[i] for i in ids.tolist()]) == text.encode()
-        return (ids.astype(np.int64), b) if whole else None
+        a, b = zip(*found, strict=True)
+        return tuple(np.frombuffer(b"".join(ids), "<u2").astype(np.int64) for ids in (a, b))
 
     def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in a and in b of the tokens of each link, in order, and whether a group
         ends with it."""
-        end_a, end_b = np.cumsum(self.lengths[a]), np.cumsum(self.b.lengths[b])
-        ends = np.union1d(end_a, end_b)
+        end_a, end_b = np.cumsum(self.in_a[a]), np.cumsum(self.in_b[b])
+        ends = np.concatenate([end_a, end_b])
+        ends.sort(kind="stable")  # two runs
+        ends = ends[np.r_[True, ends[1:] != ends[:-1]]]
         i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         return i, j, (end_a[i] == ends) & (end_b[j] == ends)
 
     def groups(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> str:
         """``a1,a2|b1;a3|b2,b3`` for groups that end with the tokens at i and j."""
-        a, b = [self.names[t] for t in a.tolist()], [self.names[t] for t in b.tolist()]
-        out, at_a, at_b = [], 0, 0
-        for to_a, to_b in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
-            out.append(f"{','.join(a[at_a:to_a])}|{','.join(b[at_b:to_b])}")
-            at_a, at_b = to_a, to_b
-        return ";".join(out)
+        in_a, in_b = np.diff(i, prepend=-1), np.diff(j, prepend=-1)
+        # a token follows those of its own kind, and the other kind's of the groups before
+        before_a, before_b = np.repeat(j + 1 - in_b, in_a), np.repeat(i + 1, in_b)
+        a, b = a.copy(), b.copy()
+        a[i] += self.ids
+        b[j] += 2 * self.ids
+        row = np.empty(len(a) + len(b), np.int64)
+        row[np.arange(len(a)) + before_a] = a
+        row[np.arange(len(b)) + before_b] = b
+        return "".join([self.names[t] for t in row.tolist()])[:-1]
 
 
 def aligner(a_path: str, a_ranks: str, b_path: str) -> Aligner:
