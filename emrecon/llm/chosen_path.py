@@ -9,7 +9,8 @@ others part soon. Independent trees are repeated until a pair at the limit, in n
 ``DEEP``, is met with the recall asked for; pairs above it, or in nodes that are small
 sooner, are met more surely.
 
-The trees grow a level at a time, as tables (node, document). A node whose documents are all
+The trees start with nodes of depth ``START``, which need no look at other documents, and
+grow a level at a time, as tables (node, document). A node whose documents are all
 connected is dropped. Where all but ``LIMIT`` documents are of one component, they are
 compared with all of the node, exhaustively, and the node ends. A larger node is dealt to
 blocks, each compared in itself and with a few pivots of the node, which connects what is
@@ -45,13 +46,13 @@ from emrecon.llm.components import connected
 from emrecon.llm.jaccard_join import Join, _hashes
 
 #: Minwise tokens of a set; functions that a root picks.
-TOKENS, ROOT = 128, 2
+TOKENS, ROOT = 96, 2
 #: Documents outside a node's main component up to which it ends, and documents of a block.
 LIMIT, BLOCK = 64, 256
 #: Documents of a large node that all its blocks are compared with.
 PIVOTS = 4
-#: Depth for which the number of trees is counted, and the last level.
-DEEP, DEPTH = 6, 10
+#: Depth of the first nodes, depth for which the number of trees is counted, and the last one.
+START, DEEP, DEPTH = 2, 6, 10
 #: Trees that go first.
 FIRST = 1
 #: Standard deviations by which a sketch may fall short of the limit.
@@ -125,20 +126,28 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
 # ---- trees -----------------------------------------------------------------------
 
 
-def roots(reps: DataFrame, trees: range) -> DataFrame:
-    """(node, rid) of the first level."""
+def children(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, rid, mins) of the next level, from rows of the same columns."""
+    whole, more = branches(percent)
+    first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
+    step = 2 * F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS // 2)) + 1  # another function for the second
+    number = whole + (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 20)) < F.lit(int(more * (1 << 20)))).cast("int")
+    child = F.transform(F.sequence(F.lit(0), number - 1), lambda k: F.xxhash64("node", F.pmod(first + k * step, F.lit(TOKENS)), F.get("mins", F.pmod(first + k * step, F.lit(TOKENS)).cast("int"))))
+    return rows.select(F.explode(child).alias("node"), "rid", "mins")
+
+
+def roots(reps: DataFrame, trees: range, percent: int, depth: int = START) -> DataFrame:
+    """(node, rid) of the first nodes, at this depth."""
     child = [F.xxhash64(F.lit(t), F.lit(i), F.col("mins")[i]) for t in trees for i in _ORDER[ROOT * t : ROOT * t + ROOT]]
-    return reps.select(F.explode(F.array(*child)).alias("node"), "rid")
+    rows = reps.select(F.explode(F.array(*child)).alias("node"), "rid", "mins")
+    for _ in range(depth - 1):
+        rows = children(rows, percent)
+    return rows.select("node", "rid")
 
 
 def grown(live: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(node, rid) of the next level, from the nodes in ``live``."""
-    whole, more = branches(percent)
-    first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
-    step = 2 * F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS // 2)) + 1  # odd: no function is picked twice
-    number = whole + (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 20)) < F.lit(int(more * (1 << 20)))).cast("int")
-    picks = live.select("node", "rid", F.explode(F.transform(F.sequence(F.lit(0), number - 1), lambda k: F.pmod(first + k * step, F.lit(TOKENS)).cast("int"))).alias("i"))
-    return picks.join(reps.select("rid", "mins"), "rid").select(F.xxhash64("node", "i", F.col("mins")[F.col("i")]).alias("node"), "rid")
+    return children(live.join(reps.select("rid", "mins"), "rid"), percent).select("node", "rid")
 
 
 def mixed(live: DataFrame, comps: DataFrame) -> DataFrame:
@@ -283,7 +292,8 @@ def confirmed(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for j in range(i):
                 if join.find(i) != join.find(j):
                     join.compare(j, i)
-        return [(comps[i], comps[j]) for i, j in join.links]
+        # as stars, which are components at once
+        return [*{(comps[join.find(i)], c) for i, c in enumerate(comps) if comps[join.find(i)] != c}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
@@ -304,10 +314,10 @@ def path_components(docs: DataFrame, reps: DataFrame, words: int, percent: int,
     comps = reps.select("rid", F.col("rid").alias("comp"))
     trees = trees_for(recall, percent)
     # the smallest partner of another size has one n-gram more
-    able = cut(reps.where(100 * F.col("n") >= percent * (F.col("n") + 1)), "able")
+    able = reps.where(100 * F.col("n") >= percent * (F.col("n") + 1))
     for wave in (range(min(FIRST, trees)), range(FIRST, trees)):
-        live = roots(able, wave) if len(wave) else None
-        for depth in range(1, DEPTH + 1):
+        live = roots(able, wave, percent) if len(wave) else None
+        for depth in range(START, DEPTH + 1):
             if live is None:
                 break
             rows = mixed(live, comps)

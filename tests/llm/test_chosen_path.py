@@ -68,8 +68,9 @@ def test_trees_meet_pairs_at_the_limit(spark):
         b = [v if rng.random() < 0.8 else rng.getrandbits(32) for v in a]
         rows += [(2 * pair, [v - 2**31 for v in a]), (2 * pair + 1, [v - 2**31 for v in b])]
     reps = spark.createDataFrame(rows, "rid long, mins array<int>").cache()
-    live = C.roots(reps, range(1)).cache()
-    for depth in range(1, 5):
+    assert C.roots(reps, range(3), 80, 1).count() == 600 * 3 * C.ROOT
+    live = C.roots(reps, range(1), 80).cache()
+    for depth in range(C.START, C.START + 3):
         met = live.groupBy("node").agg(F.collect_set("rid").alias("r")).where(F.size("r") == 2).select(F.floor(F.col("r")[0] / 2).alias("pair")).distinct().count()
         assert abs(met / 300 - (1 - C.missed(80, depth))) < 0.12
         live = C.grown(live, reps, 80).cache()
