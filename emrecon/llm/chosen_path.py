@@ -17,8 +17,9 @@ blocks, each compared in itself and with a few pivots of the node, which connect
 dense, and then branched on. Blocks are of bounded size, whatever a node has; a node of the
 last level ends in pairs of blocks, all of its documents outside the main component against
 all. Comparisons are of sketches, a byte of each token; what passes is confirmed on the full
-sets, which are made again from the texts of the few documents in question. The first tree
-goes alone, so that the others meet most groups of copies as one component.
+sets, which are made again from the texts of the few documents in question. The first nodes
+of one tree go alone, so that the trees, which are grown then, meet most groups of copies as
+one component.
 
 Documents with equal sets are one. Sets so small that only equal ones are linked grow no tree.
 
@@ -53,8 +54,6 @@ LIMIT, BLOCK = 64, 256
 PIVOTS = 4
 #: Depth of the first nodes, depth for which the number of trees is counted, and the last one.
 START, DEEP, DEPTH = 2, 6, 10
-#: Trees that go first.
-FIRST = 1
 #: Standard deviations by which a sketch may fall short of the limit.
 SURE = 5
 #: n-grams whose hash values are taken at once.
@@ -150,10 +149,11 @@ def grown(live: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return children(live.join(reps.select("rid", "mins"), "rid"), percent).select("node", "rid")
 
 
-def mixed(live: DataFrame, comps: DataFrame) -> DataFrame:
+def mixed(live: DataFrame, comps: DataFrame | None) -> DataFrame:
     """node, rid, comp, main, size, strays of the nodes with more than one component: the
-    one with most documents, all documents, and those outside it."""
-    rows = cut(live.join(comps, "rid").select("node", "rid", "comp"), "level")
+    one with most documents, all documents, and those outside it. Without ``comps`` each
+    document is one."""
+    rows = cut(live.join(comps, "rid").select("node", "rid", "comp"), "level") if comps is not None else live.withColumn("comp", F.col("rid"))
     parts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("own"))
     nodes = parts.groupBy("node").agg(F.count(F.lit(1)).alias("parts"), F.sum("own").alias("size"), F.max("own").alias("most"), F.max_by("comp", "own").alias("main"))
     nodes = nodes.where("parts > 1").select("node", "main", "size", (F.col("size") - F.col("most")).alias("strays"))
@@ -315,12 +315,11 @@ def path_components(docs: DataFrame, reps: DataFrame, words: int, percent: int,
     trees = trees_for(recall, percent)
     # the smallest partner of another size has one n-gram more
     able = reps.where(100 * F.col("n") >= percent * (F.col("n") + 1))
-    for wave in (range(min(FIRST, trees)), range(FIRST, trees)):
-        live = roots(able, wave, percent) if len(wave) else None
-        for depth in range(START, DEPTH + 1):
-            if live is None:
-                break
-            rows = mixed(live, comps)
+    first = True
+    for wave in (range(1), range(trees)):
+        live, depth = roots(able, wave, percent), START
+        while live is not None:
+            rows = mixed(live, None if first else comps)
             ends = F.col("strays") <= LIMIT if depth < DEPTH else F.lit(True)
             large = rows.where(~ends)
             groups = cut(compared(ended(rows.where(ends)).unionByName(dealt(large)), able, percent), "alike")
@@ -329,7 +328,8 @@ def path_components(docs: DataFrame, reps: DataFrame, words: int, percent: int,
                 links = cut(confirmed(groups, sets, percent), "confirmed")
                 moved = connected(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
                 comps = cut(comps.join(moved, "comp", "left").select("rid", F.coalesce("to", "comp").alias("comp")), "comps")
-            live = None if depth == DEPTH or large.isEmpty() else grown(large.select("node", "rid"), able, percent)
+            done = first or depth == DEPTH or large.isEmpty()
+            live, depth, first = None if done else grown(large.select("node", "rid"), able, percent), depth + 1, False
     return comps
 
 
