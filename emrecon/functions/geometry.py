@@ -19,7 +19,7 @@ def vec(x, y, z, kind: str = "double") -> Column:
 def voxel_of(number, nx, ny) -> Column:
     """Position in the grid of a voxel number; x runs fastest."""
     n, nx, ny = _c(number).cast("long"), _c(nx).cast("long"), _c(ny).cast("long")
-    return F.struct((n % nx).alias("x"), F.floor((n % (nx * ny)) / nx).cast("long").alias("y"), F.floor(n / (nx * ny)).cast("long").alias("z"))
+    return F.struct((n % nx).alias("x"), F.call_function("div", n % (nx * ny), nx).alias("y"), F.call_function("div", n, nx * ny).alias("z"))
 
 
 def voxel_number(x, y, z, nx, ny) -> Column:

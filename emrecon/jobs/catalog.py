@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emrecon.functions import geometry as G
-from emrecon.operators import checkpoints, fused, mlem, partitioning, transpose
+from emrecon.operators import checkpoints, copartitioned, fused, mlem, partitioning, tiles, transpose
 from emrecon.sources import csr4
 from emrecon.sources.scratch import cut, new_path
 
 #: Iterations of the reconstruction queries, parts of the partition queries.
 ITERATIONS, PARTS = 3, 7
+#: Rows and columns of a tile, small enough that the given tables have several.
+EDGE = 1 << 13
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +69,16 @@ def q_mlem_blocked(spark, d):
     return _rounded(mlem.mlem(tiled.drop("block"), y, c, ITERATIONS, copy=False), "x")
 
 
+def q_mlem_copartitioned(spark, d):
+    """Bucketed copies by row and column; no vector is broadcast."""
+    return _rounded(copartitioned.mlem_copartitioned(*_all(spark, d), ITERATIONS), "x")
+
+
+def q_mlem_tiled(spark, d):
+    """Tiles of EDGE rows and columns, met by segments of the vectors."""
+    return _rounded(tiles.mlem_tiled(*_all(spark, d), ITERATIONS, edge=EDGE, in_record=1 << 14), "x")
+
+
 def q_mlem_resumed(spark, d):
     """Two iterations, then a restart from the saved state for the rest."""
     a, y, c = _all(spark, d)
@@ -162,7 +174,9 @@ def q_row_lengths(spark, d):
 
 
 def q_row_range(spark, d):
-    return matrix(spark, d).where((F.col("r") >= 100) & (F.col("r") < 400))
+    """The first fifth of the rows."""
+    to = counts(spark, d).count() // 5
+    return matrix(spark, d).where(F.col("r") < to)
 
 
 def q_prefix_sums(spark, d):
@@ -231,7 +245,7 @@ def q_csr4_roundtrip(spark, d):
 
 
 def _file(spark, d) -> str:
-    path = new_path(spark, "matrix").removeprefix("file://") + ".csr4"
+    path = new_path(spark, "matrix") + ".csr4"
     a, y, c = _all(spark, d)
     csr4.register(spark)
     csr4.write_csr4(a, path, y.count(), c.count(), SCANNER)
@@ -245,6 +259,29 @@ def q_csr4_row_range(spark, d):
     return got.where((F.col("r") >= rows // 3) & (F.col("r") < 2 * rows // 3)).select("r", "c", F.col("v").cast("double").alias("v"))
 
 
+def q_forward_sliced(spark, d):
+    """The forward projection of a matrix file that is read by equal slices of elements: rows
+    that slices cut are summed up in a second phase."""
+    a, y, norm, x = _start(spark, d)
+    sliced = spark.read.format("csr4").option("path", _file(spark, d)).option("slices", True).option("partitions", PARTS).load()
+    fw = y.select("r").join(mlem.forward(sliced, x), "r", "left").select("r", F.coalesce("fw", F.lit(0.0)).alias("fw"))
+    return _rounded(fw, "fw")
+
+
+def q_row_index(spark, d):
+    """Where each row of a matrix file begins and how long it is, from its stored row ends."""
+    return spark.read.format("csr4index").option("path", _file(spark, d)).load()
+
+
+def q_csr4_saved(spark, d):
+    """The matrix through a folder of matrix files, written and read by tasks alone."""
+    path = new_path(spark, "matrix")
+    a, y, c = _all(spark, d)
+    csr4.register(spark)
+    csr4.save_csr4(a, path, y.count(), c.count(), SCANNER)
+    return spark.read.format("csr4").option("path", path).load().select("r", "c", F.col("v").cast("double").alias("v"))
+
+
 def q_matrix_meta(spark, d):
     """Dimensions and scanner as a matrix file states them."""
     meta = csr4.metadata(spark, _file(spark, d))
@@ -254,7 +291,7 @@ def q_matrix_meta(spark, d):
 def q_vector_roundtrip(spark, d):
     """The counts through a raw vector file."""
     csr4.register(spark)
-    path = new_path(spark, "vector").removeprefix("file://") + ".raw"
+    path = new_path(spark, "vector") + ".raw"
     csr4.write_vector(counts(spark, d).select(F.col("r").alias("i"), F.col("y").alias("x")), path, "int32")
     return spark.read.format("rawvec").option("path", path).option("dtype", "int32").load()
 
@@ -296,6 +333,8 @@ QUERIES = {
     "mlem_fused": q_mlem_fused,
     "mlem_by_column": q_mlem_by_column,
     "mlem_blocked": q_mlem_blocked,
+    "mlem_copartitioned": q_mlem_copartitioned,
+    "mlem_tiled": q_mlem_tiled,
     "mlem_resumed": q_mlem_resumed,
     "iteration_sums": q_iteration_sums,
     "column_sums": q_column_sums,
@@ -327,6 +366,9 @@ QUERIES = {
     "csc_arrays": q_csc_arrays,
     "csr4_roundtrip": q_csr4_roundtrip,
     "csr4_row_range": q_csr4_row_range,
+    "csr4_saved": q_csr4_saved,
+    "forward_sliced": q_forward_sliced,
+    "row_index": q_row_index,
     "matrix_meta": q_matrix_meta,
     "vector_roundtrip": q_vector_roundtrip,
     "voxels": q_voxels,
@@ -370,7 +412,10 @@ y AS MATERIALIZED (SELECT s_suppkey AS r, greatest(floor(s_acctbal), 0)::INT AS
 d AS MATERIALIZED (SELECT p_partkey AS c FROM part)"""
 
 ORACLES = {
-    **dict.fromkeys(("mlem_sql", "mlem_fused", "mlem_by_column", "mlem_blocked", "mlem_resumed"), _MLEM),
+    **dict.fromkeys(("mlem_sql", "mlem_fused", "mlem_by_column", "mlem_blocked", "mlem_copartitioned", "mlem_tiled", "mlem_resumed"), _MLEM),
+    "forward_sliced": _steps(1) + " SELECT y.r, round(coalesce(fw, 0), 6) AS fw FROM y LEFT JOIN f1 USING (r)",
+    "row_index": _LENGTHS + " SELECT r, incl - cnt AS begin, cnt FROM w",
+    "csr4_saved": _TABLES + " SELECT r, c, v FROM a",
     "iteration_sums": _steps(ITERATIONS) + " " + " UNION ALL ".join(f"SELECT {i}::INT AS iter, round(sum(x), 4) AS image_sum FROM x{i}" for i in range(1, ITERATIONS + 1)),
     "column_sums": _steps(0) + " SELECT c, n FROM norm",
     "start_image": _steps(0) + " SELECT c, round(x, 6) AS x FROM x0",
@@ -385,7 +430,7 @@ ORACLES = {
     "dense_forward": _DENSE + " SELECT r, round(sum(v * (c + 1)), 4) AS fw FROM a GROUP BY r",
     "dense_backward": _DENSE + " SELECT c, round(sum(v * (r % 7)), 4) AS u FROM a GROUP BY c",
     "row_lengths": _LENGTHS + " SELECT r, cnt FROM n",
-    "row_range": _TABLES + " SELECT * FROM a WHERE r >= 100 AND r < 400",
+    "row_range": _TABLES + " SELECT * FROM a WHERE r < (SELECT count(*) // 5 FROM y)",
     "prefix_sums": _LENGTHS + " SELECT r, cnt, incl, incl - cnt + 10 AS excl FROM w",
     "partition_left": _LENGTHS + _LEFT + " SELECT r, cnt, pid FROM p",
     "partition_right": _LENGTHS + _RIGHT + " SELECT r, cnt, pid FROM p",

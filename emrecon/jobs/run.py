@@ -39,7 +39,7 @@ def main(args: list[str] | None = None) -> None:
     csr4.register(spark)
     if o.matrix.endswith(".csr4"):
         a = spark.read.format("csr4").option("path", o.matrix).option("partitions", o.partitions).load()
-        head = csr4.read_header(o.matrix)
+        head = csr4.files_of(o.matrix)[1]
         a, n, rows = cut(a, "matrix"), head["n_cols"], head["n_rows"]
     else:
         a = spark.read.parquet(o.matrix)

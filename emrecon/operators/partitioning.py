@@ -1,8 +1,9 @@
 """Partition rules: row ranges of like weight, element blocks, column blocks.
 
-Running sums are taken over per-row counts, in two levels: inside blocks of consecutive
-rows, and over the blocks' totals, so that no task orders all rows. A rule is a closed
-form of the number of elements before or through a row."""
+Running sums are taken over per-row counts, in three levels: inside blocks of consecutive
+rows, over the totals of blocks inside a block of blocks, and over the totals of these, of
+which there is one for each 2 ** 32 keys; so no task orders all rows or all blocks. A rule is
+a closed form of the number of elements before or through a row, in whole numbers."""
 
 from __future__ import annotations
 
@@ -17,16 +18,27 @@ BLOCK = 1 << 16
 def running(df: DataFrame, key: str, value: str, inclusive: bool = True, base: int = 0, out: str = "running") -> DataFrame:
     """``df`` with the sum of ``value`` over all rows with a smaller ``key`` (or through the
     row's own) plus ``base``. Keys are distinct integers; null values count as 0."""
-    v, block = F.coalesce(F.col(value), F.lit(0)), F.floor(F.col(key) / F.lit(BLOCK))
-    df = df.withColumn("__b", block)
-    sums = df.groupBy("__b").agg(F.sum(v).alias("__s"))
-    above = W.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # a row for each block of keys
-    sums = sums.select("__b", F.coalesce(F.sum("__s").over(above), F.lit(0)).alias("__before"))
+    v, size = F.coalesce(F.col(value), F.lit(0)), F.lit(BLOCK)
+    df = df.withColumn("__b", div(F.col(key), size))
+    sums = df.groupBy("__b").agg(F.sum(v).alias("__s")).withColumn("__t", div(F.col("__b"), size))
+    tops = sums.groupBy("__t").agg(F.sum("__s").alias("__s"))
+    earlier = lambda w, order: F.coalesce(F.sum("__s").over(w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tops = tops.select("__t", earlier(W.partitionBy(F.lit(0)), "__t").alias("__top"))  # a row for each BLOCK ** 2 keys
+    sums = sums.withColumn("__inner", earlier(W.partitionBy("__t"), "__b")).join(tops, "__t").select("__b", (F.col("__inner") + F.col("__top")).alias("__before"))
     inside = W.partitionBy("__b").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
     own = df.withColumn("__own", F.sum(v).over(inside) - (F.lit(0) if inclusive else v))
     return own.join(sums, "__b").withColumn(out, F.col("__own") + F.col("__before") + base).drop("__b", "__own", "__before")
 
 
+def div(a: Column, b: Column) -> Column:
+    """Whole-number division."""
+    return F.call_function("div", a, b)
+
+
+def _div_up(a: Column, b: Column) -> Column:
+    return div(a + b - 1, b)
+
+
 def row_lengths(a: DataFrame, rows: DataFrame) -> DataFrame:
     """(r, cnt) for each row of the domain."""
     counts = a.groupBy("r").agg(F.count(F.lit(1)).alias("cnt"))
@@ -43,7 +55,7 @@ def by_rule(lengths: DataFrame, parts: int, rule: str) -> DataFrame:
     through = running(lengths, "r", "cnt", out="incl").withColumn("before", F.col("incl") - F.col("cnt"))
     total = lengths.agg(F.sum("cnt").alias("nnz"))
     rows = through.crossJoin(F.broadcast(total))  # one row
-    share = {"left": F.ceil(F.col("before") * parts / F.col("nnz")) - 1, "right": F.ceil(F.col("incl") * parts / F.col("nnz")) - 1, "start": F.floor(F.col("before") * parts / F.col("nnz"))}[rule]
+    share = {"left": _div_up(F.col("before") * parts, F.col("nnz")) - 1, "right": _div_up(F.col("incl") * parts, F.col("nnz")) - 1, "start": div(F.col("before") * parts, F.col("nnz"))}[rule]
     return rows.select("r", "cnt", _clip(F.when(F.col("nnz") > 0, share).otherwise(0), parts).alias("pid"))
 
 
@@ -53,12 +65,12 @@ def two_level(lengths: DataFrame, parts: int, inner: int) -> DataFrame:
     totals = rows.groupBy("pid").agg(F.sum("cnt").alias("own"))
     starts = totals.select("pid", "own", F.coalesce(F.sum("own").over(W.partitionBy(F.lit(0)).orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("from"))  # a row for each part
     rows = running(rows, "r", "cnt", out="incl").join(F.broadcast(starts), "pid")
-    tid = F.ceil((F.col("incl") - F.col("from")) * inner / F.when(F.col("own") > 0, F.col("own"))) - 1
+    tid = _div_up((F.col("incl") - F.col("from")) * inner, F.when(F.col("own") > 0, F.col("own"))) - 1
     return rows.select("r", "cnt", "pid", _clip(F.coalesce(tid, F.lit(0)), inner).alias("tid"))
 
 
 def column_block(c: Column, columns: int, blocks: int) -> Column:
-    return F.least(F.floor(c * F.lit(blocks) / F.lit(columns)), F.lit(blocks - 1)).cast("int")
+    return F.least(div(c * F.lit(blocks), F.lit(columns)), F.lit(blocks - 1)).cast("int")
 
 
 def element_slices(lengths: DataFrame, parts: int) -> DataFrame:
@@ -66,10 +78,10 @@ def element_slices(lengths: DataFrame, parts: int) -> DataFrame:
     blocks covers; a row may lie in several. Slices and rows overlap as ranges."""
     rows = running(lengths, "r", "cnt", inclusive=False, out="begin").crossJoin(F.broadcast(lengths.agg(F.sum("cnt").alias("nnz"))))
     rows = rows.where("cnt > 0").withColumn("end", F.col("begin") + F.col("cnt"))
-    first = F.floor(F.col("begin") * parts / F.col("nnz"))
-    last = F.floor((F.col("end") - 1) * parts / F.col("nnz"))
+    first = div(F.col("begin") * parts, F.col("nnz"))
+    last = div((F.col("end") - 1) * parts, F.col("nnz"))
     spans = rows.withColumn("pid", F.explode(F.sequence(first, F.least(last + 1, F.lit(parts - 1)))))
-    lo, hi = F.ceil(F.col("pid") * F.col("nnz") / parts), F.ceil((F.col("pid") + 1) * F.col("nnz") / parts)
+    lo, hi = (_div_up(p * F.col("nnz"), F.lit(parts)) for p in (F.col("pid"), F.col("pid") + 1))
     spans = spans.withColumn("from", F.greatest("begin", lo)).withColumn("to", F.least("end", hi))
     return spans.where(F.col("from") < F.col("to")).select(F.col("pid").cast("int").alias("pid"), "r", (F.col("from") - F.col("begin")).alias("from"), (F.col("to") - F.col("begin")).alias("to"))
 

@@ -3,6 +3,8 @@ import struct
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from emrecon.sources import csr4
 
 SCANNER = {"layers": [(1, 1, 1, 1, 1)], "nblocks": 1, "block_gaps": [], "ring_gaps": [], "voxel_size": (1, 1, 1), "grid_dim": (2, 2, 1)}
@@ -36,7 +38,7 @@ def test_reads_by_row_ranges(written, spark, parts):
 
 def test_small_slices(written):
     reader = csr4.Csr4Reader({"path": written})
-    got = [t for b in reader.read(csr4.RowRange(0, 4), rows=1, elements=1) for t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    got = [t for b in reader.read(csr4.FileRows(written, 0, 0, 4), rows=1, elements=1) for t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     assert got == CELLS
 
 
@@ -102,3 +104,104 @@ def test_filters_on_rows(written, spark, where, rows):
 def test_filters_prune_ranges(written, spark):
     read = spark.read.format("csr4").option("path", written).option("partitions", 4)
     assert read.load().rdd.getNumPartitions() > 1 and read.load().where("r = 1").rdd.getNumPartitions() == 1
+
+
+@pytest.fixture(scope="module")
+def one_row(spark, tmp_path_factory):
+    """All elements of 5 rows lie in row 2."""
+    csr4.register(spark)
+    path = str(tmp_path_factory.mktemp("one") / "a.csr4")
+    csr4.write_csr4(spark.range(4000).selectExpr("2L AS r", "id AS c", "cast(id AS float) AS v"), path, 5, 4000, SCANNER)
+    return path
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_slices_cut_rows(spark, one_row, written, parts):
+    got = spark.read.format("csr4").option("path", one_row).option("slices", True).option("partitions", parts).load()
+    assert got.groupBy("r").agg(F.sum("v"), F.count("v")).collect() == [(2, 4000 * 3999 / 2, 4000)]
+    assert got.select(F.spark_partition_id()).distinct().count() == parts  # each task reads its share of the one row
+    read = spark.read.format("csr4").option("path", written).option("slices", True).option("partitions", parts)
+    assert sorted(map(tuple, read.load().collect())) == CELLS
+    assert sorted(map(tuple, read.load().where("r >= 1 AND r < 3").collect())) == [(1, 1, 2.0)]
+
+
+def test_slices_begin_in_any_row(written):
+    reader = csr4.Csr4Reader({"path": written})
+    for lo in range(5):
+        for hi in range(lo + 1, 6):
+            got = [t for b in reader.read(csr4.Slice(written, 0, lo, hi), rows=1, elements=1) for t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            assert got == CELLS[lo:hi]
+
+
+class Counted:
+    """A file that counts the bytes read from places on."""
+
+    def __init__(self, file, limit):
+        self.file, self.limit, self.below, self.above = file, limit, 0, 0
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+    def read_at(self, n, at):
+        self.below, self.above = self.below + n * (at < self.limit), self.above + n * (at >= self.limit)
+        return self.file.read_at(n, at)
+
+
+def test_the_index_reads_no_elements(spark, one_row, written, monkeypatch):
+    limit, opened, own = csr4.read_header(one_row)["elements_at"], [], csr4._open
+
+    def counted(path):
+        f, size = own(path)
+        opened.append(Counted(f, limit))
+        return opened[-1], size
+
+    monkeypatch.setattr(csr4, "_open", counted)
+    reader = csr4.IndexReader({"path": one_row, "partitions": 2})
+    rows = [t for p in reader.partitions() for b in reader.read(p, rows=2) for t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert rows == [(0, 0, 0), (1, 0, 0), (2, 0, 4000), (3, 4000, 0), (4, 4000, 0)]
+    assert sum(f.above for f in opened) == 0 < sum(f.below for f in opened)
+    # planning slices reads a few row ends alone
+    opened.clear()
+    assert len(csr4.Csr4Reader({"path": one_row, "slices": "true"}).partitions()) == 8
+    assert sum(f.above for f in opened) == 0
+    got = spark.read.format("csr4index").option("path", written).option("from", 1).load()
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 1), (2, 3, 0), (3, 3, 2)]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_folder_of_files(spark, tmp_path, parts):
+    csr4.register(spark)
+    path = str(tmp_path / "m.csr4")
+    a = spark.createDataFrame(CELLS, "r long, c long, v float")
+    csr4.save_csr4(a, path, 4, 4, SCANNER, "xz", parts)
+    read = spark.read.format("csr4").option("path", path)
+    assert sorted(map(tuple, read.load().collect())) == CELLS
+    assert sorted(map(tuple, read.option("slices", True).load().collect())) == CELLS
+    assert sorted(map(tuple, read.load().where("r = 3").collect())) == CELLS[3:]
+    meta = csr4.metadata(spark, path).first()
+    assert (meta.n_rows, meta.n_cols, meta.nnz, tuple(meta.sym)) == (4, 4, 5, (True, False, True))
+    # a second write replaces the first, and leaves none of its files
+    csr4.save_csr4(a.where("r = 1"), path, 4, 4, SCANNER, parts=parts)
+    assert [tuple(r) for r in spark.read.format("csr4").option("path", path).load().collect()] == [(1, 1, 2.0)]
+    assert len([f for f in (tmp_path / "m.csr4").iterdir() if not f.name.endswith(".crc")]) == 2
+    csr4.save_csr4(a.where("r < 0"), path, 4, 4, SCANNER)
+    assert spark.read.format("csr4").option("path", path).load().count() == 0
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    csr4.register(spark)
+    path = tmp_path / "m.csr4"
+    bad = spark.createDataFrame([*CELLS, (9, 0, 1.0)], "r long, c long, v float")
+    with pytest.raises(Exception, match="outside the matrix"):
+        csr4.save_csr4(bad, str(path), 4, 4, SCANNER, parts=3)
+    assert not path.exists() or not [*path.iterdir()]
+    with pytest.raises(csr4.FormatError):
+        csr4.files_of(str(path)) if path.exists() else csr4.read_header(str(path))
+    # nor does it harm the matrix that was there
+    csr4.save_csr4(bad.where("r < 4"), str(path), 4, 4, SCANNER, parts=3)
+    with pytest.raises(Exception, match="outside the matrix"):
+        csr4.save_csr4(bad, str(path), 4, 4, SCANNER, parts=3)
+    assert sorted(map(tuple, spark.read.format("csr4").option("path", str(path)).load().collect())) == CELLS

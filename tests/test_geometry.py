@@ -3,6 +3,8 @@ import math
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from emrecon.functions import geometry as G
 
 
@@ -22,3 +24,9 @@ def test_vectors(spark):
     assert (one.n, one.u.x, one.u.y, one.c.x, one.c.y) == (5, 0.6, 0.8, 4, -3)
     assert (zero.n, zero.u.x, one.t) == (0, 0, "(3.0, 4.0)")
     assert abs(one.s.x - 1) < 1e-12
+
+
+def test_large_voxel_numbers_are_exact(spark):
+    n = 2**53 + 1
+    row = spark.range(1).select(G.voxel_of(F.lit(n), 1, 1).alias("p"), G.voxel_of(F.lit(n), 3, 5).alias("q")).first()
+    assert row.p.z == n and (row.q.x, row.q.y, row.q.z) == (n % 3, n % 15 // 3, n // 15)
