@@ -91,7 +91,7 @@ def q_iteration_sums(spark, d):
     """The progress figures of each iteration, without its times."""
     a, y, c = _all(spark, d)
     _, metrics = checkpoints.run(a, y, c, ITERATIONS, new_path(spark, "states"), every=0)
-    return _rounded(metrics.drop("elapsed"), "image_sum", digits=4)
+    return _rounded(metrics.select("iter", "image_sum"), "image_sum", digits=4)
 
 
 def q_column_sums(spark, d):

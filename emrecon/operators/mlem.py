@@ -10,11 +10,13 @@ parts of like weight by row, and each iteration ends in a written table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from emrecon.operators.transpose import written
-from emrecon.sources.scratch import cut
+from emrecon.sources.scratch import cut, forget
 
 #: Rows up to which a vector is broadcast to the matrix (16 bytes a row).
 VECTOR_ROWS = 4_000_000
@@ -84,12 +86,15 @@ def step(a: DataFrame, y: DataFrame, image: DataFrame, norm: DataFrame, columns:
     return update(image, backward(a, correlation(y, forward(a, image, columns)), rows), norm)
 
 
-def mlem(a: DataFrame, y: DataFrame, columns: DataFrame, iterations: int, image: DataFrame | None = None, by_column: DataFrame | None = None, after=None, copy: bool = True) -> DataFrame:
+def mlem(a: DataFrame, y: DataFrame, columns: DataFrame, iterations: int, image: DataFrame | None = None, by_column: DataFrame | None = None, after=None, copy: bool = True, metrics: list[dict] | None = None) -> DataFrame:
     """The image after a fixed number of iterations, from ``image`` or the uniform start.
 
     ``by_column``: a second copy of the matrix, laid out by column, for back projections.
-    ``after`` is called with each iteration's number (from 1) and image. Without ``copy``
-    the matrix is read as it is, for one that has been laid out already."""
+    ``after`` is called with each iteration's number (from 1) and image, which can be read
+    until the next iteration has ended; older images are deleted. Without ``copy`` the matrix
+    is read as it is, for one that has been laid out already. ``metrics`` gets iter, elapsed,
+    forward, backward and image_sum of each iteration: the correlation is written then, which
+    parts the times, and the sum is observed while the image is written."""
     if iterations < 0:
         raise ValueError("iterations cannot be negative")
     a = written(a, "r", "c") if copy and iterations else a
@@ -101,8 +106,19 @@ def mlem(a: DataFrame, y: DataFrame, columns: DataFrame, iterations: int, image:
         raise ValueError("image and matrix differ in size")
     back = a if by_column is None else by_column
     for i in range(iterations):
+        began = half = time.perf_counter()
         cor = correlation(y, forward(a, image, n_columns))
-        image = cut(update(image, backward(back, cor, n_rows), norm), "image")
+        seen = Observation()
+        if metrics is not None:
+            cor = cut(cor, "correlation")
+            half = time.perf_counter()
+        new = update(image, backward(back, cor, n_rows), norm)
+        old, image = image, cut(new if metrics is None else new.observe(seen, F.sum("x").alias("image_sum")), "image")
+        if metrics is not None:
+            ended = time.perf_counter()
+            metrics.append({"iter": i + 1, "elapsed": ended - began, "forward": half - began, "backward": ended - half, "image_sum": seen.get["image_sum"] or 0.0})
+            forget(cor)
+        forget(old)
         if after:
             after(i + 1, image)
     return image

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emrecon.operators import copartitioned, mlem, tiles
+from emrecon.operators import checkpoints, copartitioned, fused, mlem, tiles
 from emrecon.sources.scratch import bucketed
 
 
@@ -84,3 +84,40 @@ def test_nothing_to_multiply(spark, small):
     for form in (tiles.mlem_tiled, copartitioned.mlem_copartitioned):
         with pytest.raises(ValueError):
             form(*small, -1)
+
+
+@pytest.mark.parametrize("chunk", [1, 16, 1 << 16])
+def test_fused_over_chunks(small, monkeypatch, chunk):
+    monkeypatch.setattr(mlem, "VECTOR_ROWS", 0)  # bounds nothing here
+    a, y, columns = small
+    close(values(fused.mlem_fused(a, y, columns, 3, chunk)), values(mlem.mlem(a, y, columns, 3)))
+    close(values(fused.mlem_fused(a, y, columns, 0, chunk)), values(mlem.mlem(a, y, columns, 0)))
+
+
+def test_fused_without_elements_or_columns(spark, small):
+    a, y, columns = small
+    none = a.where("false")
+    close(values(fused.mlem_fused(none, y, columns, 2, 16)), dict.fromkeys(range(70), 0.0))
+    assert fused.mlem_fused(none, y, columns.where("false"), 1).collect() == []
+    for bad in (columns.selectExpr("c + 1 AS c"), columns.where("c <> 3")):
+        with pytest.raises(ValueError):
+            fused.mlem_fused(none, y, bad, 1)
+
+
+def test_only_touched_chunks_are_loaded(spark, tmp_path):
+    image = spark.createDataFrame([(k, [float(4 * k + i) for i in range(4 if k < 9 else 2)]) for k in range(10)], "k long, x array<double>")
+    image.write.parquet(f"file://{tmp_path}/x")
+    chunks = fused.Chunks(spark.read.parquet(f"file://{tmp_path}/x").inputFiles(), 4)
+    assert chunks.entries(np.array([5, 37, 4])).tolist() == [5.0, 37.0, 4.0] and set(chunks.loaded) == {1, 9}
+    assert chunks.entries(np.array([36, 0])).tolist() == [36.0, 0.0] and set(chunks.loaded) == {0, 1, 9}
+
+
+def test_metrics_without_jobs_of_their_own(spark, small):
+    a, y, columns = small
+    rows, sums = [], []
+    image = mlem.mlem(a, y, columns, 3, after=lambda i, x: sums.append(mlem.image_sum(x).first()[0]), metrics=rows)
+    assert [r["iter"] for r in rows] == [1, 2, 3] and np.allclose([r["image_sum"] for r in rows], sums)
+    assert all(r["forward"] > 0 < r["backward"] and abs(r["elapsed"] - r["forward"] - r["backward"]) < 1e-6 for r in rows)
+    close(values(image), values(mlem.mlem(a, y, columns, 3)))
+    _, metrics = checkpoints.run(a, y, columns, 2, f"{spark.conf.get('spark.checkpoint.dir')}/metrics", every=0)
+    assert metrics.columns == ["iter", "elapsed", "forward", "backward", "image_sum"] and metrics.count() == 2
