@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,11 +30,22 @@ def held(key, make):
     """What ``make`` gives, kept for this worker's next batches and tasks until another
     operator keeps something: workers outlive stages, and one cache at a time is enough."""
     if key not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            _give_back()
         _held[key] = make()
     return _held[key]
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system, where its C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id as long and text, null counting as empty; other columns only as named."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)

@@ -56,7 +56,7 @@ BLOCK = 512
 #: Members of a cluster that all its leaves are compared with.
 PIVOTS = 4
 #: Words whose hashes a worker keeps at most; then it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 #: 64-bit words of a node's bitmap.
 SKETCH = 32
 #: Sets below the lowest nodes of the trees over a leaf's sets.

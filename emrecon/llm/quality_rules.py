@@ -38,7 +38,7 @@ THRESHOLD = 0.5
 #: Base rules: least words, and percent of words in repeated windows at most.
 LEAST_WORDS, MOST_REPEATS = 50, 50
 #: Tokens whose hashes a worker keeps at most; then it starts anew.
-CACHE = 500_000
+CACHE = 200_000
 
 _SHAPES = [(re.compile(p), s) for p, s in ((rb"[a-z]+|[\x80-\xff]+", b"x"), (rb"[A-Z]+", b"X"), (rb"[0-9]+", b"9"), (rb"(?:xX?|Xx)[xX]*", b"w"))]
 

@@ -35,7 +35,7 @@ LEXICON = 5_000
 #: Lengths of the word beginnings that are counted beside whole words.
 STEMS = (4, 5, 6)
 #: Tokens whose flags a worker keeps at most; then it starts anew.
-CACHE = 500_000
+CACHE = 200_000
 
 # Second-person words of four languages, and letters that digits and signs stand for.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes tú ti tuyo vosotros su".split())

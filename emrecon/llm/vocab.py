@@ -27,17 +27,19 @@ WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\
 #: Stands for the end of a word; a text that holds it takes the library's own way.
 END = "\x1f"
 #: Words that a worker keeps at most; then it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 
 
-@lru_cache(maxsize=4)
-def load(path: str) -> Tokenizer:
+def fresh(path: str) -> Tokenizer:
     found = Tokenizer.from_file(path)
     found.no_padding()
     found.no_truncation()
     return found
 
 
+load = lru_cache(maxsize=4)(fresh)
+
+
 @lru_cache(maxsize=4)
 def byte_ranks(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
@@ -61,7 +63,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.known: dict[str, bytes] = {}
-        self.tokenizer = load(path)
+        self.tokenizer = fresh(path)  # goes with this encoder
         with open(path) as f:
             spec = json.load(f)["model"]
         suffix, vocab, back = spec["end_of_word_suffix"], spec["vocab"], byte_alphabet()
