@@ -234,6 +234,13 @@ def q_csc_arrays(spark, d):
     return packed.select("c", "start", _as_text("rows"), _as_text("values"))
 
 
+def q_csc_packed(spark, d):
+    """The same from packed rows, with no row for each element on the way."""
+    rows = cut(transpose.csr_arrays(matrix(spark, d), counts(spark, d)), "packed")
+    packed = transpose.transpose_packed(rows, columns(spark, d))
+    return packed.select("c", "start", _as_text("rows"), _as_text("values"))
+
+
 #: A fixed value: the scanner that matrix files of the queries carry.
 SCANNER = {"layers": [(1.0, 2.0, 3.0, 4.0, 0.5), (1.0, 2.0, 3.0, 6.0, 0.5)], "nblocks": 8, "block_gaps": [0.1, 0.1, 0.1], "ring_gaps": [0.2, 0.2, 0.2], "voxel_size": (0.5, 0.5, 0.5), "grid_dim": (100, 100, 10)}
 
@@ -364,6 +371,7 @@ QUERIES = {
     "transpose_pattern": q_pattern,
     "csr_arrays": q_csr_arrays,
     "csc_arrays": q_csc_arrays,
+    "csc_packed": q_csc_packed,
     "csr4_roundtrip": q_csr4_roundtrip,
     "csr4_row_range": q_csr4_row_range,
     "csr4_saved": q_csr4_saved,
@@ -443,7 +451,7 @@ ORACLES = {
     "transpose": _TABLES + " SELECT c AS r, r AS c, v FROM a",
     "transpose_pattern": _TABLES + " SELECT c AS r, r AS c FROM a",
     "csr_arrays": _LENGTHS + " SELECT w.r, incl - cnt AS start, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c, v), '') AS columns, coalesce(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY c, v), '') AS values FROM w LEFT JOIN a USING (r) GROUP BY w.r, incl, cnt",
-    "csc_arrays": _TABLES + ", n AS (SELECT d.c, count(a.r) AS cnt, coalesce(string_agg(r::VARCHAR, ',' ORDER BY r, v), '') AS rows, coalesce(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY r, v), '') AS values FROM d LEFT JOIN a USING (c) GROUP BY d.c) SELECT c, (sum(cnt) OVER (ORDER BY c) - cnt)::BIGINT AS start, rows, values FROM n",
+    **dict.fromkeys(("csc_arrays", "csc_packed"), _TABLES + ", n AS (SELECT d.c, count(a.r) AS cnt, coalesce(string_agg(r::VARCHAR, ',' ORDER BY r, v), '') AS rows, coalesce(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY r, v), '') AS values FROM d LEFT JOIN a USING (c) GROUP BY d.c) SELECT c, (sum(cnt) OVER (ORDER BY c) - cnt)::BIGINT AS start, rows, values FROM n"),
     "csr4_row_range": _TABLES + " SELECT * FROM a WHERE r >= (SELECT count(*) // 3 FROM y) AND r < (SELECT 2 * count(*) // 3 FROM y)",
     "matrix_meta": "SELECT (SELECT count(*) FROM orders) AS n_rows, (SELECT count(*) FROM part) AS n_cols, (SELECT count(*) FROM lineitem) AS nnz, false AS sym_x, 8::BIGINT AS nblocks, 2::INT AS layers, 4::INT AS rings, 100::BIGINT AS x, 10::BIGINT AS z",
     "csr4_roundtrip": _TABLES + " SELECT r, c, v FROM a",

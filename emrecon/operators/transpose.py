@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +61,74 @@ def csc_arrays(a: DataFrame, columns: DataFrame) -> DataFrame:
     """(c, start, rows, values): the same by columns, elements in order of rows."""
     packed = csr_arrays(transpose(a), columns.select(F.col("c").alias("r")))
     return packed.select(F.col("r").alias("c"), "start", F.col("columns").alias("rows"), "values")
+
+
+def fragments(packed: DataFrame, bounds: list[int]) -> DataFrame:
+    """(block, columns, rows, values): the elements of packed rows (r, columns, values) in
+    order of columns, a record for each batch of rows and block of columns. Block k has the
+    columns from ``bounds[k]`` on."""
+    shared = packed.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64))
+    kinds = [pa.int64(), *([pa.list_(pa.int64())] * 2), pa.list_(pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("columns")
+            c, v = lists.flatten().to_numpy(), batch.column("values").flatten().to_numpy(zero_copy_only=False)
+            if not len(c):
+                continue
+            r = np.repeat(batch.column("r").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            order = np.argsort(c, kind="stable")
+            c, r, v = c[order], r[order], v[order]
+            block = np.searchsorted(shared.value, c, side="right") - 1
+            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist()
+            ends = [*starts[1:], len(c)]
+            parts = [[block[lo] for lo in starts], *([x[lo:hi] for lo, hi in zip(starts, ends, strict=True)] for x in (c, r, v))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(parts, kinds, strict=True)], ["block", "columns", "rows", "values"])
+
+    return packed.select("r", "columns", "values").mapInArrow(run, "block long, columns array<long>, rows array<long>, values array<double>")
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """(c, rows, values) from fragments: the sorted runs of a block of columns are merged,
+    one block at a time."""
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+
+    def block(runs: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        c, r, v = (np.concatenate(x) for x in zip(*runs, strict=True))
+        order = np.lexsort((v, r, c))
+        c, r, v = c[order], r[order], v[order]
+        starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        offsets = pa.array(np.r_[starts, len(c)].astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(c[starts]), pa.ListArray.from_arrays(offsets, pa.array(r)), pa.ListArray.from_arrays(offsets, pa.array(v))], schema=pa.schema(zip(("c", "rows", "values"), kinds, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, runs = None, []
+        for batch in batches:
+            for k, *lists in zip(batch.column("block").to_pylist(), *(batch.column(x) for x in ("columns", "rows", "values")), strict=True):
+                if runs and k != key:
+                    yield block(runs)
+                    runs = []
+                key = k
+                runs.append(tuple(x.values.to_numpy(zero_copy_only=False) for x in lists))
+        if runs:
+            yield block(runs)
+
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(run, "c long, rows array<long>, values array<double>")
+
+
+def transpose_packed(packed: DataFrame, columns: DataFrame, in_block: int = IN_PART) -> DataFrame:
+    """(c, start, rows, values), as ``csc_arrays`` gives it, from packed rows (r, columns,
+    values), with no row for each element: columns are counted and their places summed up;
+    blocks of columns begin where another ``in_block`` elements do; batches of rows are
+    scattered to blocks, and what a block gets is merged. There are as many blocks as the
+    matrix has parts, so their limits are broadcast."""
+    lengths = packed.select(F.explode("columns").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("cnt"))
+    full = columns.select("c").join(lengths, "c", "left").select("c", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
+    places = cut(running(full, "c", "cnt", inclusive=False, out="start"), "places")
+    longest = places.agg(F.max("cnt")).first()[0] or 0
+    if longest > MOST_IN_ROW:
+        raise ValueError(f"a column of {longest} elements cannot be packed")
+    firsts = places.where("cnt > 0").groupBy(F.expr(f"start div {in_block}").alias("b")).agg(F.min("c").alias("c")).orderBy("c").collect()  # a row for each block
+    found = merged(fragments(packed, [r["c"] for r in firsts]))
+    out = places.join(found, "c", "left")
+    return out.select("c", "start", F.coalesce("rows", F.array().cast("array<long>")).alias("rows"), F.coalesce("values", F.array().cast("array<double>")).alias("values"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emrecon.operators import checkpoints, copartitioned, fused, mlem, tiles
+from emrecon.operators import checkpoints, copartitioned, fused, mlem, tiles, transpose
 from emrecon.sources.scratch import bucketed
 
 
@@ -121,3 +121,15 @@ def test_metrics_without_jobs_of_their_own(spark, small):
     close(values(image), values(mlem.mlem(a, y, columns, 3)))
     _, metrics = checkpoints.run(a, y, columns, 2, f"{spark.conf.get('spark.checkpoint.dir')}/metrics", every=0)
     assert metrics.columns == ["iter", "elapsed", "forward", "backward", "image_sum"] and metrics.count() == 2
+
+
+@pytest.mark.parametrize("in_block", [1, 150, 1 << 20])
+def test_packed_transposition(spark, small, in_block):
+    a, y, columns = small
+    packed = transpose.csr_arrays(a, y).cache()
+    rows = lambda df: sorted((r.c, r.start, r.rows, r.values) for r in df.collect())
+    assert rows(transpose.transpose_packed(packed, columns, in_block)) == rows(transpose.csc_arrays(a, columns))
+    parts = transpose.fragments(packed, [0, 20, 40]).collect()
+    assert len(parts) <= 3 * 8 and sum(len(r.rows) for r in parts) == a.count()  # no row for each element
+    none = transpose.csr_arrays(a.where("false"), y)
+    assert rows(transpose.transpose_packed(none, columns)) == [(c, 0, [], []) for c in range(70)]
