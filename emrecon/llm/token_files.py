@@ -5,11 +5,14 @@ end-of-document id follows each document. A file is cut into blocks of equal siz
 block is read by itself, wherever documents begin and end, and a vectorised search finds
 its separators. What crosses a block's edge is stitched by a prefix scan over the blocks
 of the file: ids before the block, documents ended before it, place of the last
-separator before it.
+separator before it. The scan has two levels, blocks inside spans of ``SPAN`` and spans, so
+no task orders the blocks of a large file.
 
 Defined cases: null and empty texts are documents of no tokens; a document may fill many
 blocks; ids after the last separator are a document of their own; an empty file or table
-gives no rows; repeated rows are documents like any other; other columns are ignored.
+gives no rows; repeated rows are documents like any other; other columns are ignored. The
+string of the separator's token in a text is plain text here, as only the end of a document
+may have its id, where ``bpe`` takes it for that token.
 Files are reached by their URI through Arrow's file systems. A task writes a file under
 a new name and lists its documents; a file of a task that was lost is listed nowhere.
 """
@@ -34,6 +37,8 @@ from emrecon.llm.vocab import byte_ranks
 END_ID, DTYPE = 50256, "<u2"
 #: Bytes of a block.
 BLOCK = 1 << 20
+#: Blocks of a span of the prefix scan.
+SPAN = 4096
 
 
 def write_files(docs: DataFrame, folder: str, ranks: str) -> DataFrame:
@@ -63,8 +68,9 @@ def blocks_of(files: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 size = fs.get_file_info(f"{root}/{name}").size
-                offsets = np.arange(0, size, block)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(offsets), pa.string()), pa.array(np.arange(len(offsets)), pa.int64()), pa.array(offsets, pa.int64()), pa.array(np.minimum(block, size - offsets), pa.int64())], ["file", "block", "offset", "size"])
+                for first in range(0, -(-size // block), SPAN):
+                    number = np.arange(first, min(first + SPAN, -(-size // block)))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(number), pa.string()), pa.array(number, pa.int64()), pa.array(number * block, pa.int64()), pa.array(np.minimum(block, size - number * block), pa.int64())], ["file", "block", "offset", "size"])
 
     return files.select("file").mapInArrow(run, "file string, block long, offset long, size long")
 
@@ -87,10 +93,7 @@ def count_tokens(files: DataFrame, folder: str, end_id: int = END_ID, dtype: str
 
     spread = blocks_of(files.select("file").distinct(), folder, block).repartition("file", "block")
     scanned = cut(spread.mapInArrow(run, "file string, block long, ids long, docs long, last long, ends array<long>"), "scanned")
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    sums = scanned.select("file", "block", "ids", "docs", "last")
-    sums = sums.withColumns({"base": F.coalesce(F.sum("ids").over(before), F.lit(0)), "first": F.coalesce(F.sum("docs").over(before), F.lit(0))})
-    sums = sums.withColumn("since", F.coalesce(F.max(F.col("base") + F.col("last")).over(before), F.lit(-1)))
+    sums = prefix_scan(scanned.select("file", "block", "ids", "docs", "last"))
     parts = scanned.select("file", "block", "ends").join(sums, ["file", "block"])
     rows = parts.select("file", "base", "first", "since", "ends", F.posexplode("ends").alias("k", "end"))
     start = F.when(F.col("k") == 0, F.col("since")).otherwise(F.col("base") + F.element_at("ends", F.greatest(F.col("k"), F.lit(1))))
@@ -99,6 +102,24 @@ def count_tokens(files: DataFrame, folder: str, end_id: int = END_ID, dtype: str
     return done.unionByName(whole.where("n_tokens > 0"))
 
 
+def prefix_scan(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (file, block, ids, docs, last) with base and first, the ids and documents
+    before a block in its file, and since, the place of the last separator before it (-1:
+    none)."""
+    blocks = blocks.withColumn("span", F.expr(f"block div {SPAN}"))
+    inside = W.partitionBy("file", "span").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("file").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    spans = blocks.groupBy("file", "span").agg(F.sum("ids").alias("all_ids"), F.sum("docs").alias("all_docs"))
+    spans = spans.select("file", "span", *(F.coalesce(F.sum(c).over(before), none).alias(f"{c}_before") for c in ("all_ids", "all_docs")))
+    rows = blocks.join(spans, ["file", "span"])
+    rows = rows.withColumns({to: F.col(f"all_{c}_before") + F.coalesce(F.sum(c).over(inside), none) for to, c in (("base", "ids"), ("first", "docs"))})
+    rows = rows.withColumn("at", F.col("base") + F.col("last"))
+    ends = rows.groupBy("file", "span").agg(F.max("at").alias("at")).select("file", "span", F.max("at").over(before).alias("earlier"))
+    rows = rows.join(ends, ["file", "span"]).withColumn("since", F.coalesce(F.greatest(F.max("at").over(inside), F.col("earlier")), F.lit(-1)))
+    return rows.select("file", "block", "ids", "docs", "last", "base", "first", "since")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens of all documents, from token files that are written first."""
     folder = new_path(spark, "tokens")

@@ -31,6 +31,39 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(y == r.predicted for y, r in pairs) >= 0.93 * len(pairs)
 
 
+def test_toxicity_finds_toxic_rows(spark):
+    """Rank order and recall on the fold that is held out, over enough toxic rows."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(truth[r.doc_id], r.score, r.predicted) for r in toxicity.op2_toxicity(spark, sf).collect() if r.held_out and r.doc_id in truth]
+    good, bad = [s for y, s, _ in rows if not y], [s for y, s, _ in rows if y]
+    assert len(bad) > 60
+    assert np.mean([(b > g) + (b == g) / 2 for b in bad for g in good]) > 0.95
+    assert sum(p for y, _, p in rows if y) >= 0.8 * len(bad) and sum(p for y, _, p in rows if not y) <= 0.01 * len(good)
+
+
+TOKENS = st.lists(st.sampled_from(["you", "You,", "your", "bad", "b4d", "badly", "BAD", "fine", "soooo", "aaa", "a1", "!!!", "é", "word"]), max_size=30)
+
+
+@settings(max_examples=150, deadline=None)
+@given(TOKENS)
+def test_toxic_features_against_slow_versions(tokens):
+    flags = toxicity.Flags({"bad": toxicity.WORD, "fine": toxicity.WEAK})
+    text = " ".join(tokens)
+    got = toxicity.features(text, flags)
+    bits = [flags.of(t) for t in tokens]
+    n, size = max(1, len(tokens)), max(1, len(text.encode()))
+    count = lambda b: sum(bool(x & b) for x in bits)
+    hits = [i for i, x in enumerate(bits) if x & (toxicity.WORD | toxicity.STEM | toxicity.HIDDEN)]
+    you = [i for i, x in enumerate(bits) if x & toxicity.YOU]
+    raw = text.encode()
+    want = [v for b in (toxicity.WORD, toxicity.STEM, toxicity.WEAK) for v in (100 * count(b) / n, np.log1p(count(b)))]
+    want += [sum(any(abs(i - j) <= 3 for j in you) for i in hits), count(toxicity.YOU) / n, np.log1p(count(toxicity.HIDDEN)), count(toxicity.MIXED) / n, count(toxicity.CAPS) / n]
+    want += [sum(65 <= b <= 90 for b in raw) / size, sum(chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for b in raw) / size, raw.count(b"!") / size]
+    want += [sum(a == b == c and c > 64 for a, b, c in zip(raw, raw[1:], raw[2:])) / size, np.log1p(len(tokens)), size / n]
+    assert got == pytest.approx(want)
+
+
 def test_quality_on_held_out_rows(spark):
     rows = quality_fm.op8_quality_classifier(spark, SF).collect()
     assert len(rows) == 1000

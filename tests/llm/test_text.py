@@ -216,7 +216,9 @@ def test_token_counts(spark, odd, block):
         assert r.n_tokens == len(vocab.byte_ranks(RANKS).encode_ordinary(texts[r.doc_id]))
 
 
-def test_token_files_from_elsewhere(spark, tmp_path):
+@pytest.mark.parametrize("span", [1, 2, 4096])
+def test_token_files_from_elsewhere(spark, tmp_path, monkeypatch, span):
+    monkeypatch.setattr(token_files, "SPAN", span)
     np.array([7, 7, 9, 9, 5, 9, 1, 2], "<u4").tofile(tmp_path / "a")
     np.array([9], "<u4").tofile(tmp_path / "b")
     np.array([], "<u4").tofile(tmp_path / "c")
