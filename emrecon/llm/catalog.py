@@ -25,4 +25,5 @@ ORACLES = {
     "op4_ngram_jaccard_join": jaccard_join.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_minhash_near_dedup": chosen_path.ORACLE,
 }

@@ -354,3 +354,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
 
 def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 2, 80)
+
+
+#: Exact: linked sets share an n-gram of their prefixes, in the order of rarity; for small tables.
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 2 THEN [ws[1]]
+  ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS grams FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+f AS (SELECT gram, count(*) AS df FROM g GROUP BY gram),
+r AS (SELECT doc_id, n, gram, df, row_number() OVER (PARTITION BY doc_id ORDER BY df, gram) AS k FROM g JOIN f USING (gram)),
+p AS (SELECT doc_id, n, gram FROM r WHERE k <= n - (4 * n + 4) // 5 + 1 AND df > 1),
+c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb FROM p x JOIN p y ON x.gram = y.gram AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+l AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * len(list_intersect(x.grams, y.grams)) >= 80 * (na + nb - len(list_intersect(x.grams, y.grams)))),
+links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reached AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT s.doc_id, len(s.grams) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c USING (doc_id)
+"""

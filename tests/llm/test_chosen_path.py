@@ -19,6 +19,17 @@ def test_all_documents(spark, duck):
     rows = found.collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute([(r.doc_id, r.text) for r in docs.collect()], 2, 80)
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
+    same(found.toPandas(), duck.sql(C.ORACLE).df())
+
+
+def test_recall_on_more_documents(spark, tmp_path):
+    """The components equal those of the exact join, of which SQL gives the rows."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    same(C.op13_minhash_near_dedup(spark, sf).toPandas(), c.sql(C.ORACLE).df())
 
 
 @pytest.mark.parametrize(("k", "t", "limit", "block"), [(2, 80, 64, 256), (2, 80, 2, 8), (3, 70, 4, 16)])
