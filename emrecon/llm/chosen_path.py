@@ -47,7 +47,7 @@ from emrecon.llm.components import connected
 from emrecon.llm.jaccard_join import Join, _hashes
 
 #: Minwise tokens of a set; functions that a root picks.
-TOKENS, ROOT = 96, 2
+TOKENS, ROOT = 128, 2
 #: Documents outside a node's main component up to which it ends, and documents of a block.
 LIMIT, BLOCK = 64, 256
 #: Documents of a large node that all its blocks are compared with.
@@ -55,7 +55,7 @@ PIVOTS = 4
 #: Depth of the first nodes, depth for which the number of trees is counted, and the last one.
 START, DEEP, DEPTH = 2, 6, 10
 #: Standard deviations by which a sketch may fall short of the limit.
-SURE = 5
+SURE = 4.5
 #: n-grams whose hash values are taken at once.
 SLICE = 1024
 
@@ -101,8 +101,8 @@ def least_matches(percent: int) -> int:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, rid, TAGS, n, dig, mins, sketch: size, digest and minwise tokens of each
-    text's set, and a byte of each token."""
+    """doc_id, rid, TAGS, n, dig, mins: size, digest and minwise tokens of each text's set. A
+    token is two bytes: the first ones of all tokens, which are the sketch, come first."""
     kept = ["doc_id", "rid", *TAGS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,30 +114,35 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                 n.append(len(h))
                 dig.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 mins[k] = tokens(h)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * TOKENS), pa.array(mins.view(np.int32).ravel()))
-            sketch = [row.tobytes() for row in mins.astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), lists, pa.array(sketch, pa.binary())], [*kept, "n", "dig", "mins", "sketch"])
+            both = [row.tobytes() for row in np.concatenate([mins, mins >> np.uint32(8)], 1).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(both, pa.binary())], [*kept, "n", "dig", "mins"])
 
     rows = documents(docs).select("*", F.monotonically_increasing_id().alias("rid"), *tags(F.col("text")))
-    return rows.mapInArrow(run, "doc_id long, rid long, tag_a long, tag_b int, n long, dig binary, mins array<int>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, rid long, tag_a long, tag_b int, n long, dig binary, mins binary")
 
 
 # ---- trees -----------------------------------------------------------------------
 
 
+def _child(node: Column, i: Column) -> Column:
+    """The child that a document goes to by function ``i``."""
+    first, second = (F.substring("mins", i + 1 + at, F.lit(1)) for at in (0, TOKENS))
+    return F.xxhash64(node, i, first, second)
+
+
 def children(rows: DataFrame, percent: int) -> DataFrame:
     """(node, rid, mins) of the next level, from rows of the same columns."""
     whole, more = branches(percent)
     first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
     step = 2 * F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS // 2)) + 1  # another function for the second
     number = whole + (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 20)) < F.lit(int(more * (1 << 20)))).cast("int")
-    child = F.transform(F.sequence(F.lit(0), number - 1), lambda k: F.xxhash64("node", F.pmod(first + k * step, F.lit(TOKENS)), F.get("mins", F.pmod(first + k * step, F.lit(TOKENS)).cast("int"))))
+    child = F.transform(F.sequence(F.lit(0), number - 1), lambda k: _child(F.col("node"), F.pmod(first + k * step, F.lit(TOKENS)).cast("int")))
     return rows.select(F.explode(child).alias("node"), "rid", "mins")
 
 
 def roots(reps: DataFrame, trees: range, percent: int, depth: int = START) -> DataFrame:
     """(node, rid) of the first nodes, at this depth."""
-    child = [F.xxhash64(F.lit(t), F.lit(i), F.col("mins")[i]) for t in trees for i in _ORDER[ROOT * t : ROOT * t + ROOT]]
+    child = [_child(F.lit(t), F.lit(i)) for t in trees for i in _ORDER[ROOT * t : ROOT * t + ROOT]]
     rows = reps.select(F.explode(F.array(*child)).alias("node"), "rid", "mins")
     for _ in range(depth - 1):
         rows = children(rows, percent)
@@ -152,8 +157,12 @@ def grown(live: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def mixed(live: DataFrame, comps: DataFrame | None) -> DataFrame:
     """node, rid, comp, main, size, strays of the nodes with more than one component: the
     one with most documents, all documents, and those outside it. Without ``comps`` each
-    document is one."""
-    rows = cut(live.join(comps, "rid").select("node", "rid", "comp"), "level") if comps is not None else live.withColumn("comp", F.col("rid"))
+    document is one. Most nodes have one document and are dropped before anything is joined."""
+    shared = cut(live.groupBy("node").count().where("count > 1").select("node"), "shared")
+    few = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
+    rows = live.join(few, "node", "left_semi")
+    rows = rows.withColumn("comp", F.col("rid")) if comps is None else rows.join(comps, "rid").select("node", "rid", "comp")
+    rows = cut(rows, "level")
     parts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("own"))
     nodes = parts.groupBy("node").agg(F.count(F.lit(1)).alias("parts"), F.sum("own").alias("size"), F.max("own").alias("most"), F.max_by("comp", "own").alias("main"))
     nodes = nodes.where("parts > 1").select("node", "main", "size", (F.col("size") - F.col("most")).alias("strays"))
@@ -252,7 +261,7 @@ def compared(groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         for table in whole_groups(batches):
             yield from alike(table, percent).to_batches()
 
-    rows = groups.join(reps.select("rid", "n", "sketch"), "rid").repartition("g").sortWithinPartitions("g", "rid")
+    rows = groups.join(reps.select("rid", "n", F.substring("mins", 1, TOKENS).alias("sketch")), "rid").repartition("g").sortWithinPartitions("g", "rid")
     return rows.select("g", "rid", "comp", "n", "sketch").mapInArrow(run, "g long, rid long, comp long").distinct()
 
 

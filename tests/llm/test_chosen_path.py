@@ -75,10 +75,11 @@ def test_trees_meet_pairs_at_the_limit(spark):
     rng = random.Random(4)
     rows = []
     for pair in range(300):
-        a = [rng.getrandbits(32) for _ in range(C.TOKENS)]
-        b = [v if rng.random() < 0.8 else rng.getrandbits(32) for v in a]
-        rows += [(2 * pair, [v - 2**31 for v in a]), (2 * pair + 1, [v - 2**31 for v in b])]
-    reps = spark.createDataFrame(rows, "rid long, mins array<int>").cache()
+        a = rng.randbytes(2 * C.TOKENS)
+        same = [rng.random() < 0.8 for _ in range(C.TOKENS)] * 2
+        b = bytes(x if s else x ^ 77 for x, s in zip(a, same, strict=True))
+        rows += [(2 * pair, bytearray(a)), (2 * pair + 1, bytearray(b))]
+    reps = spark.createDataFrame(rows, "rid long, mins binary").cache()
     assert C.roots(reps, range(3), 80, 1).count() == 600 * 3 * C.ROOT
     live = C.roots(reps, range(1), 80).cache()
     for depth in range(C.START, C.START + 3):
