@@ -52,6 +52,24 @@ def test_chat_branches(spark):
         chat_format.format_trees(loop)
 
 
+def test_chat_ties_long_texts_and_other_columns(spark):
+    long = "</s>[INST] " * 40_000
+    m = spark.createDataFrame([(1, i, p, "assistant" if p else "user", long if i == 1 else f"m{i}", 1.0) for i, p in [(1, None), (2, 1), (3, 1), (4, 2), (5, 3)]], "tree long, msg long, parent long, role string, text string, score double")
+    best = chat_format.best_branches(m, 3)
+    path = lambda b: [r.msg for r in best.where(F.col("branch") == b).orderBy(F.desc("up")).collect()]
+    assert path(1) == [1, 2, 4] and path(2) == [1, 3, 5] and path(3) == []  # of equal scores the smaller leaf
+    clashing = m.selectExpr("*", "'x' AS branch", "'x' AS leaf", "'x' AS up", "'x' AS formatted", "'x' AS loss", "'x' AS start", "'x' AS head")
+    out = chat_format.format_trees(clashing.select(m.columns), 1).withColumn("turns", chat_format.read_back(F.col("formatted")))
+    [row] = out.collect()
+    assert [t.text for t in row.turns] == [long, "m2", "m4"]
+
+
+def test_chat_of_an_empty_table(spark, tmp_path):
+    rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string, tree string, msg string")
+    rows.write.parquet(f"file://{tmp_path}/conversations.parquet")
+    assert [r.conv_id for r in chat_format.op1_chat_formatting(spark, f"file://{tmp_path}").collect()] == [-1]
+
+
 def test_chat_nulls_and_repeats(spark):
     df = spark.createDataFrame([(None, 1, "user", "a"), (None, None, None, None), (3, 1, "assistant", "x"), (3, 1, "assistant", "x")], "conv_id long, turn long, role string, text string")
     got = {r.tree.none: r for r in chat_format.format_trees(chat_format.as_tree(df)).collect()}
