@@ -49,11 +49,11 @@ from emrecon.llm.jaccard_join import Join, _hashes
 #: Minwise tokens of a set; functions that a root picks.
 TOKENS, ROOT = 128, 2
 #: Documents outside a node's main component up to which it ends, and documents of a block.
-LIMIT, BLOCK = 64, 256
+LIMIT, BLOCK = 512, 512
 #: Documents of a large node that all its blocks are compared with.
 PIVOTS = 4
 #: Depth of the first nodes, depth for which the number of trees is counted, and the last one.
-START, DEEP, DEPTH = 2, 6, 10
+START, DEEP, DEPTH = 3, 6, 10
 #: Standard deviations by which a sketch may fall short of the limit.
 SURE = 4.5
 #: n-grams whose hash values are taken at once.
