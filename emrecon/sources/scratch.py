@@ -44,14 +44,16 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, *order: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str | list[str], buckets: int, *order: str, dealt: bool = False) -> DataFrame:
     """A written table of ``df`` in the shared folder, bucketed by ``key`` and sorted in each
-    bucket by it and by ``order``: joins and sums by the key need no exchange."""
+    bucket by it and by ``order``: joins and sums by the key need no exchange. ``dealt``: the
+    rows lie in as many partitions by the key already."""
     spark = df.sparkSession
-    path = new_path(spark, f"bucketed_by_{key}")
+    keys = [key] if isinstance(key, str) else key
+    path = new_path(spark, f"bucketed_by_{'_'.join(keys)}")
     name = f"emrecon_{path.rpartition('-')[2]}"
-    rows = df.repartition(buckets, key)
-    rows.write.bucketBy(buckets, key).sortBy(key, *order).option("path", path).format("parquet").saveAsTable(name)
+    rows = df if dealt else df.repartition(buckets, *keys)
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys, *order).option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 

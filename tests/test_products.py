@@ -133,3 +133,26 @@ def test_packed_transposition(spark, small, in_block):
     assert len(parts) <= 3 * 8 and sum(len(r.rows) for r in parts) == a.count()  # no row for each element
     none = transpose.csr_arrays(a.where("false"), y)
     assert rows(transpose.transpose_packed(none, columns)) == [(c, 0, [], []) for c in range(70)]
+
+
+def test_thin_matrix_needs_few_records_and_entries(spark):
+    """Tiles of a thin matrix are wide: neither records times segments nor entries asked for
+    outgrow the elements, and the records are not exchanged."""
+    rng = np.random.default_rng(5)
+    cells = [(int(r), int(c), float(v)) for r, c, v in zip(rng.integers(0, 6000, 5000), rng.integers(0, 3000, 5000), rng.integers(1, 5, 5000), strict=True)]
+    a = spark.createDataFrame(cells, "r long, c long, v double").cache()
+    y, columns = spark.range(6000).selectExpr("id AS r", "cast(id % 9 AS int) AS y"), spark.range(3000).selectExpr("id AS c")
+    own = tiles.tiled(a, 64, 64)
+    assert own.count() * 64 <= 4 * a.count()
+    laid = tiles.laid_out(a, 64, 64)
+    assert laid.needs.selectExpr("sum(size(places))").first()[0] <= a.count()
+    image = columns.select("c", F.lit(1.0).alias("x"))
+    assert sum("parquet" in x for x in exchanged(tiles.forward(laid, image))) == 0
+    close(values(tiles.mlem_tiled(a, y, columns, 2, 64, 64)), values(mlem.mlem(a, y, columns, 2)))
+
+
+def test_hot_segments_answer_in_parts(spark, small, monkeypatch):
+    monkeypatch.setattr(tiles, "ASKED", 8)
+    a, y, columns = small
+    assert tiles.laid_out(a, 16, 40).hot.count() >= 1
+    close(values(tiles.mlem_tiled(a, y, columns, 2, 16, 40)), values(mlem.mlem(a, y, columns, 2)))
