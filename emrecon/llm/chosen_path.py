@@ -17,7 +17,8 @@ blocks, each compared in itself and with a few pivots of the node, which connect
 dense, and then branched on. Blocks are of bounded size, whatever a node has; a node of the
 last level ends in pairs of blocks, all of its documents outside the main component against
 all. Comparisons are of sketches, a byte of each token; what passes is confirmed on the full
-sets, which are made again from the texts of the few documents in question. The first nodes
+sets, which are made again from the texts of the few documents in question and sent once to
+what groups of alike documents overlap. The first nodes
 of one tree go alone, so that the trees, which are grown then, meet most groups of copies as
 one component.
 
@@ -56,6 +57,8 @@ PIVOTS = 4
 START, DEEP, DEPTH = 3, 6, 10
 #: Standard deviations by which a sketch may fall short of the limit.
 SURE = 4.5
+#: Groups of a document, in the mean, above which overlapping groups are made one.
+OFTEN = 2
 #: n-grams whose hash values are taken at once.
 SLICE = 1024
 
@@ -265,6 +268,17 @@ def compared(groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return rows.select("g", "rid", "comp", "n", "sketch").mapInArrow(run, "g long, rid long, comp long").distinct()
 
 
+def overlapping(groups: DataFrame) -> DataFrame:
+    """``groups`` with those that share members made one, which has all of their pairs and
+    each member once, if it has ``LIMIT`` members at most; others stay as they are. Documents
+    alike but not linked meet in most trees, each time in a group of somewhat other members."""
+    heads = groups.groupBy("g").agg(F.min("rid").alias("a"))
+    whole = connected(groups.join(heads, "g").select("a", F.col("rid").alias("b")))
+    fits = whole.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") <= LIMIT).select("comp")
+    named = whole.join(fits, "comp").select(F.col("node").alias("rid"), F.col("comp").alias("whole"))
+    return groups.join(named, "rid", "left").select(F.coalesce("whole", "g").alias("g"), "rid", "comp").distinct()
+
+
 def full_sets(docs: DataFrame, members: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     """(rid, grams) of ``members`` (rid): their sets, made from the texts. Rows are found by
     doc_id and the text's tags; of repeated rows a task takes one."""
@@ -333,7 +347,10 @@ def path_components(docs: DataFrame, reps: DataFrame, words: int, percent: int,
             large = rows.where(~ends)
             groups = cut(compared(ended(rows.where(ends)).unionByName(dealt(large)), able, percent), "alike")
             if not groups.isEmpty():
-                sets = cut(full_sets(docs, groups.select("rid").distinct(), able, words), "full_sets")
+                members = cut(groups.select("rid").distinct(), "in_groups")
+                if groups.count() > OFTEN * members.count():
+                    groups = cut(overlapping(groups), "merged_groups")
+                sets = cut(full_sets(docs, members, able, words), "full_sets")
                 links = cut(confirmed(groups, sets, percent), "confirmed")
                 moved = connected(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
                 comps = cut(comps.join(moved, "comp", "left").select("rid", F.coalesce("to", "comp").alias("comp")), "comps")

@@ -131,3 +131,17 @@ def test_rows_without_ids_are_linear(docs_of):
     sets = C.sketched(docs_of(rows), 2).cache()
     reps = sets.dropDuplicates(["dig"]).cache()
     assert C.full_sets(docs_of(rows), reps.select("rid"), reps, 2).count() <= 121 + 4
+
+
+def test_overlapping_groups_are_sent_once(spark, docs_of, monkeypatch):
+    rows = [(g, rid, 100 + rid) for g, members in ((1, (1, 2)), (2, (2, 3)), (3, (1, 3)), (4, (9, 10)), (5, (4, 5)), (6, (5, 6, 7))) for rid in members]
+    groups = spark.createDataFrame(rows, "g long, rid long, comp long")
+    monkeypatch.setattr(C, "LIMIT", 3)
+    got = C.overlapping(groups).collect()
+    assert len(got) == 3 + 2 + 5 and all(r.comp == 100 + r.rid for r in got)
+    named = {frozenset(r.rid for r in got if r.g == g) for g in {r.g for r in got}}
+    assert named == {frozenset(m) for m in ((1, 2, 3), (9, 10), (4, 5), (5, 6, 7))}  # the last two would be four together
+    monkeypatch.setattr(C, "OFTEN", 0)
+    monkeypatch.setattr(C, "LIMIT", 16)
+    rows = corpus(31)
+    assert result(C.near_duplicates(docs_of(rows), 2, 80, 0.999999)) == brute(rows, 2, 80)
