@@ -161,16 +161,25 @@ def with_partners(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     return cut(sets.join(few, F.col("rid") == F.col("node")).select("node", "n", "first"), "prefixes")
 
 
+def met(grams: DataFrame, shared: DataFrame) -> DataFrame:
+    """node, n, df, h, size: the n-grams of ``grams`` (node, n, size, h) that ``shared`` (h,
+    size, nodes) has in their class of size or the one below; df is the same for all sets. An
+    n-gram has few classes, so they are gathered, and each n-gram of a node is shuffled once."""
+    order = shared.groupBy("h").agg(F.sum("nodes").alias("df"), F.collect_list("size").alias("sizes"))
+    own = F.array_intersect(F.array("size", F.col("size") - 1), "sizes")
+    return grams.join(order, "h").select("node", "n", "df", "h", F.explode(own).alias("size"))
+
+
 def prefix_keys(left: DataFrame, percent: int) -> DataFrame:
     """node, h, size: linked nodes of ``with_partners`` have a key (h, size) in common.
     Linked sets lie in the same class of size or in neighbouring ones (a little wider than
     the limit), so only n-grams that are shared there count; a node needs as many as before,
     and of these all but the most frequent become keys."""
     size = F.floor(F.log(F.col("n")) / F.lit(1.0001 * math.log(100 / percent)))
-    grams = left.select("node", "n", F.explode(F.array(size, size - 1)).alias("size"), "first").select("node", "n", "size", F.explode("first").alias("h"))
-    shared = cut(grams.groupBy("h", "size").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "shared")
-    order = shared.groupBy("h").agg(F.sum("nodes").alias("df"))  # the same for all sets
-    found = grams.join(shared.join(order, "h").drop("nodes"), ["h", "size"]).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", "size"))).alias("all"))
+    grams = left.select("node", "n", size.alias("size"), F.explode("first").alias("h"))
+    both = grams.select("h", F.explode(F.array("size", F.col("size") - 1)).alias("size"))
+    shared = cut(both.groupBy("h", "size").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "shared")
+    found = met(grams, shared).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", "size"))).alias("all"))
     common = F.array_distinct(F.expr("transform(all, x -> x.h)"))
     found = found.withColumn("picked", F.slice(common, F.lit(1), F.greatest(F.size(common) - _shared(percent) + 1, F.lit(0))))
     keys = found.select("node", F.explode(F.expr("filter(all, x -> array_contains(picked, x.h))")).alias("k"))

@@ -257,3 +257,12 @@ def test_trees_prune_on_documents(spark):
             j.traverse(root, root)
             visited, pruned = visited + j.visited, pruned + j.pruned
     assert 0 < pruned < visited
+
+
+def test_shared_ngrams_by_class_of_size(spark):
+    from emrecon.llm.jaccard_join import met
+
+    grams = spark.createDataFrame([(1, 50, 7, 11), (2, 55, 8, 11), (3, 70, 9, 11), (3, 70, 9, 12)], "node long, n long, size long, h long")
+    shared = spark.createDataFrame([(11, 7, 2), (11, 8, 2), (13, 9, 5)], "h long, size long, nodes long")
+    got = met(grams, shared)
+    assert sorted(map(tuple, got.collect())) == [(1, 50, 4, 11, 7), (2, 55, 4, 11, 7), (2, 55, 4, 11, 8), (3, 70, 4, 11, 8)]
