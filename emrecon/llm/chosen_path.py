@@ -18,7 +18,8 @@ dense, and then branched on. Blocks are of bounded size, whatever a node has; a
 last level ends in pairs of blocks, all of its documents outside the main component against
 all. Comparisons are of sketches, a byte of each token; what passes is confirmed on the full
 sets, which are made again from the texts of the few documents in question and sent once to
-what groups of alike documents overlap. The first nodes
+what groups of alike documents overlap. Documents lie bucketed by their row number, so a level
+moves what it compares and no others' tokens, however many levels there are. The first nodes
 of one tree go alone, so that the trees, which are grown then, meet most groups of copies as
 one component.
 
@@ -42,10 +43,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from emrecon.llm.common import BROADCAST_IDS, TAGS, attach, cut, documents, tags
+from emrecon.llm.common import BROADCAST_IDS, TAGS, attach, buckets_for, cut, documents, tags
 from emrecon.llm.components import connected
 from emrecon.llm.jaccard_join import Join, _hashes
+from emrecon.sources.scratch import bucketed
 
 #: Minwise tokens of a set; functions that a root picks.
 TOKENS, ROOT = 128, 2
@@ -61,6 +64,8 @@ SURE = 4.5
 OFTEN = 2
 #: n-grams whose hash values are taken at once.
 SLICE = 1024
+#: Documents of a bucket of the representatives, about, where a shuffle has no more partitions.
+IN_BUCKET = 250_000
 
 _random = random.Random(20)
 _XOR = np.array([_random.getrandbits(32) for _ in range(TOKENS)], np.uint32)[:, None]
@@ -124,6 +129,14 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, rid long, tag_a long, tag_b int, n long, dig binary, mins binary")
 
 
+def representatives(sets: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """The rows of ``sets`` that stand for ``groups`` (node), bucketed by rid: they are moved
+    here, and no join by rid moves them again."""
+    buckets = buckets_for(total, IN_BUCKET, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = sets.repartition(buckets, "rid").join(groups.select(F.col("node").alias("rid")), "rid")
+    return bucketed(own.select(sets.columns), "rid", buckets, dealt=True)
+
+
 # ---- trees -----------------------------------------------------------------------
 
 
@@ -280,8 +293,9 @@ def overlapping(groups: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, members: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(rid, grams) of ``members`` (rid): their sets, made from the texts. Rows are found by
-    doc_id and the text's tags; of repeated rows a task takes one."""
+    """``members`` (rid and other columns) and grams: their sets, made from the texts. Rows are
+    found by doc_id and the text's tags; of repeated rows a task takes one."""
+    kept = members.columns
     keys = reps.select("rid", "dig", F.col("doc_id").alias("id"), *(F.col(t).alias(f"own_{t}") for t in TAGS)).join(members, "rid")
     keys = cut(keys, "wanted")
     wanted = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
@@ -291,21 +305,29 @@ def full_sets(docs: DataFrame, members: DataFrame, reps: DataFrame, words: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _hashes(), set()
         for batch in batches:
-            ids, grams = [], []
-            for rid, dig, text in zip(batch.column("rid").to_pylist(), batch.column("dig").to_pylist(), batch.column("text"), strict=True):
+            at, grams = [], []
+            for k, (rid, dig, text) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("dig").to_pylist(), batch.column("text"), strict=True)):
                 if rid not in seen:
                     raw = hashes(text.as_py(), words).tobytes()
                     if hashlib.blake2b(raw, digest_size=16).digest() == dig:
                         seen.add(rid)
-                        ids.append(rid)
+                        at.append(k)
                         grams.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.binary())], ["rid", "grams"])
+            places = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(places) for c in kept), pa.array(grams, pa.binary())], [*kept, "grams"])
+
+    return rows.select(*kept, "dig", "text").mapInArrow(run, StructType([*members.schema.fields, StructField("grams", BinaryType())]))
+
 
-    return rows.select("rid", "dig", "text").mapInArrow(run, "rid long, grams binary")
+def sent(groups: DataFrame, docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(g, rid, comp, grams): the groups with the full sets of their members. A member knows its
+    groups before its set is made, so the set goes to them at once."""
+    members = groups.groupBy("rid").agg(F.collect_list(F.struct("g", "comp")).alias("groups"))
+    return full_sets(docs, members, reps, words).select("rid", "grams", F.inline("groups")).select("g", "rid", "comp", "grams")
 
 
-def confirmed(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between components, by the full sets of the groups' members."""
+def confirmed(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components, by the full sets in ``groups`` (g, rid, comp, grams)."""
 
     def links(table: pa.Table) -> list[tuple[int, int]]:
         rows = dict(zip(table.column("rid").to_pylist(), zip(table.column("comp").to_pylist(), table.column("grams").to_pylist(), strict=True), strict=True))
@@ -325,8 +347,7 @@ def confirmed(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             found = [pair for lo, hi in zip([0, *ends[:-1]], ends, strict=True) for pair in links(table.slice(lo, hi - lo))]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    rows = groups.join(sets, "rid").repartition("g").sortWithinPartitions("g", "rid")
-    return rows.select("g", "rid", "comp", "grams").mapInArrow(run, "a long, b long").distinct()
+    return groups.repartition("g").sortWithinPartitions("g", "rid").mapInArrow(run, "a long, b long").distinct()
 
 
 # ---- components ------------------------------------------------------------------
@@ -347,11 +368,9 @@ def path_components(docs: DataFrame, reps: DataFrame, words: int, percent: int,
             large = rows.where(~ends)
             groups = cut(compared(ended(rows.where(ends)).unionByName(dealt(large)), able, percent), "alike")
             if not groups.isEmpty():
-                members = cut(groups.select("rid").distinct(), "in_groups")
-                if groups.count() > OFTEN * members.count():
+                if groups.count() > OFTEN * groups.select("rid").distinct().count():
                     groups = cut(overlapping(groups), "merged_groups")
-                sets = cut(full_sets(docs, members, able, words), "full_sets")
-                links = cut(confirmed(groups, sets, percent), "confirmed")
+                links = cut(confirmed(sent(groups, docs, able, words), percent), "confirmed")
                 moved = connected(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
                 comps = cut(comps.join(moved, "comp", "left").select("rid", F.coalesce("to", "comp").alias("comp")), "comps")
             done = first or depth == DEPTH or large.isEmpty()
@@ -368,7 +387,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     total = sets.count()
     groups = sets.where("n > 0").groupBy("dig").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     groups = cut(groups, "groups")
-    reps = cut(sets.join(groups.select("node"), F.col("rid") == F.col("node")).drop("node"), "reps")
+    reps = representatives(sets, groups, total)
     found = path_components(docs, reps, words, percent, recall) if percent < 100 else reps.select("rid", F.col("rid").alias("comp"))
     joined = groups.join(found, F.col("node") == F.col("rid"))
     least = joined.groupBy("comp").agg(F.min("first_id").alias("component_id"))

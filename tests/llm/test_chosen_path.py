@@ -133,6 +133,27 @@ def test_rows_without_ids_are_linear(docs_of):
     assert C.full_sets(docs_of(rows), reps.select("rid"), reps, 2).count() <= 121 + 4
 
 
+def test_no_level_moves_the_tokens_of_all(spark, docs_of):
+    """Only groups and nodes are exchanged by rid; full sets go from the texts to their groups."""
+    docs = docs_of(corpus(5))
+    sets = C.sketched(docs, 2).cache()
+    reps = C.representatives(sets, sets.where("n > 0").groupBy("dig").agg(F.min("rid").alias("node")), 10)
+    groups = reps.selectExpr("rid % 7 AS g", "rid", "rid AS comp").unionByName(reps.selectExpr("rid % 5 + 100 AS g", "rid", "rid AS comp")).cache()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = C.sent(groups, docs, reps, 2)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (C.compared(groups, reps, 80), C.grown(groups.selectExpr("g AS node", "rid"), reps, 80), rows.repartition("g"))]
+        assert {(r.g, r.rid) for r in rows.collect()} == {(r.g, r.rid) for r in groups.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [p.count("Exchange hashpartitioning(rid") for p in plans[:2]] == [1, 1]
+    # the sets' plan reads the written keys of the members, so their one exchange is by g
+    assert [plans[2].count(f"Exchange hashpartitioning({k}") for k in ("rid", "g")] == [0, 1]
+
+
 def test_overlapping_groups_are_sent_once(spark, docs_of, monkeypatch):
     rows = [(g, rid, 100 + rid) for g, members in ((1, (1, 2)), (2, (2, 3)), (3, (1, 3)), (4, (9, 10)), (5, (4, 5)), (6, (5, 6, 7))) for rid in members]
     groups = spark.createDataFrame(rows, "g long, rid long, comp long")
