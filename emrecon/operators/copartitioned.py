@@ -7,7 +7,9 @@ one per task and key of the result, are shuffled.
 
 A row or column with more than a part's elements would make one large bucket. The elements
 of these lie apart, dealt evenly; there can be no more such keys than the matrix has parts,
-so their few vector entries are broadcast to them."""
+so their few vector entries are broadcast to them. They are looked for among the keys of full
+hash slots only, and column sums are taken from the copy by column, so that the elements are
+exchanged once for each copy and not for any sum before the loop."""
 
 from __future__ import annotations
 
@@ -32,12 +34,28 @@ class Copy:
     buckets: int
 
 
+#: Hash slots of the keys for each bucket: so a slot has far fewer elements than a part, in the mean.
+SLOTS = 64
+
+
+def long_keys(a: DataFrame, key: str, most: int, slots: int) -> DataFrame | None:
+    """(``key``) of the keys with more than ``most`` elements, None if there are none. Their
+    slots have as many, so keys of other slots need no count of their own."""
+    slot = F.pmod(F.xxhash64(key), F.lit(slots)).alias("slot")
+    full = cut(a.groupBy(slot).count().where(F.col("count") > most).select("slot"), "full_slots")
+    if full.isEmpty():
+        return None
+    some = a.select(key, slot).join(F.broadcast(full), "slot", "left_semi")
+    keys = cut(some.groupBy(key).count().where(F.col("count") > most).select(key), "long_keys")
+    return None if keys.isEmpty() else keys
+
+
 def copy_by(a: DataFrame, key: str, other: str, buckets: int | None = None, most: int | None = None) -> Copy:
     """``most``: elements of a key above which they lie apart."""
     most, buckets = most or IN_PART, buckets or parts_for(a)
     a = a.select("r", "c", F.col("v").cast("double").alias("v"))
-    keys = cut(a.groupBy(key).count().where(F.col("count") > most).select(key), "long_keys")
-    if keys.isEmpty():
+    keys = long_keys(a, key, most, SLOTS * buckets)
+    if keys is None:
         return Copy(key, bucketed(a, key, buckets, other), None, None, buckets)
     plain = a.join(F.broadcast(keys), key, "left_anti")
     long = cut(a.join(F.broadcast(keys), key).repartition(buckets, key, other), "long")
@@ -53,6 +71,13 @@ def product(copy: Copy, vector: DataFrame, value: str, to: str, out: str) -> Dat
     return terms.groupBy(to).agg(F.sum("p").alias(out))
 
 
+def column_sums(by_column: Copy, columns: DataFrame) -> DataFrame:
+    """(c, n) for each column of the domain, as ``mlem.column_sums`` gives it."""
+    parts = [x.groupBy("c").agg(F.sum("v").alias("n")) for x in (by_column.plain, by_column.long) if x is not None]
+    sums = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])  # no column is in both
+    return columns.select("c").join(sums, "c", "left").select("c", F.coalesce("n", F.lit(0.0)).alias("n"))
+
+
 def forward(by_column: Copy, image: DataFrame) -> DataFrame:
     """(r, fw) for each row with an element; the image is bucketed by c."""
     return product(by_column, image, "x", "r", "fw")
@@ -68,10 +93,11 @@ def mlem_copartitioned(a: DataFrame, y: DataFrame, columns: DataFrame, iteration
     on the way only the last are kept."""
     if iterations < 0:
         raise ValueError("iterations cannot be negative")
+    buckets = buckets or parts_for(a)
     by_row = copy_by(a, "r", "c", buckets, most)
     by_column = copy_by(a, "c", "r", buckets, most)
     counts = bucketed(y.select("r", F.col("y").cast("double").alias("y")), "r", by_row.buckets)
-    norm = bucketed(mlem.column_sums(a, columns), "c", by_column.buckets)
+    norm = bucketed(column_sums(by_column, columns), "c", by_column.buckets)
     image = bucketed(mlem.start_image(norm, y), "c", by_column.buckets)
     for i in range(iterations):
         cor = bucketed(mlem.correlation(counts, forward(by_column, image)), "r", by_row.buckets)

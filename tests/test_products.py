@@ -65,6 +65,26 @@ def test_the_matrix_is_not_exchanged(spark, small, most, monkeypatch):
         assert below and all(re.match(r"HashAggregate\(.*partial_sum", x) for x in below), below
 
 
+@pytest.mark.parametrize("most", [None, 100])
+def test_sums_before_the_loop_do_not_exchange_elements(small, most):
+    a, _, columns = small
+    by_column = copartitioned.copy_by(a, "c", "r", 8, most)
+    sums = copartitioned.column_sums(by_column, columns)
+    # the long elements lie dealt, and each task sums them up before the exchange
+    assert all(re.match(r"HashAggregate\(.*partial_sum", x) for x in exchanged(sums)) and len(exchanged(sums)) == (0 if most is None else 1)
+    assert {r.c: r.n for r in sums.collect()} == {r.c: r.n for r in mlem.column_sums(a, columns).collect()}
+
+
+@pytest.mark.parametrize("slots", [1, 3, 1000])
+def test_long_keys(small, slots):
+    a = small[0]
+    for key in "rc":
+        counts = {x[key]: x["count"] for x in a.groupBy(key).count().collect()}
+        for most in (0, 12, 100, 10_000):
+            found = copartitioned.long_keys(a, key, most, slots)
+            assert sorted([] if found is None else (x[key] for x in found.collect())) == sorted(k for k, n in counts.items() if n > most)
+
+
 @pytest.mark.parametrize(("edge", "record"), [(16, 40), (1 << 10, 1 << 20), (7, 1)])
 def test_tiles(spark, small, edge, record):
     a, y, columns = small
