@@ -1,12 +1,15 @@
 """N-gram Jaccard self-join with signature trees, and the components of its links.
 
 Documents are sets of hashed word n-grams; documents with equal sets are one node. A tree
-of signatures stands over all nodes. Its root parts them to clusters by exact keys: under
-one order of all n-grams, linked sets share at least r of the first p + r - 1, where p is
-how many a set can lack of a partner and one more. A node that shares fewer of these with
-any other of like size has no partner and is dropped, which most are; of the others all
-but the r - 1 most frequent of what they share tie nodes to clusters. Every link lies
-within a cluster.
+of signatures stands over all nodes. Its root parts them to clusters by exact keys, so that
+every link lies within a cluster. From a limit of ``BY_PARTS`` on, the hashes of a class of
+size are parted into more ranges than two linked sets can differ by n-grams, so both have
+some range in common as a whole, and the sums of their ranges are the keys: several n-grams
+each, which unrelated documents hardly ever share, however many there are. Below it, keys
+are n-grams: under one order of all, linked sets share at least r of the first p + r - 1,
+where p is how many a set can lack of a partner and one more. A node that shares fewer of
+these with any other of like size has no partner and is dropped, which most are; of the
+others all but the r - 1 most frequent of what they share tie nodes to clusters.
 
 Below, a cluster's nodes lie in order of size and least n-gram. A leaf
 has ``LEAF`` of them, in twigs of a ``FAN``-th each, and ``FAN`` nodes of a level share a parent. Each holds the OR of its sets' bitmaps, the range
@@ -31,9 +34,11 @@ gives no rows; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,12 +50,20 @@ from pyspark.sql import Window as W
 
 from emrecon.llm.common import BROADCAST_IDS, TAGS, attach, buckets_for, cut, documents, held, only_marked, ranked, tags
 from emrecon.llm.components import connected
+from emrecon.sources.scratch import forget
 
 #: Sets that are joined with each other at once, and nodes below a node of the levels above.
 LEAF, FAN = 64, 8
 #: How much longer than need be a prefix is: half of what a set can lack of a partner, or a
 #: third of the set while that is few n-grams, so that a line in common is not enough.
 HALF, THIRD, FEW = 2, 3, 16
+#: Limit in percent from which sets are tied by ranges of hashes. Below, ranges would hold too few n-grams.
+BY_PARTS = 90
+#: Largest size of a class over its smallest; n-grams of a range that is no key of its own;
+#: ranges for one that may be such.
+RATIO, WEAK, SPARE = 1.5, 1, 10
+#: Single numbers that are broadcast at once at most to find their rows.
+BROADCAST_KEYS = 4_000_000
 #: Nodes that a task joins at once, in whole clusters.
 BLOCK = 512
 #: Members of a cluster that all its leaves are compared with.
@@ -126,26 +139,107 @@ def _shared(percent: int) -> Column:
     return F.least(m, _surplus(m, percent)).cast("int")
 
 
+class Parts:
+    """Keys of sets by ranges of hashes: linked sets have one in common at least.
+
+    A set has the keys of its class of size, and of the one below if a partner can lie there.
+    A class has 1 + ``spare`` ranges more than its linked sets can differ by n-grams, so as
+    many are the same in both. Ranges of more than ``WEAK`` n-grams are keys. A set with more
+    than ``spare`` others has its first n-grams as keys too, as many as it can lack of a
+    partner and one more: if all ranges that two sets share are weak, both have these."""
+
+    def __init__(self, percent: int):
+        self.percent, low = percent, 1
+        self.lows, self.ranges, self.spares = [], [], []
+        while low < 2**31:
+            end = max(low + 1, math.ceil(low * max(RATIO, 100 / percent)) + 1)
+            apart = (end - 1 + 100 * (end - 1) // percent) * (100 - percent) // (100 + percent)
+            self.lows.append(low)
+            self.spares.append((apart + 1) // SPARE)
+            self.ranges.append(apart + 1 + self.spares[-1] if apart else 0)
+            low = end
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        n = len(h)
+        at = bisect.bisect_right(self.lows, n) - 1
+        least = least_overlap(n, self.percent)
+        own = [at, at - 1] if at and least < self.lows[at] else [at]
+        return np.concatenate([np.zeros(0, np.uint64), *(self.keys(h, c, n - least + 1) for c in own if n and self.ranges[c])])
+
+    def keys(self, h: np.ndarray, c: int, first: int) -> np.ndarray:
+        place = (h >> np.uint64(32)) * np.uint64(self.ranges[c]) >> np.uint64(32)
+        begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        strong = np.diff(begins, append=len(h)) > WEAK
+        found = np.add.reduceat(h, begins)[strong]
+        if self.ranges[c] - len(found) > self.spares[c]:
+            found = np.concatenate([found, ~h[:first]])
+        found = (found ^ np.uint64(c + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (found ^ (found >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def sketch_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, rid, TAGS, n, dig, first: size and digest of each text's set, and the n-grams with
-    the smallest hashes, as many as its prefix has."""
+    """doc_id, rid, TAGS, n, dig, low, first, near: size and digest of each text's set, its least
+    n-gram, and the n-grams with the smallest hashes, as many as its prefix has; or the
+    keys by parts, each in the first document of a batch that has it, others having that
+    document's rid in ``near``, so that a key occurs once a batch however frequent it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _hashes()
+        hashes, parts = _hashes(), Parts(percent) if percent >= BY_PARTS else None
         for batch in batches:
-            n, dig, first = [], [], []
+            n, dig, low, first = [], [], [], []
+            seen: set[bytes] = set()
             for text in batch.column("text"):
                 h = hashes(text.as_py(), words)
                 n.append(len(h))
                 dig.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                first.append(h[: prefix_length(len(h), percent)].view(np.int64))
-            ends = pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), lists], [*kept, "n", "dig", "first"])
+                low.append(int(h[:1].view(np.int64)[0]) if len(h) else None)
+                if parts is None:
+                    first.append(h[: prefix_length(len(h), percent)].view(np.int64))
+                else:
+                    first.append((parts(h) & ROUND).view(np.int64) if dig[-1] not in seen else np.zeros(0, np.int64))
+                    seen.add(dig[-1])
+            near = [np.zeros(0, np.int64)] * len(n)
+            if parts is not None:
+                first, near = once(first, batch.column("rid").to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(low, pa.int64()), _lists(first), _lists(near)], [*kept, "n", "dig", "low", "first", "near"])
 
     kept = ["doc_id", "rid", *TAGS]
     rows = documents(docs).select("*", F.monotonically_increasing_id().alias("rid"), *tags(F.col("text")))
-    return rows.mapInArrow(run, "doc_id long, rid long, tag_a long, tag_b int, n long, dig binary, first array<long>")
+    return rows.mapInArrow(run, "doc_id long, rid long, tag_a long, tag_b int, n long, dig binary, low long, first array<long>, near array<long>")
+
+
+#: Bits of a key that are kept. Equal keys only make candidates, and shorter ones less to shuffle.
+ROUND = np.uint64(0xFFFFFFFFFFFF0000)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
+def once(keys: list[np.ndarray], rids: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The keys of each row that no row before has, and the rids of the rows that were the
+    first to have the others."""
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    flat = np.concatenate([np.zeros(0, np.int64), *keys])
+    _, at, which = np.unique(flat, return_index=True, return_inverse=True)
+    head = row[at][which]
+    own, ends = head == row, np.arange(1, len(keys))
+    ties = np.unique(row[~own] * len(keys) + head[~own])
+    by, to = np.divmod(ties, max(1, len(keys)))
+    return np.split(flat[own], np.searchsorted(row[own], ends))[: len(keys)], np.split(rids[to], np.searchsorted(by, ends))[: len(keys)]
+
+
+def tied_by_parts(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes that tie together all that have a key by parts in common. Keys
+    are shuffled once. Copies of a node's set count as the node."""
+    keys = sets.select(F.explode("first").alias("h"), "rid")
+    ties = keys.select("rid", F.min("rid").over(W.partitionBy("h")).alias("to")).where("rid <> to")
+    ties = cut(ties.unionByName(sets.select("rid", F.explode("near").alias("to"))).distinct(), "ties")
+    copies = sets.select("dig", "rid").join(groups.where("copies > 1").select("dig", "node"), "dig").where("rid <> node").select("rid", "node")
+    for c in ("rid", "to"):
+        ties = ties.join(copies.select(F.col("rid").alias(c), F.col("node").alias(f"{c}_node")), c, "left").withColumn(c, F.coalesce(f"{c}_node", c)).drop(f"{c}_node")
+    return ties.where("rid <> to").select(F.col("to").alias("a"), F.col("rid").alias("b"))
 
 
 def with_partners(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -157,7 +251,7 @@ def with_partners(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     length = F.least(F.col("n"), F.col("n") - _least_overlap(F.col("n"), percent) + _surplus(F.col("n"), percent))
     left = groups.join(alone, ["node", "copies"], "left").where(length - F.coalesce("alone", F.lit(0)) >= _shared(percent))
     left = cut(left.select("node"), "left")
-    few = F.broadcast(left) if left.count() <= BROADCAST_IDS else left
+    few = F.broadcast(left) if left.count() <= BROADCAST_KEYS else left
     return cut(sets.join(few, F.col("rid") == F.col("node")).select("node", "n", "first"), "prefixes")
 
 
@@ -325,14 +419,48 @@ def join_visitors(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 # ---- clusters --------------------------------------------------------------------
 
 
-def gram_table(docs: DataFrame, members: DataFrame, count: int, words: int) -> DataFrame:
-    """``members`` (rid, doc_id, TAGS, dig, cluster, block, place, leaf, large; ``count`` rows) with n, their n-grams' hashes and a bitmap.
-    Members are found by doc_id and their text's tags; of repeated rows a task takes one."""
+def members_texts(docs: DataFrame, members: DataFrame, count: int) -> DataFrame:
+    """``members`` (``count`` rows) with their texts, found by doc_id and the text's tags;
+    repeated rows come repeatedly. Where members are too many for a broadcast, a number made
+    of id and tags is broadcast first, in turns, so that no other texts are shuffled."""
     wanted = members.withColumnsRenamed({"doc_id": "id"} | {t: f"own_{t}" for t in TAGS})
+    rows = documents(docs)
     if count <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
+    else:
+        turns, whole = -(-count // BROADCAST_KEYS), rows.withColumn("key", F.xxhash64("doc_id", *tags(F.col("text"))))
+        keys = members.select(F.xxhash64("doc_id", *TAGS).alias("key")).distinct()
+        found = [whole.join(F.broadcast(keys.where(F.pmod("key", F.lit(turns)) == k)), "key", "left_semi") for k in range(turns)]
+        rows = reduce(DataFrame.unionByName, found).drop("key")
     same = [t == F.col(f"own_{name}") for t, name in zip(tags(F.col("text")), TAGS, strict=True)]
-    rows = documents(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & same[0] & same[1])
+    return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & same[0] & same[1])
+
+
+def once_a_task(rows: DataFrame) -> DataFrame:
+    """rid, dig, cluster, block, text of ``rows``, repeated ones once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            keys = [(rid, hash(text)) for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            mine = [key not in seen and not seen.add(key) for key in keys]
+            yield batch.filter(pa.array(mine, pa.bool_()))
+
+    return rows.select("rid", "dig", "cluster", "block", "text").mapInArrow(run, "rid long, dig binary, cluster long, block long, text string")
+
+
+def join_texts(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
+    """(rid, comp) of a block of small clusters, whose sets are made of their texts."""
+    hashes = _hashes()
+    pdf = pdf.assign(grams=[hashes(t, words).tobytes() for t in pdf["text"]], leaf=0, large=False, pivot=False, visits=False)
+    right = [hashlib.blake2b(g, digest_size=16).digest() == d for g, d in zip(pdf["grams"], pdf["dig"], strict=True)]
+    return join_within(pdf[right], percent)[["rid", "comp"]]
+
+
+def gram_table(docs: DataFrame, members: DataFrame, count: int, words: int) -> DataFrame:
+    """``members`` (rid, doc_id, TAGS, dig, cluster, block, place, leaf, large; ``count`` rows) with n, their n-grams' hashes and a bitmap.
+    Of repeated rows a task takes one."""
+    rows = members_texts(docs, members, count)
     kept = ["rid", "dig", "cluster", "block", "place", "leaf", "large"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,24 +506,25 @@ def cluster_components(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, w
     placed = small.unionByName(large.select(small.columns)).withColumn("leaf", F.floor(F.col("place") / LEAF).cast("long"))
     block = F.when(F.col("members") > LEAF, F.xxhash64("cluster", "leaf")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets_for(total, BLOCK))))
     members = placed.select("rid", "doc_id", *TAGS, "dig", "cluster", block.alias("block"), "place", "leaf", (F.col("members") > LEAF).alias("large"))
-    grams = cut(gram_table(docs, members, total, words), "grams")
+    texts = once_a_task(members_texts(docs, members.where("NOT large"), total))
+    done = cut(texts.groupBy("block").applyInPandas(lambda pdf: join_texts(pdf, words, percent), "rid long, comp long"), "done")
+    many = members.where("large").count()
+    if not many:
+        return done
 
     # each leaf with itself and with pivots of its cluster, which are drawn by a hash
-    whole = grams.where("large")
+    whole = cut(gram_table(docs, members.where("large"), many, words), "grams")
     draws = [F.min_by("rid", F.xxhash64("rid", F.lit(k))) for k in range(PIVOTS)]
     pivots = cut(whole.groupBy("cluster").agg(F.array_distinct(F.array(*draws)).alias("p")).select("cluster", F.explode("p").alias("rid")), "pivots")
-    home = grams.select("block", "rid", "cluster", "leaf", "large", "grams").join(pivots.select("rid", F.lit(True).alias("pivot")), "rid", "left")
+    home = whole.select("block", "rid", "cluster", "leaf", "large", "grams").join(pivots.select("rid", F.lit(True).alias("pivot")), "rid", "left")
     home = home.withColumns({"pivot": F.coalesce("pivot", F.lit(False)), "visits": F.lit(False)})
     leaves = whole.select("cluster", "block", "leaf").distinct()
     guests = whole.select("rid", "grams", F.col("leaf").alias("own")).join(pivots, "rid").join(leaves, "cluster").where("leaf <> own")
     guests = guests.select("block", "rid", "cluster", "leaf", F.lit(True).alias("large"), "grams", F.lit(True).alias("pivot"), F.lit(True).alias("visits"))
     inner = home.unionByName(guests).groupBy("block").applyInPandas(lambda pdf: join_within(pdf, percent), "rid long, cluster long, comp long, large boolean, pivot boolean, visits boolean")
     parts = cut(inner, "parts")
-    done = parts.where("NOT large").select("rid", "comp")
-    ties = parts.where("large AND pivot").select(F.col("comp").alias("a"), F.col("rid").alias("b"))
-    parts = parts.where("large AND NOT visits").select("rid", "cluster", "comp")
-    if parts.isEmpty():
-        return done
+    ties = parts.where("pivot").select(F.col("comp").alias("a"), F.col("rid").alias("b"))
+    parts = parts.where("NOT visits").select("rid", "cluster", "comp")
     parts = _merged(parts, ties)
 
     # what is outside its cluster's main part visits the leaves that may hold a partner
@@ -515,10 +644,16 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sets = cut(sketch_sets(docs, words, percent), "sets")
     total = sets.count()
     full = sets.where("n > 0")
-    groups = full.groupBy("dig").agg(F.min("rid").alias("node"), *(F.min_by(c, "rid").alias(c) for c in ("doc_id", *TAGS)), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min(F.col("first")[0]).alias("low"))
+    groups = full.groupBy("dig").agg(F.min("rid").alias("node"), *(F.min_by(c, "rid").alias(c) for c in ("doc_id", *TAGS)), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("low").alias("low"))
     groups = cut(groups, "groups")
     if percent < 100:
-        clusters = connected(candidate_edges(prefix_keys(with_partners(full, groups, percent), percent)))
+        if percent >= BY_PARTS:
+            clusters = connected(tied_by_parts(full, groups))
+        else:
+            clusters = connected(candidate_edges(prefix_keys(with_partners(full, groups, percent), percent)))
+        wide, sets = sets, cut(sets.drop("first", "near"), "rows")
+        forget(wide)
+        full = sets.where("n > 0")
         found = cluster_components(docs, groups.select(F.col("node").alias("rid"), "doc_id", *TAGS, "dig", "n", "low"), clusters, words, percent).withColumnRenamed("rid", "node")
         joined = groups.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     else:  # equal sets alone are linked

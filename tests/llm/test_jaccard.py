@@ -266,3 +266,70 @@ def test_shared_ngrams_by_class_of_size(spark):
     shared = spark.createDataFrame([(11, 7, 2), (11, 8, 2), (13, 9, 5)], "h long, size long, nodes long")
     got = met(grams, shared)
     assert sorted(map(tuple, got.collect())) == [(1, 50, 4, 11, 7), (2, 55, 4, 11, 7), (2, 55, 4, 11, 8), (3, 70, 4, 11, 8)]
+
+
+@pytest.mark.parametrize("t", [90, 97])
+def test_linked_sets_share_a_key_by_parts(t):
+    """Sets as unlike as the limit allows, of all sizes, with and without weak ranges."""
+    rng, parts, met = np.random.default_rng(t), J.Parts(t), 0
+    for k in range(1500):
+        n = int(rng.integers(8, 60) if k % 2 else rng.integers(60, 700))
+        m = int(rng.integers(-(-n * t // 100), n * 100 // t + 1))
+        both = -(-t * (n + m) // (100 + t))
+        if both > min(n, m) or both == n == m:
+            continue
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        b = np.concatenate([rng.choice(a, both, replace=False), rng.integers(0, 2**64, m - both, dtype=np.uint64)])
+        assert len(np.intersect1d(parts(np.unique(a)), parts(np.unique(b))))
+        met += 1
+    assert met > 500
+
+
+def test_keys_occur_once_a_batch():
+    keys = [np.array(k, np.int64) for k in ([1, 2], [2, 3], [], [1, 2, 3])]
+    first, near = J.once(keys, np.array([10, 11, 12, 13]))
+    assert [k.tolist() for k in first] == [[1, 2], [3], [], []]
+    assert [k.tolist() for k in near] == [[], [10], [], [10, 11]]
+    assert J.once([], np.zeros(0, np.int64)) == ([], [])
+
+
+@pytest.mark.parametrize(("k", "t", "leaf"), [(3, 90, 4), (1, 90, 16), (2, 95, 4)])
+def test_random_corpora_by_parts(docs_of, monkeypatch, k, t, leaf):
+    monkeypatch.setattr(J, "LEAF", leaf)
+    rows = corpus(k + t)
+    assert result(J.jaccard_components(docs_of(rows), k, t)) == brute(rows, k, t)
+
+
+def test_ngrams_in_common_by_chance_make_no_members(docs_of, monkeypatch):
+    """However many documents have an n-gram, only near copies and hardly any others are compared."""
+    rng, seen = random.Random(4), []
+    rows = [(i, " ".join(rng.choices("abcdefghijkl", k=150))) for i in range(300)]
+    rows += [(300 + i, f"{rows[i][1]} changed") for i in range(10)]
+    components = J.cluster_components
+
+    def counted(docs, nodes, clusters, words, percent):
+        seen.append(clusters.count())
+        return components(docs, nodes, clusters, words, percent)
+
+    monkeypatch.setattr(J, "cluster_components", counted)
+    assert result(J.jaccard_components(docs_of(rows), 3, 90)) == brute(rows, 3, 90)
+    assert 20 <= seen[0] <= 40
+
+
+def test_only_members_texts_are_shuffled(docs_of, monkeypatch, capsys):
+    """Too many members for a broadcast: their texts are found by numbers, in turns."""
+    monkeypatch.setattr(J, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(J, "BROADCAST_KEYS", 40)
+    found = J.members_texts
+
+    def planned(docs, members, count):
+        out = found(docs, members, count)
+        out.explain()
+        return out
+
+    monkeypatch.setattr(J, "members_texts", planned)
+    rows = corpus(2, 120) + [(None, "of the same kind " * 9)] * 3
+    got = J.jaccard_components(docs_of(rows), 3, 90).collect()
+    ids = brute(rows[:120], 3, 90)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == ids and len(got) == 123
+    assert "LeftSemi" in capsys.readouterr().out
